@@ -16,6 +16,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from larder.llm.bpe import digests
@@ -23,9 +29,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 _OP1_SQL = r"""
