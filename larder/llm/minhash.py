@@ -24,15 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, shared_dir, stored, text_batches
 from larder.llm.components import connected_components
 
 WORDS = 5
-SLOTS = 128
-BANDS, ROWS = 25, 5
+SLOTS = 256
+BANDS, ROWS = 32, 8
 #: Probes of a slot before it takes the next filled slot; one in 1e14 needs more.
 PROBES = 4096
 WORD_CACHE = 400_000
@@ -42,7 +42,7 @@ _MUL = (_rng.randint(0, 2**62, size=(WORDS, 1), dtype=np.int64).astype(np.uint64
 _ROW_MUL = (_rng.randint(0, 2**62, size=ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2)) + np.uint64(1)
 _BAND_ADD = _rng.randint(0, 2**62, size=BANDS, dtype=np.int64).astype(np.uint64)
 _PROBE = _rng.randint(0, SLOTS, size=(PROBES, SLOTS))
-_EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - 7)
+_EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - 8)
 _words: dict[bytes, int] = {}
 
 
@@ -98,7 +98,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         at = np.searchsorted(u, _EDGES)
         inside = at < len(u)
         value = u[np.where(inside, at, 0)]
-        filled[i] = inside & ((value >> np.uint64(57)) == np.arange(SLOTS, dtype=np.uint64))
+        filled[i] = inside & ((value >> np.uint64(56)) == np.arange(SLOTS, dtype=np.uint64))
         slots[i] = np.where(filled[i], value, np.uint64(0))
     sig = densified(slots, filled)[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
     return _mixed((sig * _ROW_MUL).sum(axis=2, dtype=np.uint64) + _BAND_ADD).view(np.int64)
@@ -147,33 +147,27 @@ def minhash_links(docs: DataFrame, features: DataFrame, percent: int) -> DataFra
     full = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
     live = stored(rows.join(full, "key"), "minhash-buckets").withColumn("comp", F.col("doc"))
     texts = stored(docs.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-texts")
-    links = tested = comps = None
+    live = live.select("key", F.xxhash64("doc").alias("h"), "doc", "n", "comp")
+    links = None
     hubs_now = 1
     while True:
-        mixed = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        met = live.join(mixed, "key").select("key", F.xxhash64("doc").alias("h"), "doc", "n", "comp")
-        # The first members of a bucket by hash are its hubs, so that buckets with the same members share them.
-        met = stored(met, "minhash-round")
+        # The least of each share of a bucket by hash are its hubs, so that buckets with the same members share them.
+        least = live.groupBy("key", F.pmod("h", F.lit(hubs_now)).alias("share")).agg(F.min(F.struct("h", "doc", "n", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed = least.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key", "hubs")
+        met = stored(live.join(mixed, "key"), "minhash-round")
         if met.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("h", "doc"))
-        hubs = cut(met.withColumn("rank", rank).where(F.col("rank") <= hubs_now).select("key", *[F.col(c).alias(f"hub_{c}") for c in ("h", "doc", "n", "comp")]))
-        later = (F.col("h") > F.col("hub_h")) | ((F.col("h") == F.col("hub_h")) & (F.col("doc") > F.col("hub_doc")))
-        fits = (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = met.join(hubs, "key").where(later & fits).select(F.col("hub_doc").alias("a"), F.col("doc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        own = F.exists("hubs", lambda x: x["doc"] == F.col("doc"))
+        fits = lambda x: (F.col("comp") != x["comp"]) & (100 * F.least("n", x["n"]) >= percent * F.greatest("n", x["n"])) & (~own | (x["h"] < F.col("h")) | ((x["h"] == F.col("h")) & (x["doc"] < F.col("doc"))))
+        pairs = cut(met.select(F.explode(F.transform(F.filter("hubs", fits), lambda x: x["doc"])).alias("a"), F.col("doc").alias("b")).distinct())
+        live = met.where(~own).select("key", "h", "doc", "n", "comp")
         if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.union(pairs)
             b_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
             a_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
             found = cut(pairs.join(b_text, "b").join(a_text, "a").select("a", "a_text", "b", "b_text").mapInArrow(_confirm(percent), "a long, b long"))
             links = found if links is None else links.union(found)
-            comps = connected_components(links)
-        live = met.join(hubs.select("key", F.col("hub_doc").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "n", "comp")
-        if comps is not None:
-            live = live.drop("comp").join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+            comps = connected_components(links).withColumnRenamed("node", "doc")
+            live = live.drop("comp").join(comps, "doc", "left").select("key", "h", "doc", "n", F.coalesce("component", "doc").alias("comp"))
         hubs_now *= 2
     return links if links is not None else docs.sparkSession.createDataFrame([], "a long, b long")
 
@@ -195,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = minhash_links(docs, own.select("doc_id", "n_shingles", "keys"), percent)
     # Rows that share a doc_id are one node, whatever their sets.
     same = known.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    comps = cut(connected_components(links.union(same)))
+    comps = connected_components(links.union(same))
     return features.select("doc_id", "n_shingles").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
