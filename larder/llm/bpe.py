@@ -31,10 +31,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from larder.llm.common import text_batches
 
 #: Text bytes (encoding) and tokens (decoding) that go through one query, and pieces remembered by a worker.
-CHUNK_BYTES, CHUNK_TOKENS, CACHE_PIECES = 8_000_000, 1_000_000, 300_000
+CHUNK_BYTES, CHUNK_TOKENS, CACHE_PIECES = 5_000_000, 700_000, 250_000
 #: Bytes of the longest piece that the first form contracts.
 SHORT = 64
-DUCKDB_MEMORY = "600MB"
+DUCKDB_MEMORY = "400MB"
 
 _state: dict[str, Codec] = {}
 
@@ -267,7 +267,34 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(_decoded(path, pattern, to_arrow_type(key)), f"doc_id {key.simpleString()}, decoded binary, ids binary")
 
 
+def _both(path: str, pattern: str, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One worker does both turns, so that an executor holds one codec for each of its tasks.
+        encoded = _encoded(path, pattern, key)(batches)
+        for batch in encoded:
+            rows = batch.to_struct_array().flatten()
+            for part in _chunks(batch.column(1), CHUNK_TOKENS * 4):
+                yield from _decoded(path, pattern, key)(iter([pa.RecordBatch.from_arrays([r.slice(*part) for r in rows], names=["doc_id", "ids"])]))
+
+    return run
+
+
+def _chunks(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of runs of a binary column of about ``most`` bytes."""
+    start = size = 0
+    for i, value in enumerate(column):
+        size += len(value.as_buffer()) if value.is_valid else 0
+        if size >= most:
+            yield start, i + 1 - start
+            start, size = i + 1, 0
+    if start < len(column):
+        yield start, len(column) - start
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens and digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    text_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    key = docs.schema["doc_id"].dataType
+    both = docs.mapInArrow(_both(path, pattern, to_arrow_type(key)), f"doc_id {key.simpleString()}, decoded binary, ids binary")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from larder.llm.common import stored
 
 #: Labelled rows that the classifier is fitted on, words it keeps, and the fewest sample documents a word must be in.
-SAMPLE_ROWS, VOCABULARY, LEAST_DOCUMENTS = 4000, 96, 8
+SAMPLE_ROWS, VOCABULARY, LEAST_DOCUMENTS = 4000, 400, 5
 #: Words in a larger share of the sample are passed over: they tell the language and the length, many times over.
 MOST_DOCUMENTS = 0.08
+PREFIX = 5
 ITERATIONS, TOLERANCE = 40, 1e-6
 
 Model = tuple[list[str], list[str], list[float], list[list[float]]]
@@ -38,6 +39,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
+def features(ws: Column) -> Column:
+    """What the classifier looks at: the words, and the first letters of longer ones, which inflected forms share."""
+    return F.concat(ws, F.transform(F.filter(ws, lambda w: F.char_length(w) > PREFIX), lambda w: F.concat(F.substr(w, F.lit(1), F.lit(PREFIX)), F.lit("*"))))
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of a labels table: toxic, else good or poor by quality."""
     return labels.where("toxic is not null or quality is not null").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor").alias("domain"))
@@ -47,7 +53,7 @@ def fit(docs: DataFrame, domains: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Domain names, words, and for each domain its score without any word and what each word adds."""
     sample = domains.where("doc_id is not null and domain is not null").select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = texts.select("domain", F.array_distinct(words(F.col("text"))).alias("ws"))
+    seen = texts.select("domain", F.array_distinct(features(words(F.col("text")))).alias("ws"))
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names, every = sorted(totals), sum(totals.values())
     if not names:
@@ -76,7 +82,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     names, vocabulary, start, add = model
     known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     staged = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    staged = staged.select("doc_id", F.size("ws").cast("long").alias("n_tokens"), F.array_intersect("ws", known).alias("hits"))
+    staged = staged.select("doc_id", F.size("ws").cast("long").alias("n_tokens"), F.array_intersect(features(F.col("ws")), known).alias("hits"))
     staged = staged.withColumn("at", F.transform("hits", lambda w: F.array_position(known, w).cast("int")))
     for i, (s, a) in enumerate(zip(start, add, strict=True)):
         staged = staged.withColumn(f"s{i}", _summed("at", s, F.array(*map(F.lit, a)).cast("array<double>")))

@@ -29,12 +29,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.embdedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.mixing import label_domains, mixing_rates
 
     return mixing_rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), weights={"good": 0.8, "poor": 0.2})
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.annsearch import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.langid import identify
 
@@ -45,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_mixing_rates": op7_mixing_rates,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
 }
 
