@@ -5,12 +5,12 @@ keeps the minimum of each; empty slots are filled by optimal densification (each
 probes others by its own fixed random sequence until one that had a value). Bands of the
 signature are bucket keys.
 
-Within a bucket only star-shaped candidate edges are made: a hub against the members that are
-in other components so far. Edges are confirmed on full shingle sets, components are updated,
-hubs leave their buckets, and the next round takes twice as many new hubs, until no bucket holds
-two components. So no pair of a bucket is passed over unless its ends are already connected;
-large groups of copies join in the first rounds, and what later rounds meet are the few
-buckets whose members are alike but below the threshold.
+Within a bucket only star-shaped candidate edges are made, from a hub to the other members, and
+confirmed on full shingle sets. That leaves apart documents that resemble each other more than
+they do the hub. So buckets that hold more than one component are taken further: those with common
+members join into families, a family is cut into blocks of at most about ``BLOCK`` documents, and tasks compare
+two blocks at a time on full sets. They return a spanning set of the links found, never the pairs,
+so that what is made stays linear while no pair that met in a bucket is passed over.
 
 Defined results: a null or blank text has an empty set (``n_shingles`` 0) and is linked with
 nothing; a row without doc_id takes no part, its component is null and it is kept; rows that
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, shared_dir, stored, text_batches
-from larder.llm.components import connected_components
+from larder.llm.components import connected_components, union_find
 
 WORDS = 5
 SLOTS = 256
@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 8
 #: Probes of a slot before it takes the next filled slot; one in 1e14 needs more.
 PROBES = 4096
 WORD_CACHE = 400_000
+#: Documents of a block, and columns of a slice of its 0-1 matrix.
+BLOCK, SLICE = 768, 2048
 
 _rng = np.random.RandomState(20240607)
 _MUL = (_rng.randint(0, 2**62, size=(WORDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -137,39 +139,84 @@ def _confirm(percent: int):
     return run
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of slices of their 0-1 matrix."""
+    rows = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    rows, column = rows[keep], place[column[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for start in range(0, int(shared.sum()), SLICE):
+        lo, hi = np.searchsorted(column, (start, start + SLICE))
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[rows[lo:hi], column[lo:hi] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_links(percent: int):
+    def linked(docs: list[int], comps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes, comp = np.array([len(u) for u in sets]), np.array(comps)
+        both = common_counts(sets)
+        near = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0) & (comp[:, None] != comp[None, :])
+        i, j = np.nonzero(np.triu(near, 1))
+        ids = np.array(docs, np.int64)
+        # A spanning set of the links is enough for the components.
+        found = [(x, y) for x, y in union_find(zip(ids[i].tolist(), ids[j].tolist(), strict=True)).items() if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([y for _, y in found], pa.int64()), pa.array([x for x, _ in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, comps, sets = None, [], [], []
+        for batch in batches:
+            for family, lo, hi, doc, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, lo, hi) != now:
+                    if len(docs) > 1:
+                        yield linked(docs, comps, sets)
+                    now, docs, comps, sets = (family, lo, hi), [], [], []
+                docs.append(doc)
+                comps.append(comp)
+                sets.append(shingle_set(text))
+        if len(docs) > 1:
+            yield linked(docs, comps, sets)
+
+    return run
+
+
 def minhash_links(docs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``(a, b)`` between representatives of distinct shingle sets.
 
     ``docs`` has (doc_id, text), ``features`` one row per distinct set: (doc_id, n_shingles, keys).
-    The links suffice for the components: a pair already connected is not confirmed again.
+    The links suffice for the components: what is already connected is not linked again.
     """
     rows = features.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
     full = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
-    live = stored(rows.join(full, "key"), "minhash-buckets").withColumn("comp", F.col("doc"))
+    live = stored(rows.join(full, "key"), "minhash-buckets")
     texts = stored(docs.join(live.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-texts")
-    live = live.select("key", F.xxhash64("doc").alias("h"), "doc", "n", "comp")
-    links = None
-    hubs_now = 1
-    while True:
-        # The least of each share of a bucket by hash are its hubs, so that buckets with the same members share them.
-        least = live.groupBy("key", F.pmod("h", F.lit(hubs_now)).alias("share")).agg(F.min(F.struct("h", "doc", "n", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed = least.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key", "hubs")
-        met = stored(live.join(mixed, "key"), "minhash-round")
-        if met.isEmpty():
-            break
-        own = F.exists("hubs", lambda x: x["doc"] == F.col("doc"))
-        fits = lambda x: (F.col("comp") != x["comp"]) & (100 * F.least("n", x["n"]) >= percent * F.greatest("n", x["n"])) & (~own | (x["h"] < F.col("h")) | ((x["h"] == F.col("h")) & (x["doc"] < F.col("doc"))))
-        pairs = cut(met.select(F.explode(F.transform(F.filter("hubs", fits), lambda x: x["doc"])).alias("a"), F.col("doc").alias("b")).distinct())
-        live = met.where(~own).select("key", "h", "doc", "n", "comp")
-        if not pairs.isEmpty():
-            b_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-            a_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-            found = cut(pairs.join(b_text, "b").join(a_text, "a").select("a", "a_text", "b", "b_text").mapInArrow(_confirm(percent), "a long, b long"))
-            links = found if links is None else links.union(found)
-            comps = connected_components(links).withColumnRenamed("node", "doc")
-            live = live.drop("comp").join(comps, "doc", "left").select("key", "h", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-        hubs_now *= 2
-    return links if links is not None else docs.sparkSession.createDataFrame([], "a long, b long")
+    # The hub of a bucket is its member of least hash, so that buckets with the same members share it.
+    hubs = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", "n")).alias("hub"))
+    stars = stored(live.join(hubs.select("key", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "minhash-stars")
+    pairs = stars.where((F.col("doc") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    b_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    a_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
+    links = cut(pairs.join(b_text, "b").join(a_text, "a").select("a", "a_text", "b", "b_text").mapInArrow(_confirm(percent), "a long, b long"))
+    comps = connected_components(links).withColumnRenamed("node", "doc")
+    # What a star leaves apart may still be linked: buckets that hold two components join into families.
+    marked = stars.join(comps, "doc", "left").select("key", "doc", "hub", F.coalesce("component", "doc").alias("comp"))
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = cut(marked.join(mixed, "key").select("doc", "hub", "comp").distinct())
+    families = connected_components(rest, "doc", "hub").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    members = rest.select("doc", "comp").distinct().join(families, "doc")
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    member = members.join(sizes, "family").join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    dealt = member.select("family", "doc", "comp", "text", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "text")
+    more = cut(dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_block_links(percent), "a long, b long"))
+    return links.union(more)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
