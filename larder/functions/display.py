@@ -13,7 +13,7 @@ def german_number(value: Column, snap: bool = True) -> Column:
     """Two decimals with a comma and without trailing zeros; within .01 of a whole number that number."""
     near = (lambda x: F.when(F.abs(x - F.round(x)) < 0.01, F.round(x)).otherwise(x)) if snap else (lambda x: x)
     text = F.replace(F.format_string("%.2f", F.round(let(value, near), 2)), F.lit("."), F.lit(","))
-    return sub(sub(text, ",00$", ""), "(,[0-9])0$", "$1")
+    return F.when(value.isNotNull(), sub(sub(text, ",00$", ""), "(,[0-9])0$", "$1"))
 
 
 def quantity_display(low: Column, high: Column) -> Column:
