@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import text_batches
+from larder.llm.common import cut, text_batches
 
 #: Importance below which a text or branch goes, outside and inside of article elements, and the pages a node needs for statistics.
 LEAST, LEAST_INSIDE, LEAST_PAGES = 0.08, 0.005, 5
+#: Low-importance hashes (8 bytes each) up to which they are broadcast, counted first; parts of a host beyond.
+BROADCAST_HASHES, HOST_PARTS = 500_000, 32
 
 # HTML elements by their part in a page.
 _DROP = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "audio", "video", "head", "title", "nav", "footer", "aside", "form", "select", "button", "textarea", "input", "label", "fieldset", "dialog", "menu", "datalist", "option"}
@@ -181,5 +183,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
     text_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of().alias("host"))
-    joined = pages.join(low_importance(pages), "host", "left").select("page_id", "url", "html", "low")
+    low = cut(low_importance(pages))
+    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_HASHES:
+        joined = pages.join(F.broadcast(low), "host", "left")
+    else:
+        # Beyond that, hosts are dealt in parts, so that a very common one is no task's alone.
+        dealt = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+        joined = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int")).join(dealt, ["host", "part"], "left")
+    joined = joined.select("page_id", "url", "html", "low")
     return joined.mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
