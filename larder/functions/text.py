@@ -54,7 +54,7 @@ def decode_u00(text: Column) -> Column:
     """Leftovers of escapes, with or without a backslash, as the Latin-1 characters that they name."""
     text = F.regexp_replace(text, r"\\u00([0-9a-fA-F]{2})", "u00$1")
     pairs = [(f"u00{code:02x}", chr(code)) for code in range(0xA0, 0x100)] + [(f"u00{code:02X}", chr(code)) for code in range(0xA0, 0x100) if f"{code:02X}" != f"{code:02x}"]
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    table = F.expr("array(" + ",".join(f"named_struct('a', '{a}', 'b', '{b}')" for a, b in pairs) + ")")
     return let(text, lambda t: F.when(t.rlike("u00[0-9a-fA-F]{2}"), F.aggregate(table, t, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(t))
 
 
@@ -91,7 +91,11 @@ def prenormalize(text: Column) -> Column:
 
 def plain_fractions(text: Column) -> Column:
     """Vulgar fractions outside of words in plain form."""
-    return reduce(lambda t, p: sub(t, f"(?<![{_LETTER}]){p[0]}(?![{_LETTER}])", p[1]), FRACTIONS.items(), text)
+
+    def spelled(text: Column) -> Column:
+        return reduce(lambda t, p: sub(t, f"(?<![{_LETTER}]){p[0]}(?![{_LETTER}])", p[1]), FRACTIONS.items(), text)
+
+    return let(text, lambda t: F.when(t.rlike("[" + "".join(FRACTIONS) + "]"), spelled(t)).otherwise(t))
 
 
 def normalize_quantity(text: Column) -> Column:
