@@ -128,3 +128,22 @@ def test_registered_queries_match_sql(spark, name):
     want = db.sql(__spark_entry__.oracle_sql()[name])
     columns = sorted(got.columns)
     assert sorted(map(repr, [tuple(r) for r in got.select(*columns).collect()])) == sorted(map(repr, want.select(*[f'"{c}"' for c in columns]).fetchall()))
+
+
+def test_assembled_recipe(spark):
+    from larder.plans.assemble import assemble
+
+    page = """<html><head><script type="application/ld+json">{"@type":"Recipe","name":"Cake","recipeYield":"4 Portionen","prepTime":"20 min","recipeIngredient":["200 g Mehl","200 g  Mehl","1-2 EL Öl (mild)"],"recipeInstructions":[{"@type":"HowToStep","text":"Mix"},"Bake"]}</script></head>
+    <body><div itemscope itemtype="http://schema.org/Recipe"><span itemprop="name">Other</span><meta itemprop="cookTime" content="PT40M"></div><div class="recipe"><h1>Title</h1><p>Text</p></div></body></html>"""
+    df = spark.createDataFrame([(1, "https://x.example/a", page), (2, "https://x.example/b", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in assemble(df).collect()}
+    one = got[1]
+    assert (one["name"], one["description"], one["totalTime"]) == ("Cake", "Text", "PT1H")
+    assert [(i["qty_low"], i["qty_high"], i["unit"], i["item"], i["note"]) for i in one["recipeIngredient"]] == [(200.0, None, "g", "Mehl", None), (1.0, 2.0, "EL", "Öl", "mild")]
+    assert one["recipeInstructions"] == ["Mix", "Bake"]
+    assert (one["yield"]["count"], one["yield"]["unit"]) == (4.0, "portionen")
+    assert one["sources"]["name"] == ["jsonld"]
+    assert one["sources"]["cookTime"] == ["microdata"]
+    assert not one["flags"]["isPartial"]
+    assert got[2]["flags"]["isPartial"]
+    assert got[2]["recipeIngredient"] == []
