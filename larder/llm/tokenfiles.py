@@ -119,4 +119,5 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, end_id: int) ->
     sizes = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes")) if not listing.isEmpty() else spark.createDataFrame([], "file string, bytes long")
     committed = sizes.join(listing.select("file").distinct(), "file", "left_semi")
     found = scan_token_files(committed, folder, end_id, 2 if end_id < 2**16 else 4)
-    return listing.join(found, ["file", "place"]).select("doc_id", "n_tokens")
+    # The listing grows with the documents however small its files are, so it is never to be broadcast.
+    return listing.hint("merge").join(found, ["file", "place"]).select("doc_id", "n_tokens")
