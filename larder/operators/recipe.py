@@ -85,7 +85,9 @@ def line_key(low: Column, high: Column, unit: Column, item: Column) -> Column:
 def first_wins(df: DataFrame, group: list[str], order: str, key: Column) -> DataFrame:
     """Of the rows of a group with one key only the first by order; rows with an empty key go."""
     w = Window.partitionBy(*group, "_key").orderBy(order)
-    return df.withColumn("_key", key).where(~F.col("_key").isin("||", "")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+    # The test of the key stands behind the window: pushed below it, the key would be computed twice.
+    place = F.when(~F.col("_key").isin("||", ""), F.row_number().over(w))
+    return df.withColumn("_key", key).withColumn("_n", place).where("_n = 1").drop("_key", "_n")
 
 
 def instruction_steps(text: Column) -> Column:
