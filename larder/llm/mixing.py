@@ -6,9 +6,13 @@ A document's rate is how often it should be taken. Rates are fitted by projected
 squares between the expected domain token totals (rate * tokens * posterior, summed over all
 documents) and the targets, in the metric that weighs each document by its tokens, so that a
 step depends on the posterior and not on the length; after each step rates below 0 become 0.
+Such steps are slow for small domains. Where a domain still misses its target by more than ``MISS`` of its
+own share, the nearest rates that meet the targets follow: max(0, rate - posterior . prices) with one price for each domain,
+found by Newton steps with the Gram matrix of the documents of rate above 0, until they stand still (else an error
+is raised). Misses weigh by the domain's share there; a target that even so is missed by more is logged as a warning.
 
-An iteration is one aggregate of a row for each domain. Rates are not stored between iterations:
-a rate is an expression of the document's posterior and the residuals so far.
+An iteration is one aggregate of a single row. Rates are stored once, before the prices: a rate is an expression of the
+document's posterior, the residuals so far and the prices.
 
 Defined results: a null or blank text has 0 tokens and the prior as posterior; without labelled
 rows there are no domains and every rate is 1; a domain without documents adds nothing.
@@ -17,8 +21,10 @@ Repeated rows each count. Labels of unknown documents are ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,11 @@ SAMPLE_ROWS, VOCABULARY, LEAST_DOCUMENTS = 4000, 400, 5
 #: Words in a larger share of the sample are passed over: they tell the language and the length, many times over.
 MOST_DOCUMENTS = 0.08
 ITERATIONS, TOLERANCE = 40, 1e-6
+#: Part of a domain's own share of the tokens by which its target may be missed, and the least share that counts in that.
+MISS, LEAST_SHARE = 0.02, 1e-9
+#: How much a further change of the rates weighs against the misses: falling, until the targets are met, and where whole documents
+#: are taken (meeting them to the last token there would drop every document with a doubt).
+PULLS, WHOLE_PULL = tuple(10.0**-i for i in range(1, 9)), 0.05
 
 Model = tuple[list[str], list[str], list[float], list[list[float]]]
 
@@ -87,33 +98,71 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return staged.select("doc_id", "n_tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in range(len(names))])
 
 
-def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[float] | None = None) -> Column:
+def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[float] | None = None, pull: float | None = None) -> Column:
     """The rate as an expression of the columns p0 ... of ``scored``.
 
-    ``targets`` are token totals by domain; with ``weights`` instead they are shares of all tokens.
+    ``targets`` are token totals by domain; with ``weights`` instead they are shares of all tokens. ``pull``
+    is held as given; without it, it falls through ``PULLS`` until the targets are met.
     """
     k = len(targets if targets is not None else weights)
     p, n = [F.col(f"p{i}") for i in range(k)], F.col("n_tokens").cast("double")
-    cells = {(i, j): F.sum(n * p[i] * p[j]) for i in range(k) for j in range(i, k)}
-    first = scored.agg(F.sum(n), *cells.values()).first()
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    first = scored.agg(F.sum(n), *[F.sum(n * x) for x in p], *[F.sum(n * x * sum(p)) for x in p]).first()
     tokens = first[0] or 0.0
     if not tokens:
         return F.lit(1.0)
-    gram = {c: (x or 0.0) / tokens for c, x in zip(cells, first[1:], strict=True)}
-    # The largest row sum bounds the largest eigenvalue.
-    step = 1 / max(sum(gram[min(i, j), max(i, j)] for j in range(k)) for i in range(k))
-    share = [t / tokens for t in targets] if targets is not None else [w / sum(weights) for w in weights]
-    rate: Column = F.lit(1.0)
+    share = np.array([t / tokens for t in targets] if targets is not None else [w / sum(weights) for w in weights])
+    present = np.maximum(np.array([x or 0.0 for x in first[1 : k + 1]]) / tokens, LEAST_SHARE)
+    # The largest row sum bounds the largest eigenvalue of the Gram matrix.
+    gram_rows = np.array([x or 0.0 for x in first[k + 1 :]]) / tokens
+
+    base, largest = F.lit(1.0), float(gram_rows.max())
     for _ in range(ITERATIONS):
-        now = scored.agg(*[F.sum(n * x * rate) for x in p]).first()
-        off = [(x or 0.0) / tokens - t for x, t in zip(now, share, strict=True)]
-        if max(map(abs, off)) < TOLERANCE:
+        now = scored.agg(*[F.sum(n * x * base) for x in p]).first()
+        off = np.array([x or 0.0 for x in now]) / tokens - share
+        if np.abs(off).max() < TOLERANCE:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum(x * F.lit(step * o) for x, o in zip(p, off, strict=True)))
-    return rate
+        base = F.greatest(F.lit(0.0), base - sum(x * F.lit(float(o) / largest) for x, o in zip(p, off, strict=True)))
+
+    def rate(prices: np.ndarray, start: Column = F.col("base")) -> Column:
+        return F.greatest(F.lit(0.0), start - sum(x * F.lit(float(c)) for x, c in zip(p, prices, strict=True)))
 
+    held = stored(scored.select("n_tokens", *p, base.alias("base")), "mixing-base")
 
-def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float] | None = None, dropped: tuple[str, ...] = ()) -> DataFrame:
+    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r = F.col("r")
+        row = [x or 0.0 for x in held.withColumn("r", rate(prices)).agg(F.sum(n * r * r), *[F.sum(n * x * r) for x in p], *[F.sum(F.when(r > 0, n * p[i] * p[j])) for i, j in cells]).first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(cells, row[k + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = x / tokens
+        return row[0] / tokens, np.array(row[1 : k + 1]) / tokens - share, gram
+
+    prices = np.zeros(k)
+    square, off, gram = sums(prices)
+    for now in PULLS if pull is None else (pull,):
+        if np.all(np.abs(off) <= MISS * present):
+            break
+        ridge = now * present
+        for _ in range(ITERATIONS):
+            rise = off - ridge * prices
+            if np.abs(rise).max() < TOLERANCE / 1000:
+                break
+            step, value, size = np.linalg.solve(gram + np.diag(ridge), rise), square / 2 + share @ prices + ridge @ prices**2 / 2, 1.0
+            while True:
+                tried = prices + size * step
+                square, off, gram = sums(tried)
+                if size < 1e-6 or square / 2 + share @ tried + ridge @ tried**2 / 2 <= value - 1e-4 * size * (rise @ step) + 1e-12:
+                    break
+                size /= 2
+            prices = tried
+        else:
+            raise RuntimeError(f"the rates did not converge in {ITERATIONS} steps: {rise.tolist()}")
+    if np.any(np.abs(off) > MISS * present):
+        logging.getLogger(__name__).warning("token shares miss their targets by %s", off.tolist())
+    return rate(prices, base) if prices.any() else base
+
+
+def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float] | None = None, dropped: tuple[str, ...] = (), pull: float | None = None) -> DataFrame:
     """doc_id, n_tokens, a posterior column for each domain, and rate, for every row of ``docs``.
 
     ``weights`` are target shares of all tokens by domain (a domain not named gets 0). Without them the
@@ -125,16 +174,16 @@ def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float]
         return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"))
     scored = stored(score_documents(docs.select("doc_id", "text"), model), "mixing-scores")
     if weights is not None:
-        rate = fit_rates(scored, None, [weights.get(n, 0.0) for n in names])
+        rate = fit_rates(scored, None, [weights.get(n, 0.0) for n in names], pull)
     else:
         totals = scored.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}")) for i in range(len(names))]).first()
-        rate = fit_rates(scored, [0.0 if n in dropped else (t or 0.0) for n, t in zip(names, totals, strict=True)])
+        rate = fit_rates(scored, [0.0 if n in dropped else (t or 0.0) for n, t in zip(names, totals, strict=True)], pull=pull)
     return scored.select("doc_id", "n_tokens", *[F.round(f"p{i}", 9).alias(f"p_{n}") for i, n in enumerate(names)], F.round(rate, 9).alias("rate"))
 
 
 def mixed(docs: DataFrame, domains: DataFrame, dropped: tuple[str, ...] = ("toxic",)) -> DataFrame:
     """``docs`` taken as often as their rates say, to the nearest whole number."""
-    rates = mixing_rates(docs, domains, dropped=dropped).groupBy("doc_id").agg(F.max("rate").alias("rate"))
+    rates = mixing_rates(docs, domains, dropped=dropped, pull=WHOLE_PULL).groupBy("doc_id").agg(F.max("rate").alias("rate"))
     key, times = "_mixing_id", "_mixing_times"
     while key in docs.columns or times in docs.columns:
         key, times = f"{key}_", f"{times}_"

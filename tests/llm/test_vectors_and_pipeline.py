@@ -98,6 +98,30 @@ def test_mixed_drops_toxic_and_keeps_columns(labelled, monkeypatch):
     assert {r["doc_id"] for r in out.collect()} == {x[0] for x in rows if x[5] != "toxic"}
 
 
+@pytest.fixture(scope="module")
+def scored(spark):
+    """Posteriors with 0.5 % of the tokens surely toxic and 2 % surely poor."""
+    rows = [(i, 100, *((0.0, 0.0, 1.0) if i % 200 == 0 else (0.0, 1.0, 0.0) if i % 50 == 1 else (1.0, 0.0, 0.0))) for i in range(2000)]
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+
+
+def test_rates_meet_targets_of_small_domains(scored):
+    got = scored.select("doc_id", mixing.fit_rates(scored, None, [0.9, 0.1, 0.0]).alias("r")).toPandas()
+    assert got.r[got.doc_id % 200 == 0].max() <= mixing.MISS
+    assert abs(got.r[got.doc_id % 50 == 1] - 5).max() <= mixing.MISS
+
+
+def test_whole_documents_of_a_small_domain_go(scored):
+    got = scored.select("doc_id", mixing.fit_rates(scored, [195000.0, 4000.0, 0.0], pull=mixing.WHOLE_PULL).alias("r")).toPandas()
+    assert {i for i, r in zip(got.doc_id, got.r, strict=True) if int(r + 0.5) != 1} == {i for i in range(2000) if i % 200 == 0}
+    assert got.r.max() < 1.5
+
+
+def test_rates_report_targets_out_of_reach(scored, caplog):
+    mixing.fit_rates(scored.withColumn("p2", F.col("p1") * 0.5).withColumn("p1", F.col("p2")), None, [0.5, 0.5, 0.0])
+    assert "miss their targets" in caplog.text
+
+
 def test_mixing_without_labels(labelled):
     _, docs, labels = labelled
     got = mixing.mixing_rates(docs, mixing.label_domains(labels.limit(0)), {"good": 1.0})
