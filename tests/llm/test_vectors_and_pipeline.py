@@ -98,6 +98,15 @@ def test_mixed_drops_toxic_and_keeps_columns(labelled, monkeypatch):
     assert {r["doc_id"] for r in out.collect()} == {x[0] for x in rows if x[5] != "toxic"}
 
 
+def test_common_markers_survive_the_production_values(labelled):
+    """Each marker word is in about a fifth or more of the labelled rows."""
+    rows, docs, labels = labelled
+    names, vocabulary, _, _ = mixing.fit(docs, mixing.label_domains(labels))
+    assert {"alpha", "beta", "junk", "mess", "vile", "nasty"} <= set(vocabulary)
+    got = mixing.score_documents(docs, mixing.fit(docs, mixing.label_domains(labels))).collect()
+    assert all(max(names, key=lambda n: r[f"p{names.index(n)}"]) == rows[r["doc_id"]][5] for r in got)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     """Posteriors with 0.5 % of the tokens surely toxic and 2 % surely poor."""
