@@ -12,7 +12,8 @@ one page tells nothing by entropy.
 Only boilerplate leaves the statistics: a row for each host with its low-importance hashes, about
 as many as a page has blocks. Counts are combined before the shuffle, a very common host joins like any skewed key.
 
-Defined results: a null html is empty text; a null or hostless url is a site of its own without statistics; repeated rows count as pages.
+Defined results: a null html is empty text; a null or hostless url is a site of its own without statistics; pages of a host
+with the same main text (repeated rows, mirrored copies) count once in the statistics.
 """
 
 from __future__ import annotations
@@ -134,28 +135,31 @@ def main_text(page: str | None, low: set[int] = frozenset()) -> str:
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page: its nodes, the texts of each, and the child tags of each."""
+    """For each page: its nodes, the texts of each, and the child tags of each, with the digest of the main text."""
     for batch in batches:
         rows: list[tuple[str, int, int, int, int, bool]] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, shapes = parse(page or "")
+            page_digest = _hash("p", *[b.text for b in blocks if b.inside] or [b.text for b in blocks])
             seen: set[tuple[int, int, int, int, bool]] = set()
             for b in blocks:
                 node = _hash("b", b.path)
-                seen.add((node, 0, 0, 0, b.inside))
-                seen.add((node, 1, _hash("t", b.path, b.text), 0, b.inside))
+                seen.add((node, 0, 0, page_digest, b.inside))
+                seen.add((node, 1, _hash("t", b.path, b.text), page_digest, b.inside))
             with_text = {b.path for b in blocks}
             for path, children in shapes:
                 if path in with_text:
-                    seen.add((_hash("b", path), 2, _hash("s", path, children), 0, False))
+                    seen.add((_hash("b", path), 2, _hash("s", path, children), page_digest, False))
             rows += [(host, *s) for s in seen]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[5], pa.bool_())], ["host", "node", "kind", "feature", "inside"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.bool_())], ["host", "node", "kind", "feature", "page", "inside"])
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
     """(host, low): the hashes of texts and branches of low importance, for hosts that have any."""
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, node long, kind int, feature long, inside boolean")
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, node long, kind int, feature long, page long, inside boolean")
+    # Copies of a page are one page.
+    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.max("inside").alias("inside"))
     counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"), F.max("inside").alias("inside"))
     # Entropies of a node: of each text by its share of the pages, and of the child tags.
     whole = counts.where("kind = 0").select("host", "node", F.col("c").alias("m"), F.col("inside").alias("in_main"))

@@ -130,6 +130,15 @@ def test_main_text(spark):
     assert all(got[10 + i]["text"] == f"Unique body {i} text" for i in range(8))
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_copies_of_a_page_keep_its_text(spark, copies):
+    rows = [(i, f"http://d.example/{i % 7}", "<body><article class='post-17'><h1>Title</h1><p>Own words of the page</p></article></body>") for i in range(copies)]
+    rows += [(2000 + i, "http://d.example/x", f"<body><article class='post-{i}'><p>Other page {i}</p></article></body>") for i in range(100, 106)]
+    got = {r["page_id"]: r["text"] for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(copies)} == {"Title\n\nOwn words of the page"}
+    assert all(got[2000 + i] == f"Other page {i}" for i in range(100, 106))
+
+
 def test_licenses(spark):
     rows = [(1, "Some words here.\nLicensed under the Apache License, Version 2.0."), (2, "Nothing at all"), (3, None), (4, ""), (5, "the MIT building and the general public of the license office"), (6, "Intro.\n" + licenses.TEMPLATES["mit"].replace("merchantability", "x") + "\nEnd"), (7, "Released under MIT License"), (8, "Licensed under CC BY-NC 4.0.")]
     got = {r["doc_id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
