@@ -32,7 +32,8 @@ from larder.llm.components import connected_components, union_find
 
 WORDS = 5
 SLOTS = 256
-BANDS, ROWS = 32, 8
+#: Most rows of a band, and the share of pairs at the threshold that all bands together may miss.
+ROWS, MISSED = 8, 1e-4
 #: Probes of a slot before it takes the next filled slot; one in 1e14 needs more.
 PROBES = 4096
 WORD_CACHE = 400_000
@@ -42,8 +43,9 @@ BLOCK, SLICE = 768, 2048
 _rng = np.random.RandomState(20240607)
 _MUL = (_rng.randint(0, 2**62, size=(WORDS, 1), dtype=np.int64).astype(np.uint64) * np.uint64(2)) + np.uint64(1)
 _ROW_MUL = (_rng.randint(0, 2**62, size=ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2)) + np.uint64(1)
-_BAND_ADD = _rng.randint(0, 2**62, size=BANDS, dtype=np.int64).astype(np.uint64)
+_BAND_ADD = _rng.randint(0, 2**62, size=SLOTS // ROWS, dtype=np.int64).astype(np.uint64)
 _PROBE = _rng.randint(0, SLOTS, size=(PROBES, SLOTS))
+_BAND_ADD = np.concatenate((_BAND_ADD, _rng.randint(0, 2**62, size=SLOTS - SLOTS // ROWS, dtype=np.int64).astype(np.uint64)))
 _EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - 8)
 _words: dict[bytes, int] = {}
 
@@ -93,8 +95,13 @@ def densified(slots: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """Bucket keys, one row of BANDS for each non-empty set."""
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: the longest bands that miss few enough pairs at the threshold."""
+    return next(((SLOTS // r, r) for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (SLOTS // r) <= MISSED), (SLOTS, 1))
+
+
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Bucket keys, one row of ``bands`` for each non-empty set."""
     slots, filled = np.zeros((len(sets), SLOTS), np.uint64), np.zeros((len(sets), SLOTS), bool)
     for i, u in enumerate(sets):
         at = np.searchsorted(u, _EDGES)
@@ -102,23 +109,28 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         value = u[np.where(inside, at, 0)]
         filled[i] = inside & ((value >> np.uint64(56)) == np.arange(SLOTS, dtype=np.uint64))
         slots[i] = np.where(filled[i], value, np.uint64(0))
-    sig = densified(slots, filled)[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS)
-    return _mixed((sig * _ROW_MUL).sum(axis=2, dtype=np.uint64) + _BAND_ADD).view(np.int64)
+    sig = densified(slots, filled)[:, : bands * rows].reshape(len(sets), bands, rows)
+    return _mixed((sig * _ROW_MUL[:rows]).sum(axis=2, dtype=np.uint64) + _BAND_ADD[:bands]).view(np.int64)
 
 
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-        sizes = np.array([len(u) for u in sets], np.int64)
-        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64) for u in sets], np.int64).reshape(-1, 2)
-        some = np.flatnonzero(sizes)
-        flat = band_keys([sets[i] for i in some]).ravel() if len(some) else np.empty(0, np.int64)
-        offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), keys], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+def _features(percent: int):
+    bands, rows = banding(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            sizes = np.array([len(u) for u in sets], np.int64)
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64) for u in sets], np.int64).reshape(-1, 2)
+            some = np.flatnonzero(sizes)
+            flat = band_keys([sets[i] for i in some], bands, rows).ravel() if len(some) else np.empty(0, np.int64)
+            offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0)))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), keys], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -229,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared_dir(spark)
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = stored(docs.mapInArrow(_features, _FEATURES), "minhash-features")
+    features = stored(docs.mapInArrow(_features(percent), _FEATURES), "minhash-features")
     known = features.where("n_shingles > 0 and doc_id is not null")
     classes = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     own = known.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])

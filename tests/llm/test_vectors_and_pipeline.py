@@ -138,6 +138,14 @@ def test_mixing_without_labels(labelled):
     assert mixing.mixed(docs.limit(0), mixing.label_domains(labels)).count() == 0
 
 
+def test_near_dedup_stage_at_80_percent_and_repeated_rows(spark):
+    """Shingle sets of 90 with 81 in common (0.818 similar) and with 78 in common (0.765); rows that repeat a doc_id."""
+    base = [f"t{i}" for i in range(94)]
+    texts = [(1, " ".join(base)), (2, " ".join(base[9:] + [f"n{i}" for i in range(9)])), (3, " ".join([f"m{i}" for i in range(12)] + base[:-12])), (4, "alone " * 3 + "here"), (4, "alone " * 3 + "here"), (5, None), (5, None), (None, "no id at all here"), (None, "no id at all here")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*x, "en") for x in texts], "doc_id long, text string, lang string"), "")
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 1, 3, 4, 5]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     whole = docs.select("doc_id", "text", "lang", "source", "n_chars")
     whole.write.parquet(f"{tmp_path}/documents.parquet")
