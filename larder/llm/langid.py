@@ -26,6 +26,8 @@ from larder.llm.common import text_batches
 
 #: Rows of each language that its profile is fitted on; ranks of a profile and of a document.
 TRAIN_ROWS, RANKS = 2000, 400
+#: Low quantile of the labelled scores, the part of it that is enough, and labelled rows from which a length class has its own.
+LOW_QUANTILE, LOW_MARGIN, CLASS_ROWS = 0.01, 0.65, 50
 UNKNOWN = "und"
 
 Profiles = tuple[list[str], np.ndarray, np.ndarray]
@@ -63,15 +65,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles from ``labelled`` (doc_id, text, lang): names, sorted n-grams, and rank by n-gram and name."""
-    spark = labelled.sparkSession
-    text_batches(spark)
+def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(lang, text) of the labelled rows of at most ``rows`` doc_ids of each language, those of the smallest hash."""
     usable = labelled.where("lang is not null and text is not null")
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.select("lang", "doc_id").distinct().withColumn("place", order).where(F.col("place") <= rows).select("lang", "doc_id")
-    texts = usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
-    counts = texts.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
+    """Profiles from ``labelled`` (doc_id, text, lang): names, sorted n-grams, and rank by n-gram and name."""
+    text_batches(labelled.sparkSession)
+    counts = sampled(labelled, rows).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS).collect()
     names = sorted({r["lang"] for r in top})
     keys = np.array(sorted({r["gram"] for r in top}), np.int64)
@@ -119,12 +124,37 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), language(F.col("text"), profiles).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def length_class(text: Column) -> Column:
+    """Texts of about the same length, by doublings."""
+    return F.floor(F.log2(F.char_length(text) + F.lit(1.0))).cast("int")
+
+
+def least_scores(labelled: DataFrame, profiles: Profiles) -> dict[str, dict[int | None, float]]:
+    """For each language, and length class of enough labelled rows (None for all), the least score of a text in it."""
+    found = sampled(labelled).select("lang", length_class(F.col("text")).alias("length"), language(F.col("text"), profiles).alias("p")).where((F.col("p.lang") == F.col("lang")) & (F.col("p.score") > 0))
+    out: dict[str, dict[int | None, float]] = {}
+    for r in found.cube("lang", "length").agg(F.grouping("length").alias("whole"), F.count("*").alias("n"), F.percentile_approx("p.score", LOW_QUANTILE, 10000).alias("low")).where("lang is not null").collect():
+        if r["whole"] or r["n"] >= CLASS_ROWS:
+            out.setdefault(r["lang"], {})[None if r["whole"] else r["length"]] = LOW_MARGIN * r["low"]
+    return out
+
+
 def spoken(docs: DataFrame, least_score: float = 0.02) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language: not ``und``, score at least ``least_score``."""
+    """The rows of ``docs`` whose text is in a learned language: not ``und``, and no further from its profile than labelled texts are.
+
+    The least score is ``LOW_MARGIN`` of a low quantile of the labelled texts of that language and about that length (of any
+    length where they are few), ``least_score`` at least and for a language without such texts.
+    """
     text_batches(docs.sparkSession)
     profiles = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
     at = "_language"
     while at in docs.columns:
         at += "_"
+    least = F.lit(least_score)
+    for lang, by_length in least_scores(docs.select("doc_id", "text", "lang"), profiles).items():
+        own = F.lit(by_length.pop(None))
+        for length, low in sorted(by_length.items()):
+            own = F.when(length_class(F.col("text")) == length, F.lit(low)).otherwise(own)
+        least = F.when(F.col(f"{at}.lang") == lang, F.greatest(own, F.lit(least_score))).otherwise(least)
     found = docs.withColumn(at, language(F.col("text"), profiles))
-    return found.where((F.col(f"{at}.lang") != UNKNOWN) & (F.col(f"{at}.score") >= least_score)).select(*docs.columns)
+    return found.where((F.col(f"{at}.lang") != UNKNOWN) & (F.col(f"{at}.score") >= least)).select(*docs.columns)

@@ -109,6 +109,20 @@ def test_language_held_out_and_undetermined(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in rows} - {900, 901, 902}
 
 
+def test_foreign_latin_script_and_random_letters_go(spark):
+    import random
+
+    random.seed(2)
+    plain = {
+        "en": "the people of this town have been working with their neighbours for many years and they know that the river will rise when the snow melts in the mountains above them".split(),
+        "de": "die leute dieser stadt arbeiten seit vielen jahren mit ihren nachbarn und sie wissen dass der fluss steigen wird wenn der schnee in den bergen schmilzt".split(),
+    }
+    rows = [(i, " ".join(random.choices(plain[lang], k=random.randint(8, 60))), lang) for i in range(300) for lang in [("en", "de")[i % 2]]]
+    rows += [(900, "mieszkańcy tego miasta od wielu lat pracują ze swoimi sąsiadami i wiedzą że rzeka wzbierze gdy stopnieje śnieg", None), (901, "tämän kaupungin asukkaat ovat työskennelleet naapureidensa kanssa jo vuosia ja tietävät että joki nousee", None), (902, "".join(random.choices("abcdefghijklmnopqrstuvwxyz     ", k=200)), None), (903, "жители этого города работают hello с соседями много лет", None), (904, rows[0][1] + " snow", None)]
+    kept = langid.spoken(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r["doc_id"] for r in kept.collect()} == {*range(300), 904}
+
+
 def test_language_without_labels(spark):
     got = langid.identify(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).first()
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
