@@ -3,8 +3,9 @@
 Words that occur once in the text and once in the template anchor the alignment; the longest
 increasing subsequence of the anchors is kept, and the gaps between them are aligned again, down to
 gaps without anchors, whose common ends are matched. Coverage is the share of the template's words that are
-aligned. A text is aligned with a template only where it holds enough of the words that the
-fewest templates share; below that the coverage could not reach the threshold.
+aligned. A text is aligned in overlapping windows of about one and of three template lengths, so that a license that it
+holds twice is found, and only where a window holds enough of the template's words, each counted as often as
+the template has it at most; below that the coverage could not reach the threshold.
 
 Defined results: a null or empty text has no license; the best template by coverage wins, ties go to the first
 name; ``first_word`` and ``last_word`` are word places of the aligned stretch, from 0, null without a license.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from larder.llm.common import text_batches
 
-#: Coverage from which a template counts as found, and the words of gap that make a stretch end when a window is sought.
+#: Coverage from which a template counts as found.
 LEAST_COVERAGE = 0.8
 
 # License notices and short license texts, as their licensors word them.
@@ -93,34 +94,37 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 @functools.cache
-def _templates() -> tuple[list[tuple[str, list[str], set[str]]], frozenset[str]]:
+def _templates() -> tuple[list[tuple[str, list[str], Counter[str]]], frozenset[str]]:
     read = [(name, words(text)) for name, text in TEMPLATES.items()]
-    return [(name, ws, set(ws)) for name, ws in read], frozenset(w for _, ws in read for w in ws)
+    return [(name, ws, Counter(ws)) for name, ws in read], frozenset(w for _, ws in read for w in ws)
 
 
-def _windows(text: list[str], template: set[str], size: int) -> Iterator[tuple[int, int]]:
-    """Stretches of the text around places of the template's words that lie close together."""
-    places = [i for i, w in enumerate(text) if w in template]
-    start = 0
-    for k in range(1, len(places) + 1):
-        if k == len(places) or places[k] - places[k - 1] > size:
-            if k - start >= 2:
-                yield max(0, places[start] - 1), min(len(text), places[k - 1] + 2)
-            start = k
+def _windows(places: list[int], text: list[str], counts: Counter[str], size: int, need: float) -> Iterator[tuple[int, int]]:
+    """Overlapping stretches of the text that hold enough of the template's words, each as often as the template at most."""
+    # Within any of the lengths, a stretch shorter by a step lies whole in one window.
+    for length, step in ((size + size // 4, max(1, size // 4)), (3 * size, size)):
+        last = None
+        for place in places:
+            lo = place // step * step
+            if lo == last:
+                continue
+            last = lo
+            inside = places[bisect.bisect_left(places, lo) : bisect.bisect_left(places, lo + length)]
+            if len(inside) >= need and sum((Counter(text[i] for i in inside) & counts).values()) >= need:
+                yield inside[0], inside[-1] + 1
 
 
 def best_license(text: str | None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int | None, int | None]:
     """(name, coverage, first word, last word) of the template that covers best."""
     templates, every = _templates()
     ws = words(text or "")
-    known = every.intersection(ws)
+    known = Counter(w for w in ws if w in every)
     best: tuple[str | None, float, int | None, int | None, int] = (None, 0.0, None, None, 0)
-    if len(known) < 3:
-        return best[:4]
-    for name, template, own in templates:
-        if len(own & known) < least * len(own):
+    for name, template, counts in templates:
+        need = least * len(template) - 1e-9
+        if sum((known & counts).values()) < need:
             continue
-        for lo, hi in _windows(ws, own, len(template)):
+        for lo, hi in _windows([i for i, w in enumerate(ws) if w in counts], ws, counts, len(template), need):
             pairs = aligned(ws[lo:hi], template)
             # Of the matches, the stretch that is no longer than twice the template holds a license; strays before it don't count.
             end = 0

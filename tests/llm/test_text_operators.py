@@ -159,6 +159,22 @@ def test_licenses(spark):
     assert got == {1: "apache-2.0-notice", 2: None, 3: None, 4: None, 5: None, 6: "mit", 7: "mit-notice", 8: "cc-by-nc-4.0-notice"}
 
 
+@pytest.mark.parametrize("name", ["mit", "apache-2.0-header", "gpl-header", "isc", "mit-notice"])
+def test_license_twice_in_the_middle_of_a_text(name):
+    got = licenses.best_license(f"Intro of the work. {licenses.TEMPLATES[name]} some code of the kind {licenses.TEMPLATES[name]} End of the text")
+    assert (got[0], got[1]) == (name, 1.0)
+
+
+def test_license_words_count_with_repeats():
+    """A sixth of the words is missing, each of them one that occurs once, so that over a fifth of the distinct words is."""
+    whole = licenses.words(licenses.TEMPLATES["mit"])
+    once = [i for i, w in enumerate(whole) if whole.count(w) == 1]
+    gone = set(once[:: 2][: len(whole) // 6])
+    left = [w for i, w in enumerate(whole) if i not in gone]
+    assert len(set(left)) < 0.8 * len(set(whole))
+    assert licenses.best_license(f"intro {' '.join(left)} end")[0] == "mit"
+
+
 def test_patience_alignment():
     a, b = "a b c d e f g".split(), "a x c d y g".split()
     assert licenses.aligned(a, b) == [(0, 0), (2, 2), (3, 3), (6, 5)]
