@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.common import bound_batches
 from larder.llm.embdedup import matrix, usable
 
 #: Rows of a shard, edges of a node, nodes of the beam when building and searching, factor of pruning, points inserted and queries searched at once.
@@ -182,7 +183,7 @@ def _searched(k: int, beam: int):  # noqa: ANN202
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest other rows found for each row that ``is_query`` names."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bound_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable() & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     size, n = sizes[0] if sizes else (0, 0)

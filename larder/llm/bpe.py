@@ -3,21 +3,29 @@
 Encoding: a text is cut into pieces by the tokenizer's pattern; a piece that is in the
 vocabulary is one token. The bytes of every other piece become token-position rows. A recursive
 query joins neighbouring rows with the merge table, finds each word's pair of least rank and
-contracts it, leftmost first, until no pair of any word merges. There are two forms of it. That
-for common pieces keeps each row's neighbour and pair, and touches only the rows about the
-contraction. That for pieces of over SHORT bytes contracts all occurrences of the least pair
-in one pass where that can't change the outcome, which is where no merge that takes the new
-token has a smaller rank, and elsewhere the leftmost, so that long pieces need few passes.
-
-Decoding: rows (doc, pos, id) join the vocabulary, and an ordered aggregation joins the bytes.
-
-Defined results: a null text counts as empty, has no ids and decodes to no bytes. Rows may
-repeat; doc_id is passed through, null included. Only ids that the vocabulary has can be decoded.
+contracts it, leftmost first, until no pair of any word merges. It keeps each row's neighbour and
+pair, and touches only the rows about the contraction.
+
+A piece of over ``STRETCH`` bytes is contracted in overlapping stretches, so that neither the passes nor the
+memory of a query grow with it. Two stretches that have a token in common (the same bytes at the same place) are joined there.
+That is exact: merges never cross what ends up as a boundary, so the tokens between two boundaries of an
+encoding are the encoding of their own bytes, and a row of tokens whose neighbours are each
+encoded so in some stretch is the encoding of the whole. Where two have no token in common, a stretch from one of the last boundaries
+on bridges them, twice as long each time that this fails too.
+
+Decoding: rows (doc, pos, id) join the vocabulary, and an ordered aggregation joins the bytes, in runs of
+at most ``CHUNK_TOKENS`` tokens, within one document too.
+
+Defined results: a null text counts as empty, has no ids and decodes to no bytes. A very long text goes through in
+runs of pieces; what a worker holds beyond its texts, their ids and bytes is bounded. Rows may
+repeat; doc_id is passed through, null included; other columns are ignored. An empty table gives an empty one. Only ids that the vocabulary has can be decoded.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -28,17 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larder.llm.common import text_batches
+from larder.llm.common import bound_batches
 
-#: Text bytes (encoding) and tokens (decoding) that go through one query, and pieces remembered by a worker.
-CHUNK_BYTES, CHUNK_TOKENS, CACHE_PIECES = 5_000_000, 700_000, 250_000
-#: Bytes of the longest piece that the first form contracts.
-SHORT = 64
-DUCKDB_MEMORY = "400MB"
+#: Characters (encoding) and tokens (decoding) taken at once, bytes of pieces in one query, bytes of pieces remembered by a worker.
+CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 500_000, 200_000, 400_000, 48_000_000
+#: Pieces of a very long text taken at once, and about what an entry of the cache takes beside its bytes.
+CHUNK_PIECES, ENTRY_BYTES = 200_000, 200
+#: Bytes of the longest word that a query contracts whole; longer pieces go in stretches of that many, each half over the next.
+STRETCH = 64
+DUCKDB_MEMORY = "200MB"
 
 _state: dict[str, Codec] = {}
 
-_CONTRACT_SHORT = """
+_CONTRACT = """
 WITH RECURSIVE step AS (
   SELECT word, idx, tok, nxt, m.id, false AS done FROM start LEFT JOIN merges m ON m.pair = (tok::BIGINT << 32) | nxt
   UNION ALL (
@@ -60,35 +70,6 @@ WITH RECURSIVE step AS (
 SELECT word, tok FROM step WHERE done ORDER BY word, idx
 """
 
-# Rows keep a position that is unique over all words; the last row of a word has no pair, so that
-# one window over all rows never reaches from a word into the next.
-_CONTRACT_LONG = """
-WITH RECURSIVE step AS (
-  SELECT pos, word, tok, false AS done FROM start
-  UNION ALL (
-    WITH paired AS MATERIALIZED (
-      SELECT p.*, m.id, m.safe
-      FROM (
-        SELECT pos, word, tok, row_number() OVER w AS rn, CASE WHEN lead(word) OVER w = word THEN lead(tok) OVER w END AS nxt
-        FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)
-      ) p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 32) | p.nxt
-    ), least AS (
-      SELECT word, min((id::BIGINT << 32) | rn) AS best FROM paired WHERE id IS NOT NULL GROUP BY word
-    ), marked AS (
-      SELECT p.*, best, coalesce(id = best >> 32 AND (safe OR rn = best & 4294967295), false) AS hit
-      FROM paired p LEFT JOIN least USING (word)
-    )
-    SELECT pos, word, CASE WHEN hit AND (rn - before) % 2 = 1 THEN id ELSE tok END AS tok, best IS NULL AS done
-    FROM (
-      SELECT *, coalesce(max(CASE WHEN NOT hit THEN rn END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM marked
-    )
-    WHERE before = rn - 1 OR (rn - before) % 2 = 1
-  )
-)
-SELECT word, tok FROM step WHERE done ORDER BY pos
-"""
-
 _DECODE = "SELECT doc, string_agg(v.piece, '' ORDER BY pos) AS piece FROM ids JOIN vocabulary v ON v.id = ids.id GROUP BY doc"
 
 
@@ -114,12 +95,11 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks = read_ranks(path)
-        self.find = regex.compile(pattern).findall
-        self.find_latin = re.compile(_latin(pattern)).findall
+        self.ranks = ranks = read_ranks(path)
+        self.find, self.find_latin = regex.compile(pattern), re.compile(_latin(pattern))
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        ranks = self.ranks
+        self.held = 0
         left, right, made = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -128,13 +108,11 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     made.append(rank)
-        first_use = np.full(max(ranks.values(), default=0) + 1, 2**31 - 1, np.int64)
-        np.minimum.at(first_use, np.array(left, np.int64), np.array(made, np.int64))
-        np.minimum.at(first_use, np.array(right, np.int64), np.array(made, np.int64))
-        ids = np.array(made, np.int32)
-        merges = pa.table({"pair": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "id": ids, "safe": first_use[ids] > ids})
+        merges = pa.table({"pair": (np.array(left, np.int64) << 32) | np.array(right, np.int64), "id": np.array(made, np.int32)})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [token.decode("latin-1") for token in ranks]})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width[list(ranks.values())] = [len(token) for token in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows", rows)
@@ -145,56 +123,77 @@ class Codec:
     def of(cls, path: str, pattern: str) -> Codec:
         key = f"{path}\0{pattern}"
         if key not in _state:
+            for old in _state.values():
+                old.db.close()
             _state.clear()
             _state[key] = cls(path, pattern)
         return _state[key]
 
-    def contract(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece; none is empty."""
-        sizes = np.array([len(p) for p in pieces], np.int64)
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word; none is empty."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(words):
+            start, size = at, 0
+            while at < len(words) and (at == start or size + len(words[at]) <= QUERY_BYTES):
+                size += len(words[at])
+                at += 1
+            out += self._query(words[start:at])
+        return out
+
+    def _query(self, words: list[bytes]) -> list[np.ndarray]:
+        sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1])
-        tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        word, pos = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), np.arange(total, dtype=np.int32)
-        if int(sizes.max()) <= SHORT:
-            last = np.zeros(total, bool)
-            last[ends - 1] = True
-            start, query = {"word": word, "idx": pos - np.repeat(ends - sizes, sizes).astype(np.int32), "tok": tok, "nxt": pa.array(np.append(tok[1:], tok[:1]), mask=last)}, _CONTRACT_SHORT
-        else:
-            start, query = {"word": word, "pos": pos, "tok": tok}, _CONTRACT_LONG
-        self.db.register("start", pa.table(start))
-        out = self.db.execute(query).fetchnumpy()
+        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        last = np.zeros(total, bool)
+        last[ends - 1] = True
+        idx = np.arange(total, dtype=np.int64) - np.repeat(ends - sizes, sizes)
+        self.db.register("start", pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "idx": idx.astype(np.int32), "tok": tok, "nxt": pa.array(np.append(tok[1:], tok[:1]), mask=last)}))
+        out = self.db.execute(_CONTRACT).fetchnumpy()
         self.db.unregister("start")
-        return np.split(np.asarray(out["tok"]).astype("<u4"), np.searchsorted(np.asarray(out["word"]), np.arange(1, len(pieces))))
+        return np.split(np.asarray(out["tok"]).astype("<u4"), np.searchsorted(np.asarray(out["word"]), np.arange(1, len(words))))
+
+    def long_piece(self, raw: bytes) -> bytes:
+        """The ids of a piece of more than ``STRETCH`` bytes."""
+        half, memo = STRETCH // 2, _Stretches(self)
+        done = _Joined(self.width)
+        for first in range(0, len(raw), QUERY_BYTES // 2):
+            places = range(first, min(first + QUERY_BYTES // 2, len(raw)), half)
+            memo.add({raw[p : p + STRETCH] for p in places})
+            for p in places:
+                stop = min(p + STRETCH, len(raw))
+                while done.end < stop and not done.joined(p, memo[raw[p:stop]]):
+                    size = STRETCH
+                    while not ((b := done.boundary(size // 2)) < done.end and done.joined(b, memo[raw[b : b + size]])):
+                        size *= 2
+        return np.array(done.ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces that the cache lacks into it."""
-        unknown: list[tuple[str, bytes]] = []
+        words: list[tuple[str, bytes]] = []
         for piece in pieces:
             raw = piece.encode("utf-8", "replace")
             rank = self.ranks.get(raw)
             if (ids := self.older.get(piece)) is not None:
-                self.cache[piece] = ids
+                self._keep(piece, ids)
             elif rank is not None:
-                self.cache[piece] = rank.to_bytes(4, "little")
+                self._keep(piece, rank.to_bytes(4, "little"))
+            elif len(raw) > STRETCH:
+                self._keep(piece, self.long_piece(raw))
             else:
-                unknown.append((piece, raw))
-        unknown.sort(key=lambda x: len(x[1]) > SHORT)
-        at = 0
-        while at < len(unknown):
-            start, size, long = at, 0, len(unknown[at][1]) > SHORT
-            while at < len(unknown) and size < CHUNK_BYTES // 2 and (len(unknown[at][1]) > SHORT) == long:
-                size += len(unknown[at][1])
-                at += 1
-            for (piece, _), ids in zip(unknown[start:at], self.contract([raw for _, raw in unknown[start:at]]), strict=True):
-                self.cache[piece] = ids.tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = []
-        cut = [(self.find_latin if t.isascii() or max(t) < "\u0100" else self.find)(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.older, self.cache = self.cache, {}
+                words.append((piece, raw))
+        for (piece, _), ids in zip(words, self.contract([raw for _, raw in words]), strict=True):
+            self._keep(piece, ids.tobytes())
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.cache[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces."""
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
         new: set[str] = set()
         for pieces in cut:
             new.update(pieces)
@@ -202,18 +201,90 @@ class Codec:
         if new:
             self.learn(new)
         known = self.cache.__getitem__
-        for pieces in cut:
-            out.append(b"".join(map(known, pieces)))
-        return out
+        return [b"".join(map(known, pieces)) for pieces in cut]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: dict[int, bytes] = {}
+        cut: list[list[str]] = []
+        for i, t in enumerate(texts):
+            find = self.find_latin if t.isascii() or t and max(t) < "\u0100" else self.find
+            if len(t) <= CHUNK_CHARS:
+                cut.append(find.findall(t))
+                continue
+            found, parts = (m[0] for m in find.finditer(t)), []
+            while pieces := list(itertools.islice(found, CHUNK_PIECES)):
+                parts += self._ids([pieces])
+            out[i] = b"".join(parts)
+        short = iter(self._ids(cut))
+        pa.default_memory_pool().release_unused()
+        return [out[i] if i in out else next(short) for i in range(len(texts))]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        tokens = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(tokens), dtype=np.int32), "id": tokens}))
-        found = dict(self.db.execute(_DECODE).fetchall())
-        self.db.unregister("ids")
-        return [found[i].encode("latin-1") if i in found else b"" for i in range(len(ids))]
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        tokens, doc = np.frombuffer(b"".join(ids), "<u4").astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends, prepend=0))
+        out: list[list[bytes]] = [[] for _ in ids]
+        for s in range(0, len(tokens), CHUNK_TOKENS):
+            part = tokens[s : s + CHUNK_TOKENS]
+            self.db.register("ids", pa.table({"doc": doc[s : s + CHUNK_TOKENS], "pos": np.arange(len(part), dtype=np.int32), "id": part}))
+            for i, piece in self.db.execute(_DECODE).fetchall():
+                out[i].append(piece.encode("latin-1"))
+            self.db.unregister("ids")
+        return [b"".join(x) for x in out]
+
+
+class _Stretches(dict):
+    """Ids of stretches, contracted when they are first asked for; forgets all rather than outgrow its bound."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, raw: bytes) -> list[int]:
+        self.add({raw})
+        return self[raw]
+
+    def add(self, words: set[bytes]) -> None:
+        if len(self) > QUERY_BYTES // STRETCH:
+            self.clear()
+        new = sorted(words - self.keys())
+        for raw, ids in zip(new, self.codec.contract(new), strict=True):
+            self[raw] = ids.tolist()
+
+
+class _Joined:
+    """Tokens of a piece from its start on, and where each ends."""
+
+    def __init__(self, width: np.ndarray) -> None:
+        self.width, self.ids, self.ends = width.tolist(), [], [0]
+
+    @property
+    def end(self) -> int:
+        return self.ends[-1]
+
+    def boundary(self, back: int) -> int:
+        """The first boundary of the last ``back`` bytes; the end itself where a token is longer than that."""
+        return self.ends[bisect.bisect_left(self.ends, self.ends[-1] - back)]
+
+    def joined(self, start: int, ids: list[int]) -> bool:
+        """Whether the tokens of the stretch at ``start`` have been joined at a token that both have."""
+        ends, at = [], start
+        for i in ids:
+            at += self.width[i]
+            ends.append(at)
+        if not start:
+            self.ids, self.ends = list(ids), [0, *ends]
+            return True
+        there = {e: j for j, e in enumerate(ends)}
+        k = len(self.ids)
+        while k and self.ends[k - 1] >= start:
+            j = there.get(self.ends[k])
+            if j is not None and self.ids[k - 1] == ids[j]:
+                self.ids[k:], self.ends[k + 1 :] = ids[j + 1 :], ends[j + 1 :]
+                return True
+            k -= 1
+        return False
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
@@ -234,7 +305,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tup
 def _encoded(path: str, pattern: str, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for rows in _gathered(batches, CHUNK_BYTES):
+        for rows in _gathered(batches, CHUNK_CHARS):
             ids = codec.encode([text or "" for _, text in rows])
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -253,7 +324,7 @@ def _decoded(path: str, pattern: str, key: pa.DataType) -> Callable[[Iterator[pa
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id, text); ids is little-endian uint32."""
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     key = docs.schema["doc_id"].dataType
     return docs.mapInArrow(_encoded(path, pattern, to_arrow_type(key)), f"doc_id {key.simpleString()}, ids binary")
@@ -261,7 +332,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, decoded, ids) for every row of ``encoded`` (doc_id, ids)."""
-    text_batches(encoded.sparkSession)
+    bound_batches(encoded.sparkSession)
     encoded = encoded.select("doc_id", "ids")
     key = encoded.schema["doc_id"].dataType
     return encoded.mapInArrow(_decoded(path, pattern, to_arrow_type(key)), f"doc_id {key.simpleString()}, decoded binary, ids binary")
@@ -293,7 +364,7 @@ def _chunks(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens and digests of the ids and of the decoded bytes."""
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     key = docs.schema["doc_id"].dataType
     both = docs.mapInArrow(_both(path, pattern, to_arrow_type(key)), f"doc_id {key.simpleString()}, decoded binary, ids binary")

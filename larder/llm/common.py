@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of text an Arrow batch holds at most; bounds what a Python worker keeps at once.
-TEXT_BATCH = 256
+#: Rows and bytes that an Arrow batch holds at most, the same for every operator: frames are lazy, and a session has one setting.
+BATCH_ROWS, BATCH_BYTES = 256, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; set to a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset and driver and tasks are one process.
+
+    On a cluster without that setting an error is raised, as no local folder is seen by all machines.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larder-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return folder or current.get()
@@ -42,11 +47,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound the rows of each Arrow batch, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def n_chars(text: Column) -> Column:
-    """Code points of a text, null where it is null."""
-    return F.char_length(text).cast("long")
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of each Arrow batch, so that batches of long texts stay small (a single row may be larger)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

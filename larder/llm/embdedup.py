@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, stored
+from larder.llm.common import bound_batches, cut, stored
 from larder.llm.components import connected_components, union_find
 
 #: Codes of each half, vectors that the codebooks are fitted on, k-means rounds, vectors of a part, queries compared at once.
@@ -148,7 +148,7 @@ def _compared(books: list[np.ndarray], threshold: float):  # noqa: ANN202
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    bound_batches(spark)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = vectors.where(usable() & F.col("vec_id").isNotNull())
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow().column(0).combine_chunks()

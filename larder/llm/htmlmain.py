@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, text_batches
+from larder.llm.common import cut, bound_batches
 
 #: Importance below which a text or branch goes, outside and inside of article elements, and the pages a node needs for statistics.
 LEAST, LEAST_INSIDE, LEAST_PAGES = 0.08, 0.005, 5
@@ -185,7 +185,7 @@ def host_of(url: str = "url") -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
-    text_batches(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of().alias("host"))
     low = cut(low_importance(pages))
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_HASHES:

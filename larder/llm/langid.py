@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import text_batches
+from larder.llm.common import bound_batches
 
 #: Rows of each language that its profile is fitted on; ranks of a profile and of a document.
 TRAIN_ROWS, RANKS = 2000, 400
+#: Characters of a text whose n-grams are counted at once.
+SLICE = 500_000
 #: Low quantile of the labelled scores, the part of it that is enough, and labelled rows from which a length class has its own.
 LOW_QUANTILE, LOW_MARGIN, CLASS_ROWS = 0.01, 0.65, 50
 UNKNOWN = "und"
@@ -39,13 +41,22 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the letters of a text as integers, and their counts."""
-    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    code = np.where(_letters()[code], code, 32)
+    """Distinct n-grams of the letters of a text as integers, and their counts; counted in slices, so that a long text needs little more than its codes."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")
+    code = np.where(_letters()[code], code, np.uint32(32))
     code = code[np.append(True, (code[1:] != 32) | (code[:-1] != 32))]
-    two = (code[:-1] << 21) | code[1:]
-    three = (two[:-1] << 21) | code[2:]
-    return np.unique(np.concatenate((code[code != 32], two, three)), return_counts=True)
+    keys, counts = [], []
+    for s in range(0, len(code), SLICE):
+        part = code[s : s + SLICE + 2].astype(np.int64)
+        two = (part[:-1] << 21) | part[1:]
+        one, two, three = part[:SLICE], two[:SLICE], (two[:-1] << 21) | part[2:]
+        key, count = np.unique(np.concatenate((one[one != 32], two, three)), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
 
 def ranked(text: str | None) -> np.ndarray:
@@ -75,7 +86,7 @@ def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles from ``labelled`` (doc_id, text, lang): names, sorted n-grams, and rank by n-gram and name."""
-    text_batches(labelled.sparkSession)
+    bound_batches(labelled.sparkSession)
     counts = sampled(labelled, rows).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS).collect()
     names = sorted({r["lang"] for r in top})
@@ -118,7 +129,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of ``docs`` (doc_id, text, lang)."""
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     if profiles is None:
         profiles = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
     return docs.select("doc_id", held_out().alias("held_out"), language(F.col("text"), profiles).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
@@ -145,7 +156,7 @@ def spoken(docs: DataFrame, least_score: float = 0.02) -> DataFrame:
     The least score is ``LOW_MARGIN`` of a low quantile of the labelled texts of that language and about that length (of any
     length where they are few), ``least_score`` at least and for a language without such texts.
     """
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     profiles = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
     at = "_language"
     while at in docs.columns:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larder.llm.common import text_batches
+from larder.llm.common import bound_batches
 
 #: Coverage from which a template counts as found.
 LEAST_COVERAGE = 0.8
@@ -149,6 +149,6 @@ def _scanned(least: float):  # noqa: ANN202
 
 def license_scan(docs: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id, license, coverage, first_word and last_word for every row of ``docs`` (doc_id, text)."""
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(_scanned(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word long, last_word long")

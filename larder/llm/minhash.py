@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, shared_dir, stored, text_batches
+from larder.llm.common import cut, shared_dir, stored, bound_batches
 from larder.llm.components import connected_components, union_find
 
 WORDS = 5
@@ -36,7 +36,8 @@ SLOTS = 256
 ROWS, MISSED = 8, 1e-4
 #: Probes of a slot before it takes the next filled slot; one in 1e14 needs more.
 PROBES = 4096
-WORD_CACHE = 400_000
+#: Words that a task remembers.
+WORD_CACHE = 100_000
 #: Documents of a block, and columns of a slice of its 0-1 matrix.
 BLOCK, SLICE = 768, 2048
 
@@ -47,7 +48,6 @@ _BAND_ADD = _rng.randint(0, 2**62, size=SLOTS // ROWS, dtype=np.int64).astype(np
 _PROBE = _rng.randint(0, SLOTS, size=(PROBES, SLOTS))
 _BAND_ADD = np.concatenate((_BAND_ADD, _rng.randint(0, 2**62, size=SLOTS - SLOTS // ROWS, dtype=np.int64).astype(np.uint64)))
 _EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - 8)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,12 +56,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles (A-Z lower-cased, ASCII white space)."""
+def shingle_set(text: str | None, known: dict[bytes, int], words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles (A-Z lower-cased, ASCII white space).
+
+    ``known`` remembers hashes of words; it is the caller's, so that nothing of it outlives a task.
+    """
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    known = _words
     if len(known) > WORD_CACHE:
         known.clear()
     try:
@@ -120,8 +122,9 @@ def _features(percent: int):
     bands, rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), known) for t in batch.column(1)]
             sizes = np.array([len(u) for u in sets], np.int64)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64) for u in sets], np.int64).reshape(-1, 2)
             some = np.flatnonzero(sizes)
@@ -135,14 +138,14 @@ def _features(percent: int):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.empty(0, np.uint64)
+        hub, own, known = None, np.empty(0, np.uint64), {}
         for batch in batches:
             a, ta, b, tb = (batch.column(i) for i in range(4))
             keep = []
             for i, x in enumerate(a.to_pylist()):
                 if x != hub:
-                    hub, own = x, shingle_set(ta[i].as_py())
-                other = shingle_set(tb[i].as_py())
+                    hub, own = x, shingle_set(ta[i].as_py(), known)
+                other = shingle_set(tb[i].as_py(), known)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
             mask = pa.array(keep, pa.bool_())
@@ -182,7 +185,7 @@ def _block_links(percent: int):
         return pa.RecordBatch.from_arrays([pa.array([y for _, y in found], pa.int64()), pa.array([x for x, _ in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, comps, sets = None, [], [], []
+        now, docs, comps, sets, known = None, [], [], [], {}
         for batch in batches:
             for family, lo, hi, doc, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, lo, hi) != now:
@@ -191,7 +194,7 @@ def _block_links(percent: int):
                     now, docs, comps, sets = (family, lo, hi), [], [], []
                 docs.append(doc)
                 comps.append(comp)
-                sets.append(shingle_set(text))
+                sets.append(shingle_set(text, known))
         if len(docs) > 1:
             yield linked(docs, comps, sets)
 
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    text_batches(spark)
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = stored(docs.mapInArrow(_features(percent), _FEATURES), "minhash-features")
     known = features.where("n_shingles > 0 and doc_id is not null")

@@ -9,7 +9,8 @@ stitches documents across block boundaries, however many blocks they span.
 Files are written by tasks into the shared folder through the file system that its address names;
 a task that runs again writes a new file, and only files named in the committed listing are read.
 
-Defined results: a null or empty text has 0 tokens, repeated rows are documents of their own, doc_id may be null. A file whose last
+Defined results: a null or empty text has 0 tokens, repeated rows are documents of their own, doc_id may be null, other columns are
+ignored, an empty table gives an empty one. A very long text is encoded as a whole by its task and its ids may span any number of blocks. A file whose last
 document lacks its end counts it as a document too.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.bpe import read_ranks
-from larder.llm.common import shared_dir, stored, text_batches
+from larder.llm.common import shared_dir, stored, bound_batches
 
 #: Bytes of a block of a scan, documents encoded at once, and bytes after which a task begins another file.
 BLOCK_BYTES, ENCODE_DOCS, FILE_BYTES = 4 << 20, 64, 256 << 20
@@ -69,7 +70,7 @@ def _written(ranks_path: str, pattern: str, end_id: int, folder: str):  # noqa:
 
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str, pattern: str, end_id: int) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to flat files below ``folder``; (doc_id, file, place in the file)."""
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     docs = docs.select("doc_id", "text")
@@ -80,23 +81,21 @@ def _scanned(folder: str, end_id: int, width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
         for batch in batches:
-            ends, tails = [], []
-            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # One row at a time: a block of nothing but ends has as many counts as ids.
+            for at, (name, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 with system.open_input_file(f"{path}/{name}") as file:
                     raw = file.read_at(min(BLOCK_BYTES, file.size() - block * BLOCK_BYTES), block * BLOCK_BYTES)
-                at = np.flatnonzero(np.frombuffer(raw, f"<u{width}") == end_id)
-                ends.append(np.diff(at, prepend=-1) - 1)
-                tails.append(len(raw) // width - (int(at[-1]) + 1 if len(at) else 0))
-            offsets = np.concatenate(([0], np.cumsum([len(e) for e in ends]))).astype(np.int32)
-            counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ends).astype(np.int64) if ends else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, pa.array(tails, pa.int64())], ["file", "block", "counts", "tail"])
+                ends = np.flatnonzero(np.frombuffer(raw, f"<u{width}") == end_id)
+                counts = pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(np.diff(ends, prepend=-1) - 1, pa.int64()))
+                tail = len(raw) // width - (int(ends[-1]) + 1 if len(ends) else 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), counts, pa.array([tail], pa.int64())], ["file", "block", "counts", "tail"])
 
     return run
 
 
 def scan_token_files(files: DataFrame, folder: str, end_id: int, width: int) -> DataFrame:
     """(file, place, n_tokens) of every document in ``files`` (file, bytes)."""
-    text_batches(files.sparkSession, 16)
+    bound_batches(files.sparkSession)
     blocks = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {BLOCK_BYTES}"))).alias("block"))
     found = blocks.repartition("file", "block").mapInArrow(_scanned(folder, end_id, width), "file string, block long, counts array<long>, tail long")
     in_order = Window.partitionBy("file").orderBy("block")

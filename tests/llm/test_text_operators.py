@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -35,6 +36,31 @@ def test_bpe_hard_pieces(reference, text):
     assert codec.decode(ids) == [text.encode(), b""]
 
 
+def test_bpe_long_pieces(reference):
+    """Long pieces go in stretches: as the library does, in time and memory that grow no faster than they do."""
+    rng = random.Random(1)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    runs = "".join("a" * rng.randint(1, 150) + "b" for _ in range(300))
+    codec = bpe.Codec.of(PATH, P.PATTERN)
+    for text in (letters, runs, "ab" * 40_000, "".join(rng.choices("ab", k=20_000)), "=" * 5001 + "-" * 999, " " * 3001 + "x", "漢字" * 999, "the" * 999 + "theother" * 99):
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
+    eights = codec.encode(["a" * 8_000_000])
+    assert len(eights[0]) // 4 == 2_000_000 == len(reference.encode_ordinary("a" * 8_000)) * 1000
+    assert codec.decode(eights) == [b"a" * 8_000_000]
+
+
+def test_bpe_bounds_hold_for_long_texts(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 100)
+    monkeypatch.setattr(bpe, "CHUNK_PIECES", 7)
+    monkeypatch.setattr(bpe, "CHUNK_TOKENS", 11)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
+    text = "Some words, don't they: été 漢字 12345 x " * 40
+    codec = bpe.Codec.of(PATH, P.PATTERN)
+    ids = codec.encode(["", text, "short", text[:99]])
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [reference.encode_ordinary(t) for t in ("", text, "short", text[:99])]
+    assert codec.decode(ids) == [t.encode() for t in ("", text, "short", text[:99])]
+
+
 def test_bpe_encode_and_decode_apart(docs, spark, reference):
     got = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in got} == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -92,8 +118,6 @@ def test_redaction_keeps_columns_and_other_text(spark):
 
 
 def test_language_held_out_and_undetermined(spark):
-    import random
-
     random.seed(1)
     syllables = {"en": ["the", "ing", "er", "and", "tion"], "de": ["sch", "ung", "ein", "ß", "ver"], "fr": ["eau", "é", "oi", "que", "ç"]}
     rows = [(i, " ".join("".join(random.choices(syllables[lang], k=3)) for _ in range(30)), lang) for i in range(150) for lang in [("en", "de", "fr")[i % 3]]]
@@ -110,8 +134,6 @@ def test_language_held_out_and_undetermined(spark):
 
 
 def test_foreign_latin_script_and_random_letters_go(spark):
-    import random
-
     random.seed(2)
     plain = {
         "en": "the people of this town have been working with their neighbours for many years and they know that the river will rise when the snow melts in the mountains above them".split(),
