@@ -1,19 +1,30 @@
 """Main text of pages by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of tags with their first class or id.
-A node's presentation is the sequence of its child tags on a page, its content are its blocks of text.
-By the entropy over the host's pages, what stands on nearly every page has an importance
-near 0 and what belongs to one page an importance of 1 (for a text on c of the m pages that have the node: 1 - ln c / ln m).
-Low-importance texts and branches are removed from each page; inside article or main elements only
-what is on practically all pages is. Elements whose tag, role, class or id names furniture (menus,
-headers, footers, sidebars, adverts, notices, forms, comments) are never content, for a host with
-one page tells nothing by entropy.
-
-Only boilerplate leaves the statistics: a row for each host with its low-importance hashes, about
-as many as a page has blocks. Counts are combined before the shuffle, a very common host joins like any skewed key.
-
-Defined results: a null html is empty text; a null or hostless url is a site of its own without statistics; pages of a host
-with the same main text (repeated rows, mirrored copies) count once in the statistics.
+The pages of a host are merged into one tree: a node is an element by its chain of tags, each with its first class or
+else id. A node's presentation on a page is the sequence of its children's tags, its content the
+blocks of text right in it. Over the m distinct pages of the host that have a node,
+
+* a text on c of them has the importance 1 - ln c / ln m: 0 on all pages, 1 on one,
+* the node's content has the mean importance of its texts, each weighed by its length and its pages, and
+* its presentation has its entropy to the base m: 0 where all pages lay it out alike.
+
+On each page importance is composed upwards: a node takes ``PRESENTATION`` of its own presentation and the rest of its
+content and children, weighed by their length. A branch whose composite importance is below the threshold goes with all that
+it holds, unless some part of it has an importance of ``MEANINGFUL`` or more; a text of low importance goes wherever it
+stands. Inside of article and main elements only what is on practically all pages is low. Nodes of fewer than
+``LEAST_PAGES`` pages tell nothing and count as content.
+
+Statistics can't tell an advert whose words are new on every page, nor anything on a host with few pages. So
+elements that HTML itself sets apart (nav, footer, aside, form and the like), and those with a class or id that
+is made of nothing but words for furniture and for boxes (``site-header``, but not ``no-sidebar``), count as removed branches, unless they
+wrap the page's main element, or most of its text where it has none. They are no evidence in the statistics.
+
+Only boilerplate leaves the statistics: for each host its low texts and its nodes without important texts. All sums are
+combined before the shuffle, so a very common host joins and adds up like any skewed key.
+
+Defined results: a null or empty html, or one without text, is empty text; a null or hostless url is a site of its own without statistics;
+pages of a host with the same main text (repeated rows, mirrored copies) count once in the statistics, and each has its row; an empty
+table gives an empty one; other columns are ignored. Very long pages are parsed whole, in memory and time that grow with their length.
 """
 
 from __future__ import annotations
@@ -27,155 +38,219 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, bound_batches
+from larder.llm.common import bound_batches, cut, stored
 
-#: Importance below which a text or branch goes, outside and inside of article elements, and the pages a node needs for statistics.
-LEAST, LEAST_INSIDE, LEAST_PAGES = 0.08, 0.005, 5
-#: Low-importance hashes (8 bytes each) up to which they are broadcast, counted first; parts of a host beyond.
-BROADCAST_HASHES, HOST_PARTS = 500_000, 32
+#: Importance below which a text or a branch goes, and either inside of article elements, and the pages a node needs for statistics.
+LEAST, LEAST_BRANCH, LEAST_INSIDE, LEAST_PAGES = 0.08, 0.2, 0.005, 5
+#: Share of the presentation in a node's importance; importance of a part that keeps its branch.
+PRESENTATION, MEANINGFUL = 0.1, 0.5
+#: Share of a page's text from which an element that names say is furniture is rather its wrapper: forms and headers, other elements.
+WRAPS, WRAPS_NAMED = 0.5, 0.8
+#: Low texts and nodes (about 24 bytes each) up to which they are broadcast, counted first; parts of a host beyond.
+BROADCAST_ROWS, HOST_PARTS = 300_000, 32
 
-# HTML elements by their part in a page.
-_DROP = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "audio", "video", "head", "title", "nav", "footer", "aside", "form", "select", "button", "textarea", "input", "label", "fieldset", "dialog", "menu", "datalist", "option"}
+# HTML elements by their part in a page, and words of classes and ids.
+_NEVER = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "audio", "video", "head", "title", "nav", "footer", "aside", "select", "button", "textarea", "input", "label", "dialog", "menu", "datalist", "option"}
+_WRAPPERS = {"form", "fieldset", "header"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _MAIN = {"article", "main"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
-_FURNITURE = {"nav", "navbar", "navigation", "menu", "header", "masthead", "topbar", "footer", "foot", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "adverts", "banner", "promo", "promotion", "sponsor", "sponsored", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "comment", "comments", "respond", "reply", "replies", "disqus", "form", "search", "login", "signup", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "overlay", "widget", "toolbar", "skip", "legal", "disclaimer", "copyright"}
+_PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_FURNITURE = {"nav", "navbar", "navigation", "menu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "adverts", "banner", "promo", "promotion", "sponsor", "sponsored", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "respond", "reply", "replies", "disqus", "form", "search", "login", "signup", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "overlay", "toolbar", "disclaimer", "copyright"}
+_COMMENTS = {"comment", "comments"}
+_BOXES = {"site", "global", "top", "bottom", "left", "right", "upper", "lower", "primary", "secondary", "box", "wrap", "wrapper", "container", "area", "list", "bar", "block", "section", "slot", "unit", "item", "inner", "outer", "widget", "links", "text", "thread", "reader", "user", "body", "div", "id"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
-_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAMED = re.compile(r"""(?i)(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|$))""")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])").findall
 
+#: What names say of an element: content, furniture unless it wraps the page, never content.
+CONTENT, FURNITURE, NEVER = 0, 1, 2
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "replace")) - 2**63
 
+def _hash(*parts: object) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace")) - 2**63
 
-class Block:
-    """A run of text between block boundaries."""
 
-    __slots__ = ("inside", "path", "text")
+def named(value: str) -> int:
+    """What a class or id says of its element: each of its names is taken whole."""
+    says = CONTENT
+    for name in value.split():
+        words = {w.lower() for w in _WORDS(name)}
+        if words and words <= _FURNITURE | _COMMENTS | _BOXES and words & (_FURNITURE | _COMMENTS):
+            says = max(says, NEVER if words & _COMMENTS else FURNITURE)
+    return says
 
-    def __init__(self, path: str, text: str, inside: bool) -> None:
-        self.path, self.text, self.inside = path, text, inside
 
+class Node:
+    """An element of a page with what the tree knows it by, its blocks of text and its children."""
 
-def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The blocks of a page that are not furniture, and (path, child tags) of its elements."""
+    __slots__ = ("blocks", "children", "gone", "inside", "key", "length", "main", "parent", "says", "shape", "tag")
+
+    def __init__(self, tag: str, key: int, parent: Node | None, says: int, inside: bool) -> None:
+        self.tag, self.key, self.parent, self.says, self.inside = tag, key, parent, says, inside
+        self.blocks: list[tuple[int, str]] = []
+        self.children: list[Node] = []
+        self.shape: list[str] = []
+        self.length, self.main, self.gone = 0, inside, False
+
+
+def parse(page: str) -> list[Node]:
+    """The elements of a page in their order, the root first; what names say is furniture is marked as gone. Blocks are numbered."""
     page = _RAW.sub(" ", page)
-    blocks: list[Block] = []
-    shapes: list[tuple[str, str]] = []
-    # Open elements: tag, path, whether furniture, whether inside of an article, child tags.
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
-    run: list[str] = []
+    root = at = Node("", 0, None, CONTENT, False)
+    nodes, run, count, place = [root], [], 0, 0
 
     def flush() -> None:
+        nonlocal count
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
-            _, path, furniture, inside, _ = stack[-1]
-            if text and not furniture:
-                blocks.append(Block(path, text, inside))
-
-    def close(count: int) -> None:
-        for _ in range(count):
-            tag, path, furniture, _, children = stack[-1]
-            if tag not in _INLINE:
-                flush()
-                if not furniture:
-                    shapes.append((path, " ".join(children)))
-            stack.pop()
-
-    at = 0
+            if text:
+                at.blocks.append((count, text))
+                count += 1
+
+    def close(last: Node) -> None:
+        nonlocal at
+        flush()
+        at = last.parent
+
     for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            run.append(page[at : tag.start()])
-        at = tag.end()
+        if tag.start() > place:
+            run.append(page[place : tag.start()])
+        place = tag.end()
         name, rest = tag[2].lower(), tag[3]
-        if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                close(len(stack) - depth)
-            continue
         if name in ("br", "wbr"):
             run.append(" " if name == "br" else "")
             continue
         if name in _INLINE:
             continue
-        if name in _CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            peers = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(name, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in peers:
-                    close(len(stack) - i)
-                    break
-                if stack[i][0] not in _INLINE and stack[i][0] != "p":
-                    break
+        if tag[1]:
+            last = at
+            while last.parent and last.tag != name:
+                last = last.parent
+            if last.parent:
+                close(last)
+            continue
+        if name in _CLOSES_P or name in _PEERS:
+            peers, last = _PEERS.get(name, {"p"}), at
+            while last.parent and last.tag not in peers and last.tag == "p":
+                last = last.parent
+            if last.parent and last.tag in peers:
+                close(last)
         flush()
-        named = {k.lower(): (v or "").strip("\"'").lower() for k, v in _NAMED.findall(rest)} if rest else {}
-        tokens = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}"))
-        _, path, furniture, inside, children = stack[-1]
-        mark = (named.get("class") or named.get("id") or "").split()
-        children.append(name)
-        furniture = furniture or name in _DROP or bool(tokens & _FURNITURE) and name not in ("html", "body") or named.get("role") in _ROLES or "hidden" in named or named.get("aria-hidden") == "true" or (name == "header" and not inside)
+        given = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(rest)} if rest else {}
+        main = name in _MAIN or given.get("role") == "main"
+        says = CONTENT
+        if name in _NEVER or "hidden" in given or given.get("aria-hidden") == "true":
+            says = NEVER
+        elif name not in ("html", "body"):
+            says = named(f"{given.get('class', '')} {given.get('id', '')}") if given else CONTENT
+            if name in ("form", "fieldset") or name == "header" and not at.inside or given.get("role") in _ROLES:
+                says = max(says, FURNITURE)
+        mark = (given.get("class") or given.get("id") or "").split()
+        at.shape.append(name)
         if name not in _VOID and not rest.rstrip().endswith("/"):
-            stack.append((name, f"{path}/{name}" + (f".{mark[0]}" if mark else ""), furniture, inside or name in _MAIN or named.get("role") == "main", []))
-    run.append(page[at:])
+            child = Node(name, _hash(at.key, name, *mark[:1]), at, says, at.inside or main)
+            child.main = main
+            at.children.append(child)
+            nodes.append(child)
+            at = child
+    run.append(page[place:])
     flush()
-    close(len(stack) - 1)
-    return blocks, shapes
-
-
-def main_text(page: str | None, low: set[int] = frozenset()) -> str:
-    """The main text of a page, given the hashes of its host's low-importance texts and branches."""
-    blocks, _ = parse(page or "")
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
-    return "\n\n".join(b.text for b in blocks if not low or not ({_hash("t", b.path, b.text), _hash("b", b.path)} & low))
+    _remove_named(nodes)
+    return nodes
+
+
+def _remove_named(nodes: list[Node]) -> None:
+    """Mark as gone what names say is furniture, and all it holds; count the text of what is left."""
+    for node in nodes[1:]:
+        node.gone = node.parent.gone or node.says == NEVER
+    for node in reversed(nodes):
+        node.length = 0 if node.gone else sum(len(t) for _, t in node.blocks) + sum(c.length for c in node.children)
+        node.main = not node.gone and (node.main or any(c.main for c in node.children))
+    whole, has_main = nodes[0].length, nodes[0].main
+    for node in nodes[1:]:
+        if node.says == FURNITURE and not node.gone:
+            wraps = node.main if has_main else node.length > whole * (WRAPS if node.tag in _WRAPPERS else WRAPS_NAMED)
+            node.gone = not wraps or node.tag in _MAIN
+        node.gone = node.gone or node.parent.gone
+    for node in reversed(nodes):
+        node.length = 0 if node.gone else sum(len(t) for _, t in node.blocks) + sum(c.length for c in node.children)
+
+
+def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), known: dict[int, tuple[float | None, float]] | None = None) -> str:
+    """The main text of a page, given the low texts of its host, and content (None without texts) and presentation importance of nodes."""
+    nodes, known = parse(page or ""), known or {}
+    composite: dict[Node, float] = {}
+    best: dict[Node, float] = {}
+    for node in reversed(nodes):
+        if node.gone or not node.length:
+            continue
+        content, presentation = known.get(node.key, (1.0, None))
+        own = sum(len(t) for _, t in node.blocks)
+        inner = [c for c in node.children if c.length]
+        mean = (own * (1.0 if content is None else content) + sum(c.length * composite[c] for c in inner)) / node.length
+        composite[node] = mean if presentation is None or not inner else PRESENTATION * presentation + (1 - PRESENTATION) * mean
+        best[node] = max([composite[node], *([content] if own and content is not None else []), *[best[c] for c in inner]])
+    out: list[tuple[int, str]] = []
+    for node in nodes:
+        if node in composite and not (node.parent and node.parent.gone):
+            node.gone = composite[node] < (LEAST_INSIDE if node.inside else LEAST_BRANCH) and best[node] < MEANINGFUL
+            if not node.gone:
+                out += [(i, t) for i, t in node.blocks if not low or _hash(node.key, "t", t) not in low]
+        else:
+            node.gone = True
+    return "\n\n".join(t for _, t in sorted(out))
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each page: its nodes, the texts of each, and the child tags of each, with the digest of the main text."""
     for batch in batches:
-        rows: list[tuple[str, int, int, int, int, bool]] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks, shapes = parse(page or "")
-            page_digest = _hash("p", *[b.text for b in blocks if b.inside] or [b.text for b in blocks])
-            seen: set[tuple[int, int, int, int, bool]] = set()
-            for b in blocks:
-                node = _hash("b", b.path)
-                seen.add((node, 0, 0, page_digest, b.inside))
-                seen.add((node, 1, _hash("t", b.path, b.text), page_digest, b.inside))
-            with_text = {b.path for b in blocks}
-            for path, children in shapes:
-                if path in with_text:
-                    seen.add((_hash("b", path), 2, _hash("s", path, children), page_digest, False))
-            rows += [(host, *s) for s in seen]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.bool_())], ["host", "node", "kind", "feature", "page", "inside"])
+            nodes = [n for n in parse(page or "") if n.length]
+            inside = [t for n in nodes if n.inside for _, t in n.blocks]
+            digest = _hash("page", *(inside or [t for n in nodes for _, t in n.blocks]))
+            seen = {(n.key, kind, feature, n.inside, size) for n in nodes for kind, feature, size in ((0, 0, 1), (2, _hash("s", *n.shape), 1), *((1, _hash(n.key, "t", t), len(t)) for _, t in n.blocks))}
+            columns = list(zip(*seen, strict=True)) if seen else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host] * len(seen), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array([digest] * len(seen), pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.int64())],
+                ["host", "node", "kind", "feature", "page", "inside", "size"],
+            )
+
+
+def site_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trees of the hosts of ``pages`` (host, html): (host, node, m, content, presentation, inside), and (host, node, feature, c) of texts on several pages."""
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, node long, kind int, feature long, page long, inside boolean, size long")
+    # Copies of a page are one page.
+    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.max("inside").alias("inside"), F.max("size").alias("size"))
+    counts = stored(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"), F.max("inside").alias("inside"), F.max("size").alias("size")), "html-counts")
+    c, of = F.col("c").cast("double"), lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    sums = counts.groupBy("host", "node").agg(of(0, F.col("c")).alias("m"), F.max("inside").alias("inside"), *[of(k, x * F.col("size")).alias(f"{n}{k}") for k in (1, 2) for n, x in (("n", c), ("l", c * F.log(c)))])
+    sums = sums.where(F.col("m") >= LEAST_PAGES)
+    base = F.log(F.col("m").cast("double"))
+    nodes = sums.select("host", "node", "m", (1 - F.col("l1") / (F.col("n1") * base)).alias("content"), ((F.log("n2") - F.col("l2") / F.col("n2")) / base).alias("presentation"), "inside")
+    return nodes, counts.where("kind = 1 and c > 1").select("host", "node", "feature", "c")
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
-    """(host, low): the hashes of texts and branches of low importance, for hosts that have any."""
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, node long, kind int, feature long, page long, inside boolean")
-    # Copies of a page are one page.
-    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.max("inside").alias("inside"))
-    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"), F.max("inside").alias("inside"))
-    # Entropies of a node: of each text by its share of the pages, and of the child tags.
-    whole = counts.where("kind = 0").select("host", "node", F.col("c").alias("m"), F.col("inside").alias("in_main"))
-    rated = counts.where("kind > 0").join(whole.where(F.col("m") >= LEAST_PAGES), ["host", "node"])
-    rated = rated.withColumn("importance", F.when(F.col("kind") == 1, 1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double"))))
-    least = F.when(F.col("in_main"), F.lit(LEAST_INSIDE)).otherwise(F.lit(LEAST))
-    texts = rated.where((F.col("kind") == 1) & (F.col("importance") < least)).select("host", F.col("feature").alias("low"))
-    share = F.col("c") / F.col("m")
-    nodes = rated.groupBy("host", "node", "in_main").agg((F.sum(F.when(F.col("kind") == 1, F.col("importance") * F.col("c"))) / F.sum(F.when(F.col("kind") == 1, F.col("c")))).alias("content"), (-F.sum(F.when(F.col("kind") == 2, share * F.log(share))) / F.log(F.first("m").cast("double"))).alias("shape"))
-    branches = nodes.where((F.col("content") < least) & (F.coalesce("shape", F.lit(0.0)) < least)).select("host", F.col("node").alias("low"))
-    return texts.union(branches).groupBy("host").agg(F.collect_set("low").alias("low"))
+    """(host, low, nodes): the hashes of low texts, and struct<node, content, presentation> of the nodes without important texts."""
+    nodes, texts = site_trees(pages)
+    least = F.when(F.col("inside"), F.lit(LEAST_INSIDE)).otherwise(F.lit(LEAST))
+    texts = texts.where(F.col("c") >= LEAST_PAGES**(1 - LEAST)).join(nodes, ["host", "node"]).where(1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")) < least)
+    none = F.lit(None).cast("struct<node:long,content:double,presentation:double>")
+    rows = texts.select("host", F.col("feature").alias("text"), none.alias("node")).union(nodes.where(F.col("content").isNull() | (F.col("content") < LEAST_BRANCH)).select("host", F.lit(None).cast("long"), F.struct("node", "content", "presentation")))
+    return rows.groupBy("host").agg(F.collect_set("text").alias("low"), F.collect_list("node").alias("nodes"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = [main_text(page, frozenset(low or ())) for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        text = []
+        for page, low, nodes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            text.append(main_text(page, frozenset(low or ()), {n["node"]: (n["content"], n["presentation"]) for n in nodes or ()}))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -188,11 +263,11 @@ def extract(pages: DataFrame) -> DataFrame:
     bound_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of().alias("host"))
     low = cut(low_importance(pages))
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_HASHES:
+    if (low.agg(F.sum(F.size("low") + F.size("nodes"))).first()[0] or 0) <= BROADCAST_ROWS:
         joined = pages.join(F.broadcast(low), "host", "left")
     else:
         # Beyond that, hosts are dealt in parts, so that a very common one is no task's alone.
         dealt = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
         joined = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int")).join(dealt, ["host", "part"], "left")
-    joined = joined.select("page_id", "url", "html", "low")
+    joined = joined.select("page_id", "url", "html", "low", "nodes")
     return joined.mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
