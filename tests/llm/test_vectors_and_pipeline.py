@@ -33,6 +33,92 @@ def test_embedding_links(spark, vectors):
     assert got == want | {i: (0, i, True) for i in range(700, 706)}
 
 
+def brute_links(x, threshold=0.9):
+    u = embdedup.unit(np.array(x, np.float64))
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    comp = union_find(zip(*(v.tolist() for v in np.nonzero(near)), strict=True))
+    return {i: (int(n), comp.get(i, i)) for i, n in enumerate(near.sum(axis=1))}
+
+
+def turned(r, n, d):
+    """Vectors at cosines about the threshold to 100 others."""
+    q = embdedup.unit(r.randn(100, d))[r.randint(0, 100, n)]
+    t = r.randn(n, d)
+    t = embdedup.unit(t - (t * q).sum(axis=1, keepdims=True) * q)
+    c = r.uniform(0.86, 0.98, n)[:, None]
+    return c * q + np.sqrt(1 - c * c) * t
+
+
+@pytest.mark.parametrize("kind", ["clusters", "turned", "line"])
+def test_embedding_links_in_parts_as_brute_force(spark, monkeypatch, kind):
+    """Several parts and tasks for each, several vectors a query visits; links counted from both sides."""
+    monkeypatch.setattr(embdedup, "PART_ROWS", 100)
+    monkeypatch.setattr(embdedup, "TASK_QUERIES", 300)
+    r = np.random.RandomState(8)
+    x = {"clusters": lambda: r.randn(25, 24)[r.randint(0, 25, 900)] + 0.3 * r.randn(900, 24), "turned": lambda: turned(r, 900, 24), "line": lambda: r.randn(300, 1)}[kind]().astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.embedding_duplicates(df).collect()} == brute_links(x)
+
+
+def test_embedding_walk_prunes_and_grows_slower_than_the_vectors(spark):
+    """A query visits a small part of the cells, and a lesser part of more vectors."""
+    r, share = np.random.RandomState(9), []
+    for n in (1000, 8000):
+        df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(r.randn(n, 24).astype(np.float32))], "vec_id long, n long, embedding array<float>")
+        grid, _ = embdedup.index(df, 0.9)
+        share.append(grid.visits / grid.cells)
+    assert share[1] < share[0] < 0.3
+
+
+def test_embedding_repeated_ids_and_lengths(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0]
+    rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (5, a), (5, [9.0, 9.0, 9.0]), (None, a), (6, None), (7, [1e200, 0.0, 0.0]), (8, [3e-300, 0.0, 0.0])]
+    got = [tuple(r) for r in embdedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(g for g in got if g[0]) == [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 4, 1, False), (5, 4, 1, False), (6, 0, 6, True), (7, 4, 1, False), (8, 4, 1, False)]
+    assert (None, 0, None, True) in got
+
+
+def near_sets():
+    r = np.random.RandomState(1)
+    clusters = lambda k, s: r.randn(k, 32)[r.randint(0, k, 1200)] + s * r.randn(1200, 32)
+    return {
+        "20 unit clusters": embdedup.unit(clusters(20, 0.1)),
+        "40 raw clusters": clusters(40, 0.3),
+        "raw Gaussian": r.randn(1200, 32),
+        "varied norms": embdedup.unit(r.randn(1200, 32)) * np.exp(2 * r.randn(1200, 1)),
+        "two far clusters": np.concatenate([r.randn(15, 8) + 100, r.randn(15, 8) - 100]),
+        "two far and larger": np.concatenate([r.randn(400, 8) + 100, r.randn(400, 8) - 100]),
+        "huge": 1e100 * r.randn(300, 8),
+    }
+
+
+@pytest.mark.parametrize("name", list(near_sets()))
+def test_search_recall_however_vectors_lie(name):
+    x = near_sets()[name]
+    q = np.arange(0, len(x), 10)
+    with np.errstate(over="ignore"):
+        scores = (x[q] / np.abs(x).max()) @ (x / np.abs(x).max()).T
+    scores[np.arange(len(q)), q] = -np.inf
+    asked, found, _ = annsearch.Shard(np.arange(len(x)), x, 20).nearest(q, x[q], annsearch.BEAM)
+    k = min(20, len(x) - 1)
+    hit = sum(len(set(found[asked == i]) & set(np.argsort(-s, kind="stable")[:k])) for i, s in zip(q, scores, strict=True))
+    assert hit >= 0.95 * k * len(q)
+
+
+def test_every_node_is_reached(monkeypatch):
+    monkeypatch.setattr(annsearch, "FAR_ENTRIES", 1)
+    x = np.concatenate([np.random.RandomState(1).randn(200, 4) + 1000 * i for i in range(5)])
+    found, _ = annsearch.Graph(x, degree=4).search(x[:3], len(x))
+    assert [sorted(f) for f in found] == [list(range(1000))] * 3
+
+
+def test_search_repeated_ids_and_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1.0, 5.0]), (40, [1.0]), (2, [4.0]), (None, [1.0, 1.0]), (60, None)]
+    got = annsearch.nearest(spark.createDataFrame([(*r, 1, 1) for r in rows], "vec_id long, embedding array<double>, size int, shard int"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(20, 1, 1, 1.0), (40, 1, 2, 4.0)]
+
+
 def test_embedding_empty(spark):
     assert embdedup.embedding_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert annsearch.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
