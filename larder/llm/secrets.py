@@ -6,8 +6,13 @@ transitions is above a threshold. Everything is DataFrame functions: positions c
 the lengths of the pieces between matches, the model is one array row of a scalar subquery (its
 size is fixed by the alphabet).
 
-Defined results: a null text counts as empty and has no spans; spans are in code points, end
-exclusive; a token that overlaps a span of a pattern is not reported again. Rows may repeat.
+Neither a pattern nor a token reaches over a line feed, so a text is scanned by lines, and only those that some pattern
+matches are taken apart. Work grows with the length of a text, that of a token with its length; within one line it grows with its spans times its
+length.
+
+Defined results: a null text counts as empty and has no spans, and stays null when redacted; very long texts are scanned whole; spans are in code points, end
+exclusive; a token that overlaps a span of a pattern is not reported again. Rows may repeat, each has its own result; an empty table gives an empty
+one; the columns of the input keep their names whatever they are.
 """
 
 from __future__ import annotations
@@ -46,28 +51,37 @@ ing ation ness able ence ther ered ently ingly ational tional ouble ending
 """.split()
 
 
-def _spans(text: Column, matches: Column, gaps: Column, kind: int, keep) -> Column:  # noqa: ANN001
-    """array<struct<start, kind, end>> from the matches of a pattern and the pieces between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Numbers that are added up in one fold, whose result is copied with each of them.
+_FOLD = 256
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(gaps, i))
-        end = start + F.char_length(F.get(matches, i))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep(i), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def _running(numbers: Column, start: Column) -> Column:
+    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(numbers, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
 
+def before(numbers: Column) -> Column:
+    """For each of the numbers the sum of those before it."""
+    slices = lambda ns: F.transform(F.sequence(F.lit(0), F.ceil(F.size(ns) / _FOLD).cast("int") - 1), lambda i: F.slice(ns, i * _FOLD + 1, F.lit(_FOLD)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
+    joined = lambda parts: F.flatten(F.zip_with(parts, _running(F.transform(parts, total), F.lit(0)), _running))
+    return _let(numbers, lambda ns: F.when(F.size(ns) == 0, F.array().cast("array<int>")).otherwise(_let(slices(ns), joined)))
 
-def _found(text: Column, pattern: str, kind: int, least_value: int = 0) -> Column:
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    if least_value:
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        keep = lambda i: F.char_length(F.get(values, i)) >= least_value
-    else:
-        keep = lambda i: F.lit(True)
-    return F.when(F.rlike(text, F.lit(pattern)), _spans(text, matches, gaps, kind, keep)).otherwise(none)
+
+def _found(line: Column, pattern: str, kind: int, least_value: int = 0) -> Column:
+    """The spans of a pattern's matches in a line, from the lengths of the matches and of the pieces between them."""
+    values = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1 if least_value else 0)), F.char_length)
+    whole = F.zip_with(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.char_length), values, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    pieces = F.zip_with(whole, F.transform(F.split(line, pattern, -1), F.char_length), lambda m, gap: F.when(m.isNotNull(), F.struct(gap.alias("gap"), m["n"].alias("n"), m["v"].alias("v"))))
+    placed = _let(F.filter(pieces, lambda p: p.isNotNull()), lambda ps: F.zip_with(ps, before(F.transform(ps, lambda p: p["gap"] + p["n"])), lambda p, at: F.struct((at + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + p["gap"] + p["n"]).alias("end"), p["v"].alias("v"))))
+    kept = F.filter(placed, lambda s: s["v"] >= least_value)
+    return F.when(F.rlike(line, F.lit(pattern)), F.transform(kept, lambda s: F.struct(s["start"], s["kind"], s["end"]))).otherwise(F.array()).cast(_SPANS)
 
 
 def labelled_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -108,22 +122,39 @@ def train(samples: DataFrame) -> DataFrame:
 
 def _mean_ratio(token: Column, ratio: Column) -> Column:
     size = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratio, (code(i) - 1) * size + code(i + 1) - 1))
-    return total / (F.char_length(token) - 1)
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = lambda cs: F.zip_with(F.slice(cs, F.lit(1), F.size(cs) - 1), F.slice(cs, F.lit(2), F.size(cs) - 1), lambda a, b: F.get(ratio, a * size + b))
+    return F.aggregate(_let(codes, steps), F.lit(0.0), lambda acc, x: acc + x) / (F.char_length(token) - 1)
 
 
-def scan(docs: DataFrame, model: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with columns base and spans, arrays of struct<start, kind, end> by start and kind (an index of KINDS)."""
+def _line_spans(line: Column, ratio: Column, threshold: float) -> Column:
+    """All spans of a line, by start and kind."""
+    base = F.concat(_found(line, ASSIGN, 0, LEAST_ASSIGN), _found(line, LONG_ACCESS, 1), _found(line, LONG_HEX, 2))
+
+    def with_tokens(known: Column) -> Column:
+        alone = lambda t: ~F.exists(known, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
+        unlikely = lambda t: _mean_ratio(F.substr(line, t["start"] + 1, t["end"] - t["start"]), ratio) > threshold
+        return F.array_sort(F.concat(known, F.filter(_found(line, TOKEN, 3), lambda t: alone(t) & unlikely(t))))
+
+    return _let(base, with_tokens)
+
+
+def _scanned(docs: DataFrame, model: DataFrame | None, threshold: float) -> DataFrame:
+    """``docs`` with ``lines`` of texts that may hold a secret and ``found``, the spans in each of them; null for other texts."""
     model = model if model is not None else train(labelled_samples(docs.sparkSession))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.array_sort(F.concat(_found(text, ASSIGN, 0, LEAST_ASSIGN), _found(text, LONG_ACCESS, 1), _found(text, LONG_HEX, 2)))
-    docs = docs.withColumn("base", base).withColumn("tokens", _found(text, TOKEN, 3)).withColumn("ratio", model.scalar())
-    new = F.filter(
-        "tokens",
-        lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])) & (_mean_ratio(F.substr(text, t["start"] + 1, t["end"] - t["start"]), F.col("ratio")) > threshold),
-    )
-    return docs.withColumn("spans", F.when(F.size("tokens") > 0, F.array_sort(F.concat("base", new))).otherwise(F.col("base"))).drop("tokens", "ratio")
+    any_of = F.lit("|".join((ASSIGN, LONG_ACCESS, LONG_HEX, TOKEN)))
+    docs = docs.withColumn("ratio", model.scalar()).withColumn("lines", F.when(F.rlike("text", any_of), F.split("text", "\n", -1)))
+    spans = lambda line: F.when(F.rlike(line, any_of), _line_spans(line, F.col("ratio"), threshold)).otherwise(F.array().cast(_SPANS))
+    return docs.withColumn("found", F.transform("lines", spans)).drop("ratio")
+
+
+def scan(docs: DataFrame, model: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, base and spans for every row of ``docs`` (doc_id, text): arrays of struct<start, kind, end> by start and kind (an index of KINDS)."""
+    found = _scanned(docs.select("doc_id", "text"), model, threshold)
+    move = lambda spans, at: F.transform(spans, lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))
+    whole = F.flatten(F.zip_with("found", before(F.transform("lines", lambda n: F.char_length(n) + 1)), move))
+    found = found.select("doc_id", F.coalesce(whole, F.array().cast(_SPANS)).alias("spans"))
+    return found.select("doc_id", F.filter("spans", lambda s: s["kind"] < 3).alias("base"), "spans")
 
 
 def _written(spans: str) -> Column:
@@ -132,7 +163,7 @@ def _written(spans: str) -> Column:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind of pattern, the digest of the patterns' spans, and all spans."""
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
@@ -141,15 +172,17 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """``docs`` with every span, overlapping ones as one, replaced by ``mark``, and n_chars brought up to date."""
     columns = docs.columns
     named = {c: f"_{i}_{c}" for i, c in enumerate(columns) if c != "text"}
-    found = scan(docs.select("text", *[F.col(c).alias(n) for c, n in named.items()]))
+    found = _scanned(docs.select("text", *[F.col(c).alias(n) for c, n in named.items()]), None, THRESHOLD)
     text = F.col("text")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.when(apart, F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def clean(line: Column, spans: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            apart = s["start"] >= acc["at"]
+            return F.struct(F.when(apart, F.concat(acc["out"], F.substr(line, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(line, acc["at"] + 1, F.char_length(line))))).otherwise(line)
 
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+    found = found.withColumn("text", F.when(F.exists("found", lambda s: F.size(s) > 0), F.array_join(F.zip_with("lines", "found", clean), "\n")).otherwise(text))
     out = [text if c == "text" else F.char_length("text").cast(dict(docs.dtypes)["n_chars"]).alias(c) if c == "n_chars" else F.col(named[c]).alias(c) for c in columns]
     return found.select(*out)

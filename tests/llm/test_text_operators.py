@@ -107,6 +107,38 @@ def test_markov_tells_random_from_ordinary(spark):
     assert got[0] == "markov:4:24"
 
 
+def test_markov_on_planted_secrets_and_ordinary_text(spark):
+    """Precision and recall on random strings and identifiers that no training row holds."""
+    rng = random.Random(11)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    parts = "river mountain window garden morning paper silver number weather station market village bridge captain doctor engine harvest island journey kitchen".split()
+    planted = ["".join(rng.choices(alphabets[i % 3], k=rng.randint(24, 60))) for i in range(150)]
+    styles = (lambda w: "".join(x.title() for x in w), "_".join, "-".join, "/".join, lambda w: "_".join(w).upper())
+    plain = [styles[i % 5](rng.choices(parts, k=rng.randint(4, 7))) for i in range(150)]
+    rows = [(i, f"first line\nsee {t} here\nlast") for i, t in enumerate(planted + plain)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = [i for i in got if got[i]]
+    assert sum(i < 150 for i in hits) >= 0.95 * 150
+    assert sum(i >= 150 for i in hits) <= 0.02 * 150
+    assert all(got[i] == f"markov:15:{15 + len(planted[i])}" for i in hits if i < 150)
+
+
+def test_secrets_of_long_texts_end_and_repeats_and_empty_tables(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60_000))
+    many = "\n".join(f"{i:032x} token={i:010d}x" for i in range(3000))
+    rows = [(1, token), (2, many), (2, many), (3, "é🎉\n" * 700 + "api_key: 0123456789"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.secret_report(df).collect()}
+    assert got[1]["spans"] == "markov:0:60000"
+    for i, text in rows[1:]:
+        assert got[i]["spans"] == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans(text or ""))
+    clean = [r["text"] for r in secrets.redacted(df.where("doc_id <> 1")).orderBy("doc_id").collect()]
+    assert clean[:2] == ["\n".join(["<SECRET> <SECRET>"] * 3000)] * 2
+    assert clean[2:] == ["é🎉\n" * 700 + "<SECRET>", None]
+    assert secrets.secret_report(df.limit(0)).count() == 0
+
+
 def test_redaction_keeps_columns_and_other_text(spark):
     df = spark.createDataFrame([(1, 'x token = "abcd1234efgh" y', 99, "b"), (2, None, None, None), (3, "clean", 5, "b")], "doc_id long, text string, n_chars long, spans string")
     got = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
