@@ -3,12 +3,16 @@
 Words that occur once in the text and once in the template anchor the alignment; the longest
 increasing subsequence of the anchors is kept, and the gaps between them are aligned again, down to
 gaps without anchors, whose common ends are matched. Coverage is the share of the template's words that are
-aligned. A text is aligned in overlapping windows of about one and of three template lengths, so that a license that it
+aligned in a stretch of at most twice its length. A text is aligned in overlapping windows of about one and of three template lengths, so that a license that it
 holds twice is found, and only where a window holds enough of the template's words, each counted as often as
-the template has it at most; below that the coverage could not reach the threshold.
+the template has it at most: an alignment matches no word more often, so that fewer can't reach the threshold.
 
-Defined results: a null or empty text has no license; the best template by coverage wins, ties go to the first
-name; ``first_word`` and ``last_word`` are word places of the aligned stretch, from 0, null without a license.
+All licenses of a document are returned: of the stretches found, those with the most matched words first, then by coverage and the order of the templates, as long as they
+don't overlap one taken before. A user's own templates, whole license texts too, take the place of those given here.
+
+Defined results: a null or empty text, or one without words, has no license; ``license`` is the one with the most matched words, ties go to the higher coverage and
+the first template; ``first_word`` and ``last_word`` are word places of its stretch, from 0, null without a license. Very long texts are scanned whole, window by window.
+Rows may repeat, each has its own result; an empty table gives an empty one; other columns are ignored; doc_id is passed through, null included.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from larder.llm.common import bound_batches
 #: Coverage from which a template counts as found.
 LEAST_COVERAGE = 0.8
 
-# License notices and short license texts, as their licensors word them.
+# License notices, standard headers and short licenses, as their licensors word them.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -40,6 +44,15 @@ TEMPLATES = {
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
@@ -94,9 +107,14 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 @functools.cache
-def _templates() -> tuple[list[tuple[str, list[str], Counter[str]]], frozenset[str]]:
-    read = [(name, words(text)) for name, text in TEMPLATES.items()]
-    return [(name, ws, Counter(ws)) for name, ws in read], frozenset(w for _, ws in read for w in ws)
+def _read(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, list[str], Counter[str]]], frozenset[str]]:
+    read = [(name, words(text)) for name, text in templates]
+    return [(name, ws, Counter(ws)) for name, ws in read if ws], frozenset(w for _, ws in read for w in ws)
+
+
+def enough(here: Counter[str], counts: Counter[str], need: float) -> bool:
+    """Whether the words hold as many of the template's as an alignment has to match; what fails this can't reach the threshold."""
+    return sum((here & counts).values()) >= need
 
 
 def _windows(places: list[int], text: list[str], counts: Counter[str], size: int, need: float) -> Iterator[tuple[int, int]]:
@@ -110,45 +128,77 @@ def _windows(places: list[int], text: list[str], counts: Counter[str], size: int
                 continue
             last = lo
             inside = places[bisect.bisect_left(places, lo) : bisect.bisect_left(places, lo + length)]
-            if len(inside) >= need and sum((Counter(text[i] for i in inside) & counts).values()) >= need:
+            if enough(Counter(text[i] for i in inside), counts, need):
                 yield inside[0], inside[-1] + 1
 
 
-def best_license(text: str | None, least: float = LEAST_COVERAGE) -> tuple[str | None, float, int | None, int | None]:
-    """(name, coverage, first word, last word) of the template that covers best."""
-    templates, every = _templates()
+def _stretches(pairs: list[tuple[int, int]], size: int, need: float) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first place, last place) of the best runs of matches no longer than twice the template, none over another."""
+    runs, end = [], 0
+    for start in range(len(pairs)):
+        while end < len(pairs) and pairs[end][0] - pairs[start][0] < 2 * size:
+            end += 1
+        if end - start >= need:
+            runs.append((end - start, pairs[start][0], pairs[end - 1][0]))
+    taken: list[tuple[int, int, int]] = []
+    for run in sorted(runs, key=lambda r: (-r[0], r[2] - r[1], r[1])):
+        if all(run[2] < t[1] or run[1] > t[2] for t in taken):
+            taken.append(run)
+    yield from taken
+
+
+Found = tuple[str, float, int, int]
+
+
+def all_licenses(text: str | None, least: float = LEAST_COVERAGE, templates: dict[str, str] = TEMPLATES) -> list[Found]:
+    """(name, coverage, first word, last word) of each license of a text, in the order of their places."""
+    read, every = _read(tuple(templates.items()))
     ws = words(text or "")
     known = Counter(w for w in ws if w in every)
-    best: tuple[str | None, float, int | None, int | None, int] = (None, 0.0, None, None, 0)
-    for name, template, counts in templates:
+    runs: set[tuple[int, float, int, int, int]] = set()
+    for order, (_, template, counts) in enumerate(read):
         need = least * len(template) - 1e-9
-        if sum((known & counts).values()) < need:
+        if not enough(known, counts, need):
             continue
         for lo, hi in _windows([i for i, w in enumerate(ws) if w in counts], ws, counts, len(template), need):
-            pairs = aligned(ws[lo:hi], template)
-            # Of the matches, the stretch that is no longer than twice the template holds a license; strays before it don't count.
-            end = 0
-            for start in range(len(pairs)):
-                while end < len(pairs) and pairs[end][0] - pairs[start][0] < 2 * len(template):
-                    end += 1
-                cover = (end - start) / len(template)
-                if cover >= least and (cover * len(template), cover) > (best[4], best[1]) and cover + 1e-12 >= min(best[1], 0.95):
-                    best = (name, cover, lo + pairs[start][0], lo + pairs[end - 1][0], end - start)
-    return best[:4]
-
-
-def _scanned(least: float):  # noqa: ANN202
+            for matched, first, last in _stretches(aligned(ws[lo:hi], template), len(template), need):
+                runs.add((-matched, -matched / len(template), order, lo + first, lo + last))
+    taken: list[Found] = []
+    for _, cover, order, first, last in sorted(runs):
+        if all(last < t[2] or first > t[3] for t in taken):
+            taken.append((read[order][0], -cover, first, last))
+    return sorted(taken, key=lambda t: t[2])
+
+
+def best_license(text: str | None, least: float = LEAST_COVERAGE, templates: dict[str, str] = TEMPLATES) -> tuple[str | None, float, int | None, int | None]:
+    """(name, coverage, first word, last word) of the license with the most matched words."""
+    return _best(all_licenses(text, least, templates), templates)
+
+
+def _best(found: list[Found], templates: dict[str, str]) -> tuple[str | None, float, int | None, int | None]:
+    sizes = {name: len(ws) for name, ws, _ in _read(tuple(templates.items()))[0]}
+    return min(found, key=lambda t: (-round(t[1] * sizes[t[0]]), -t[1], list(sizes).index(t[0]), t[2]), default=(None, 0.0, None, None))
+
+
+_LICENSE = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
+
+
+def _scanned(least: float, templates: dict[str, str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_license(t, least) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*found, strict=True)) if found else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word"])
+            found = [all_licenses(t, least, templates) for t in batch.column(1).to_pylist()]
+            best = [_best(f, templates) for f in found]
+            columns = list(zip(*best, strict=True)) if best else [()] * 4
+            listed = pa.array([[dict(zip(_LICENSE.names, x, strict=True)) for x in f] for f in found], pa.list_(_LICENSE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(columns, _LICENSE, strict=True)), listed], ["doc_id", *_LICENSE.names, "licenses"])
 
     return run
 
 
-def license_scan(docs: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
-    """doc_id, license, coverage, first_word and last_word for every row of ``docs`` (doc_id, text)."""
+def license_scan(docs: DataFrame, least: float = LEAST_COVERAGE, templates: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, license, coverage, first_word, last_word, and licenses with these four of each, for every row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(_scanned(least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, coverage double, first_word long, last_word long")
+    one = "license string, coverage double, first_word long, last_word long"
+    each = one.replace(" string", ":string").replace(" double", ":double").replace(" long", ":long")
+    return docs.mapInArrow(_scanned(least, templates or TEMPLATES), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {one}, licenses array<struct<{each}>>")

@@ -229,6 +229,46 @@ def test_license_words_count_with_repeats():
     assert licenses.best_license(f"intro {' '.join(left)} end")[0] == "mit"
 
 
+def test_all_licenses_of_a_text():
+    t = licenses.TEMPLATES
+    text = f"Start. {t['mit']} Some code of ours. {t['bsd-3-clause']} More code. {t['apache-2.0-header']} {t['mit']} {t['lgpl-header']} {t['gpl-2.0-header']} end"
+    assert [(n, c) for n, c, _, _ in licenses.all_licenses(text)] == [(n, 1.0) for n in ("mit", "bsd-3-clause", "apache-2.0-header", "mit", "lgpl-header", "gpl-2.0-header")]
+
+
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_every_template_names_itself_also_with_changed_words(name):
+    assert licenses.best_license(f"Before it. {licenses.TEMPLATES[name]} After it.")[:2] == (name, 1.0)
+    words = licenses.words(licenses.TEMPLATES[name])
+    if len(words) > 60:
+        rng = random.Random(name)
+        for i in rng.sample(range(len(words)), len(words) // 8):
+            words[i] = f"changed{i}"
+        assert licenses.best_license(" ".join(["intro", *words, "end"]))[1] > 0.8
+
+
+def test_license_filter_loses_nothing(monkeypatch):
+    """The same rows as by aligning every window with every template, whatever words it holds."""
+    rng, t = random.Random(6), licenses.TEMPLATES
+    texts = []
+    for i in range(60):
+        words = licenses.words(rng.choice(list(t.values())))
+        kept = [w if rng.random() > (0, 0.1, 0.15, 0.2, 0.25)[i % 5] else rng.choice(["the", "of", "x", "software"]) for w in words]
+        texts.append(" ".join(rng.choices(["the", "of", "code", "any", "is", "z"], k=rng.randint(0, 80)) + kept + rng.choices(["use", "or", "to", "q"], k=rng.randint(0, 80))))
+    got = [licenses.all_licenses(x) for x in texts]
+    assert 20 < sum(map(bool, got))
+    monkeypatch.setattr(licenses, "enough", lambda here, counts, need: True)
+    assert got == [licenses.all_licenses(x) for x in texts]
+
+
+def test_licenses_with_own_templates_repeats_and_empty_tables(spark):
+    own = {"house": "This text may be read by members of the house only", "empty": ""}
+    rows = [(1, "x This text may be read by members of the house only y"), (1, "x This text may be read by members of the house only y"), (None, "a " * 300_000)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, license string")
+    got = licenses.license_scan(df, templates=own).collect()
+    assert sorted((r["doc_id"] or 0, r["license"], r["coverage"], r["first_word"], r["last_word"], len(r["licenses"])) for r in got) == [(0, None, 0.0, None, None, 0), (1, "house", 1.0, 1, 11, 1), (1, "house", 1.0, 1, 11, 1)]
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
 def test_patience_alignment():
     a, b = "a b c d e f g".split(), "a x c d y g".split()
     assert licenses.aligned(a, b) == [(0, 0), (2, 2), (3, 3), (6, 5)]
