@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from larder.llm.common import bound_batches
 
 #: Characters (encoding) and tokens (decoding) taken at once, bytes of pieces in one query, bytes of pieces remembered by a worker.
-CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 500_000, 200_000, 400_000, 48_000_000
+CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 2_000_000, 200_000, 600_000, 64_000_000
 #: Pieces of a very long text taken at once, and about what an entry of the cache takes beside its bytes.
 CHUNK_PIECES, ENTRY_BYTES = 200_000, 200
 #: Bytes of the longest word that a query contracts whole; longer pieces go in stretches of that many, each half over the next.
