@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import decimal_point, let
+from larder.functions.text import FRACTIONS, decimal_point, let, plain_fractions, sub
 
-_UNIT = r"(\d+(?:[.,]\d+)?|\d+\s*/\s*\d+)\s*(stunden|stunde|std|hours|hour|h|minuten|minutes|minute|mins|min|m|sekunden|sekunde|seconds|sec|s)"
+# Words for the parts of a duration, by the letter of ISO 8601.
+WORDS = {"H": ("stunden", "stunde", "std", "hours", "hour", "h"), "M": ("minuten", "minutes", "minute", "mins", "min", "m"), "S": ("sekunden", "sekunde", "seconds", "sec", "s")}
+
+_COUNT = r"\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:[.,]\d+)?"
+_UNIT = f"({_COUNT})\\s*({'|'.join(sorted((w for ws in WORDS.values() for w in ws), key=lambda w: (-len(w), w)))})"
 
 
 def _value(token: Column) -> Column:
     t = decimal_point(token)
-    return F.coalesce(t.try_cast("double"), F.try_divide(F.regexp_extract(t, r"^(\d+)\s*/", 1).try_cast("double"), F.regexp_extract(t, r"/\s*(\d+)$", 1).try_cast("double")), F.lit(0.0))
+    number = lambda pattern: F.regexp_extract(t, pattern, 1).try_cast("double")
+    whole = F.coalesce(number(r"^(\d+)\s+\d+\s*/"), F.lit(0.0))
+    return F.coalesce(t.try_cast("double"), whole + F.try_divide(number(r"(\d+)\s*/"), number(r"/\s*(\d+)$")), F.lit(0.0))
 
 
 def _iso(h: Column, m: Column, s: Column) -> Column:
@@ -22,6 +28,9 @@ def _iso(h: Column, m: Column, s: Column) -> Column:
 
 def parse_duration(text: Column) -> Column:
     """ISO duration of a text; parts are rounded, not carried; a bare number is minutes; null if there is none."""
+    # A fraction stands apart from the whole number before it and from the unit after it.
+    apart = sub(text, f"(?<=\\d)(?=[{''.join(FRACTIONS)}])|(?<=[{''.join(FRACTIONS)}])(?=\\p{{L}})", " ")
+    text = F.when(text.rlike(f"[{''.join(FRACTIONS)}]"), plain_fractions(apart)).otherwise(text)
     low = F.lower(F.trim(text))
     pairs = F.arrays_zip(F.regexp_extract_all(low, F.lit(_UNIT), F.lit(1)).alias("v"), F.regexp_extract_all(low, F.lit(_UNIT), F.lit(2)).alias("u"))
     return let(F.struct(F.trim(text).alias("t"), pairs.alias("pairs")), lambda x: _written(x["t"], x["pairs"]))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
+from string import ascii_lowercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,11 +113,17 @@ def strip_tags(text: Column) -> Column:
     return sub(text, r"<[^>]*>", "")
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Every Latin letter that is one of a-z with marks, and what it is without them."""
+    bases = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))}
+    marked = [c for c, base in bases.items() if base in ascii_lowercase]
+    return "".join(marked), "".join(bases[c] for c in marked)
+
+
 def canon_key(text: Column) -> Column:
     """Comparison key: without tags, accents and case, white space collapsed."""
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    return F.translate(squeeze(F.lower(strip_tags(text))), accented, plain)
+    return F.translate(squeeze(F.lower(strip_tags(text))), *_accents())
 
 
 def slug(text: Column) -> Column:

@@ -10,8 +10,8 @@ from larder.operators import recipe
 from larder.operators.lines import parse_lines
 from larder.sources import pages as P
 
-SCALARS = ("name", "description", "image", "recipeYield", "prepTime", "cookTime", "totalTime")
-LISTS = ("ingredients", "instructions")
+SCALARS = ("name", "description", "recipeYield", "prepTime", "cookTime", "totalTime")
+LISTS = ("image", "ingredients", "instructions")
 
 
 def _strings(node: str, path: str) -> Column:
@@ -22,24 +22,54 @@ def _strings(node: str, path: str) -> Column:
     return F.coalesce(F.filter(F.transform(many, text), lambda s: s.isNotNull()), F.when(one.isNotNull(), recipe.instruction_steps(one)))
 
 
+def _plain(v: Column) -> Column:
+    """The text of a variant that is one, null for lists and objects."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _each(node: Column | str, path: str) -> Column:
+    """The variants of a list at a path, or the one that stands there."""
+    many = F.try_variant_get(node, path, "array<variant>")
+    return F.coalesce(many, F.array_compact(F.array(F.try_variant_get(node, path, "variant"))))
+
+
+def _images(node: str) -> Column:
+    """Addresses of the images of a node: texts, or objects by url, contentUrl or @id."""
+    get = lambda v, k: F.try_variant_get(v, f"$['{k}']", "string")
+    return F.filter(F.transform(_each(node, "$.image"), lambda v: F.coalesce(_plain(v), get(v, "url"), get(v, "contentUrl"), get(v, "@id"))), lambda u: u.isNotNull() & (u != ""))
+
+
+def _steps(node: str) -> Column:
+    """array<struct<text, section>> of a node's instructions: steps, sections with their steps, and plain text split into steps."""
+    get = lambda v, k: F.try_variant_get(v, f"$['{k}']", "string")
+    said = lambda v: F.coalesce(_plain(v), get(v, "text"), get(v, "name"))
+    listed = F.transform(_each(node, "$.recipeInstructions"), lambda v: F.struct(get(v, "@type").alias("type"), get(v, "name").alias("name"), F.coalesce(_plain(v), get(v, "text")).alias("text"), F.filter(F.transform(_each(v, "$.itemListElement"), said), lambda t: t.isNotNull()).alias("items")))
+    one = F.try_variant_get(node, "$.recipeInstructions", "variant")
+    split = F.transform(recipe.instruction_steps(_plain(one)), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("section")))
+    return F.coalesce(split, recipe.section_steps(listed))
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """For each page the fields of its JSON-LD, field by field from the best candidate that has one."""
     nodes = P.json_ld_recipes(pages)
-    image = F.coalesce(F.try_variant_get("node", "$.image", "string"), F.try_variant_get("node", "$.image[0]", "string"), F.try_variant_get("node", "$.image.url", "string"))
-    fields = nodes.select("page_id", "pos", *[(image if f == "image" else F.try_variant_get("node", f"$.{f}", "string")).alias(f) for f in SCALARS], _strings("node", "$.recipeIngredient").alias("ingredients"), _strings("node", "$.recipeInstructions").alias("instructions"))
-    counted = fields.withColumn("recipeIngredient", F.array_join("ingredients", "")).withColumn("recipeInstructions", F.array_join("instructions", ""))
-    ranked = recipe.rank_candidates(counted, "page_id", "pos")
+    fields = nodes.select("page_id", "pos", *[F.try_variant_get("node", f"$.{f}", "string").alias(f) for f in SCALARS], _images("node").alias("images"), _strings("node", "$.recipeIngredient").alias("ingredients"), _steps("node").alias("steps"))
+    fields = fields.withColumn("instructions", F.transform("steps", lambda s: s["text"]))
+    counted = fields.withColumns({"recipeIngredient": F.array_join("ingredients", ""), "recipeInstructions": F.array_join("instructions", ""), "image": F.array_join("images", "")})
+    ranked = recipe.rank_candidates(counted, "page_id", "pos").drop("image").withColumnRenamed("images", "image")
     best = lambda f, filled: F.min_by(f, F.when(filled, F.col("rank"))).alias(f"jsonld_{f}")
-    return ranked.groupBy("page_id").agg(*[best(f, F.col(f).isNotNull() & (F.col(f) != "")) for f in SCALARS], *[best(f, F.size(f) > 0) for f in LISTS])
+    return ranked.groupBy("page_id").agg(*[best(f, F.col(f).isNotNull() & (F.col(f) != "")) for f in SCALARS], *[best(f, F.size(f) > 0) for f in (*LISTS, "steps")])
 
 
 def assemble(pages: DataFrame, engine: str = "simple") -> DataFrame:
     """One recipe document for each page (page_id, url, html); a page without any recipe has empty lists."""
     pages = pages.select("page_id", "url", "html")
     m = pages.select("page_id", "url", P.canonical_url(F.col("html"), F.col("url")).alias("canonical"), P.markup(F.col("html")).alias("m"))
-    dom = {"name": "m.title", "description": "m.description", "image": "m.og_image", "recipeYield": "m.servings"}
+    dom = {"name": "m.title", "description": "m.description", "recipeYield": "m.servings"}
+    single = lambda c: F.array_compact(F.array(F.nullif(F.col(c), F.lit(""))))
+    given = {"microdata_image": single("m.microdata.image"), "dom_image": single("m.og_image")}
     wide = m.join(candidates(pages), "page_id", "left").select(
-        "page_id", "url", "canonical", *[c for f in (*SCALARS, *LISTS) for c in (f"jsonld_{f}", F.col(f"m.microdata.{f}").alias(f"microdata_{f}"), (F.col(dom[f]) if f in dom else F.col(f"m.{f}") if f in LISTS else F.lit(None).cast("string")).alias(f"dom_{f}"))]
+        "page_id", "url", "canonical", "jsonld_steps", F.col("m.og_image").alias("og_image"),
+        *[c for f in (*SCALARS, *LISTS) for c in (f"jsonld_{f}", (given[f"microdata_{f}"] if f == "image" else F.col(f"m.microdata.{f}")).alias(f"microdata_{f}"), (given["dom_image"] if f == "image" else F.col(dom[f]) if f in dom else F.col(f"m.{f}") if f in LISTS else F.lit(None).cast("string")).alias(f"dom_{f}"))],
     )
     for f in LISTS:
         value, source = F.array().cast("array<string>"), F.lit(None).cast("string")
@@ -58,7 +88,8 @@ def assemble(pages: DataFrame, engine: str = "simple") -> DataFrame:
     full = full.withColumn("prepTime", iso("prepTime")).withColumn("cookTime", iso("cookTime")).withColumn("totalTime", iso("totalTime"))
     flags = recipe.flags(F.size("lines"), F.size("instructions"), F.col("confidence"))
     return full.select(
-        "page_id", "url", "canonical", "name", "description", recipe.images(F.array(F.coalesce("image", F.lit(""))), F.lit(""), F.col("url")).alias("image"), "prepTime", "cookTime", duration.total_time(F.col("totalTime"), F.col("prepTime"), F.col("cookTime")).alias("totalTime"),
+        "page_id", "url", "canonical", "name", "description", recipe.images(F.col("image"), F.coalesce("og_image", F.lit("")), F.col("url")).alias("image"), "prepTime", "cookTime", duration.total_time(F.col("totalTime"), F.col("prepTime"), F.col("cookTime")).alias("totalTime"),
         F.struct(F.col("recipeYield").alias("raw"), quantity.yield_count(F.col("recipeYield")).alias("count"), quantity.yield_unit(F.col("recipeYield")).alias("unit")).alias("yield"),
-        F.coalesce("lines", F.array().cast(full.schema["lines"].dataType)).alias("recipeIngredient"), F.col("instructions").alias("recipeInstructions"), recipe.provenance((*SCALARS, *LISTS)).alias("sources"), "confidence", flags.alias("flags"), recipe.warnings(F.col("confidence"), flags["isPartial"]).alias("warnings"),
+        F.coalesce("lines", F.array().cast(full.schema["lines"].dataType)).alias("recipeIngredient"), F.col("instructions").alias("recipeInstructions"),
+        F.when(F.col("instructions_source") == "jsonld", F.filter("jsonld_steps", lambda s: s["section"].isNotNull())).alias("sectionSteps"), recipe.provenance((*SCALARS, *LISTS)).alias("sources"), "confidence", flags.alias("flags"), recipe.warnings(F.col("confidence"), flags["isPartial"]).alias("warnings"),
     )

@@ -15,6 +15,32 @@ SELECT p_partkey AS line_id, p_partkey % 50 AS recipe_id, p_partkey AS pos,
     WHEN 10 THEN concat(p_size, '½ Prise ', p_name) ELSE concat(p_size, 'x', p_size + 1, ' kg ', p_name) END AS raw
 FROM part"""
 
+#: What each of the lines says, from the columns that it is made of.
+LABELS = """
+SELECT p_partkey AS line_id,
+  CAST(CASE WHEN p_partkey % 12 IN (0, 2, 8, 11) THEN p_size WHEN p_partkey % 12 IN (1, 5, 10) THEN p_size + 0.5 WHEN p_partkey % 12 IN (3, 7) THEN 0.5 WHEN p_partkey % 12 = 4 THEN 0.75 END AS DOUBLE) AS low,
+  CAST(CASE p_partkey % 12 WHEN 2 THEN p_size + 2 WHEN 8 THEN p_size + 1 END AS DOUBLE) AS high,
+  CASE p_partkey % 12 WHEN 0 THEN 'g' WHEN 1 THEN 'EL' WHEN 2 THEN 'ml' WHEN 3 THEN 'TL' WHEN 4 THEN 'l' WHEN 5 THEN 'TL' WHEN 8 THEN 'Bund' WHEN 10 THEN 'Prise' WHEN 11 THEN 'kg' END AS unit,
+  CASE p_partkey % 12 WHEN 3 THEN 'fein gehackt' WHEN 9 THEN 'optional' END AS note
+FROM part"""
+
+#: Pages with as many list items in their recipe as p_size says, and two in a piece of furniture of ten kinds.
+NOISE_PAGES = """
+SELECT p_partkey AS page_id, p_size % 7 AS n,
+  concat('<html><body>', CASE p_partkey % 10 WHEN 0 THEN '<nav>' WHEN 1 THEN '<footer>' WHEN 2 THEN '<aside>' WHEN 3 THEN '<form>' WHEN 4 THEN '<div class="comments">' WHEN 5 THEN '<div class="x sidebar">'
+      WHEN 6 THEN '<div class="share y">' WHEN 7 THEN '<div class="newsletter">' WHEN 8 THEN '<script>' ELSE '<style>' END, '<ul><li>no</li><li>no</li></ul>',
+    CASE p_partkey % 10 WHEN 0 THEN '</nav>' WHEN 1 THEN '</footer>' WHEN 2 THEN '</aside>' WHEN 3 THEN '</form>' WHEN 8 THEN '</script>' WHEN 9 THEN '</style>' ELSE '</div>' END,
+    '<div><ul>', repeat('<li>yes</li>', p_size % 7), '</ul></div></body></html>') AS html
+FROM part"""
+
+#: Pages whose JSON-LD nests the recipe, lists images as texts and objects, and has sections with steps.
+NESTED_PAGES = """
+SELECT p_partkey AS page_id, concat('https://www.example.com/r/', p_partkey) AS url,
+  concat('<html><head><meta property="og:image" content="/og.jpg"><script type="application/ld+json">', CASE p_partkey % 3 WHEN 0 THEN '{"@type":"WebPage","mainEntity":' WHEN 1 THEN '[{"@graph":[{"@type":"Person","name":"x"},' ELSE '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":' END,
+    '{"@type":"Recipe","name":"', p_name, '","image":["/a.jpg",{"url":"https://cdn.example.com/', p_partkey, '.png"}],"recipeIngredient":["', p_size, ' g ', p_name, '","', p_size, ' g ', p_name, '"],"recipeInstructions":[{"@type":"HowToSection","name":"', p_brand, '","itemListElement":[{"@type":"HowToStep","text":"Mix"},{"@type":"HowToStep","text":"Bake"}]},{"@type":"HowToStep","text":"Serve ', p_type, '"}]}',
+    CASE p_partkey % 3 WHEN 0 THEN '}' WHEN 1 THEN ']}]' ELSE '}]}' END, '</script></head><body></body></html>') AS html
+FROM part"""
+
 DURATIONS = """
 SELECT p_partkey AS id,
   CASE p_partkey % 7 WHEN 0 THEN concat(p_size, ' min') WHEN 1 THEN concat('1 h ', p_size, ' m') WHEN 2 THEN concat('PT', p_size, 'M')

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.text import absolute_url
+from larder.functions.text import absolute_url, let
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -171,12 +171,32 @@ def tolerant_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(bare), F.try_parse_json(F.regexp_replace(bare, r"[\r\n]+", " ")))
 
 
+# Properties of a node under which other nodes stand.
+NESTED = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item", "hasPart", "subjectOf", "about")
+
+
+def _inner(node: Column) -> Column:
+    """The nodes right inside of a variant: the items of a list, and what stands under its nesting properties."""
+    none = F.array().cast("array<variant>")
+    many = lambda path: F.coalesce(F.try_variant_get(node, path, "array<variant>"), none)
+    one = lambda path: F.array_compact(F.array(F.when(F.try_variant_get(node, path, "array<variant>").isNull(), F.try_variant_get(node, path, "variant"))))
+    return F.concat(many("$"), *[f(f"$['{k}']") for k in NESTED for f in (many, one)])
+
+
+def nested_nodes(root: Column, depth: int = 5) -> Column:
+    """A variant and all nodes in it down to a depth, level by level."""
+    def level(found: Column, left: int) -> Column:
+        if not left:
+            return found
+        return let(F.flatten(F.transform(found, _inner)), lambda inner: F.concat(found, F.when(F.size(inner) > 0, level(inner, left - 1)).otherwise(inner)))
+
+    return let(F.array(root), lambda found: level(found, depth))
+
+
 def json_ld_recipes(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """(key, pos, node): the recipe nodes of each page's JSON-LD, top level, lists and @graph."""
+    """(key, pos, node): the recipe nodes of each page's JSON-LD, wherever they are nested."""
     blocks = pages.select(key, F.posexplode(json_ld_blocks(F.col(page))).alias("block", "text")).select(key, "block", tolerant_json(F.col("text")).alias("v"))
-    as_list = lambda path: F.try_variant_get("v", path, "array<variant>")
-    nodes = F.coalesce(as_list("$.@graph"), as_list("$['@graph']"), as_list("$"), F.array("v"))
-    each = blocks.where("v is not null").select(key, "block", F.posexplode(nodes).alias("i", "node"))
+    each = blocks.where("v is not null").select(key, "block", F.posexplode(nested_nodes(F.col("v"))).alias("i", "node"))
     kind = F.lower(F.coalesce(F.try_variant_get("node", "$['@type']", "string"), F.lit("")))
     listed = F.try_variant_get("node", "$.recipeIngredient", "variant").isNotNull() | F.try_variant_get("node", "$.recipeInstructions", "variant").isNotNull()
     return each.where(kind.contains("recipe") | listed).select(key, (F.col("block") * 10_000 + F.col("i")).alias("pos"), "node")

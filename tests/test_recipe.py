@@ -147,3 +147,34 @@ def test_assembled_recipe(spark):
     assert not one["flags"]["isPartial"]
     assert got[2]["flags"]["isPartial"]
     assert got[2]["recipeIngredient"] == []
+
+
+def assembled(spark, ld, head=""):
+    from larder.plans.assemble import assemble
+
+    page = f'<html><head>{head}<script type="application/ld+json">{ld}</script></head><body></body></html>'
+    return assemble(spark.createDataFrame([(1, "https://x.e/p/q", page)], "page_id long, url string, html string")).first()
+
+
+@pytest.mark.parametrize("wrap", ['{"@type":"WebPage","mainEntity":%s}', '[{"@graph":[%s]}]', '[[%s]]', '{"@graph":[{"@type":"WebPage","mainEntity":[%s]}]}', '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":%s}]}'])
+def test_recipes_nested_in_other_nodes(spark, wrap):
+    assert assembled(spark, wrap % '{"@type":"Recipe","name":"Cake"}')["name"] == "Cake"
+
+
+@pytest.mark.parametrize(("image", "want"), [('["/a.jpg","/b.jpg"]', ["https://x.e/a.jpg", "https://x.e/b.jpg", "https://x.e/og.png"]), ('{"@type":"ImageObject","url":"c.jpg"}', ["https://x.e/p/c.jpg", "https://x.e/og.png"]), ('[{"@id":"/d.jpg"},{"x":1}]', ["https://x.e/d.jpg", "https://x.e/og.png"]), ("null", ["https://x.e/og.png"])])
+def test_image_lists_and_objects(spark, image, want):
+    assert assembled(spark, f'{{"@type":"Recipe","name":"Cake","image":{image}}}', '<meta property="og:image" content="/og.png">')["image"] == want
+
+
+def test_sections_give_their_steps(spark):
+    got = assembled(spark, '{"@type":"Recipe","recipeInstructions":[{"@type":"HowToSection","name":"Teig","itemListElement":[{"@type":"HowToStep","text":"Mix"},{"@type":"HowToStep","text":"Rest"}]},{"@type":"HowToStep","text":"Bake"}]}')
+    assert got["recipeInstructions"] == ["Mix", "Rest", "Bake"]
+    assert [(s["text"], s["section"]) for s in got["sectionSteps"]] == [("Mix", "Teig"), ("Rest", "Teig")]
+
+
+def test_durations_with_fractions(spark):
+    assert one(spark, ["1½ h", "½ Stunde", "1 1/2 h 5 min", "3/4 h", "1,5 Stunden", "no time", None], duration.parse_duration) == ["PT2H", "PT1H", "PT2H5M", "PT1H", "PT2H", None, None]
+
+
+def test_keys_without_any_accent(spark):
+    assert one(spark, ["Dvořák  <b>ŐŠž</b> ậ ß"], text.canon_key) == ["dvorak osz a ß"]
