@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import display, duration, quantity, text, units
 from larder.operators import evaluate, grouping, posts, recipe, store
-from larder.operators.lines import normalized, parse_modular, parse_simple
+from larder.operators.lines import free_text_half, normalized, parse_modular, parse_simple
 from larder.plans import inputs as I
 from larder.plans.assemble import assemble
 from larder.plans.inputs import derived
@@ -119,11 +119,11 @@ def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "concat_ws('|', CASE WHEN qty_low IS NULL THEN '' WHEN qty_high IS NULL THEN printf('%.3f', qty_low) ELSE printf('%.3f-%.3f', qty_low, qty_high) END, lower(coalesce(unit, '')), strip_accents(lower(item)))"
 
 
-@query(f"WITH {_PARSED}, k AS (SELECT recipe_id % 5 AS recipe_id, pos, {_KEY.replace('item)', 'split_part(item, ' + chr(39) + ' ' + chr(39) + ', 1))')} AS key FROM parsed) SELECT recipe_id, pos, key FROM k QUALIFY row_number() OVER (PARTITION BY recipe_id, key ORDER BY pos) = 1")
+@query(f"WITH {_PARSED}, k AS (SELECT recipe_id, pos, {_KEY} AS key FROM parsed), twice AS (SELECT * FROM k UNION ALL SELECT recipe_id, pos + 10000000, key FROM k) SELECT recipe_id, pos, key FROM twice QUALIFY row_number() OVER (PARTITION BY recipe_id, key ORDER BY pos) = 1")
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _lines(spark, sf_dir).withColumn("recipe_id", F.col("recipe_id") % 5).withColumn("item", F.split_part("item", F.lit(" "), F.lit(1)))
-    df = df.withColumn("key", recipe.line_key(F.col("qty_low"), F.col("qty_high"), F.col("unit"), F.col("item")))
-    return recipe.first_wins(df, ["recipe_id"], "pos", F.col("key")).select("recipe_id", "pos", "key")
+    """The lines, each of which a recipe repeats at its end."""
+    df = _lines(spark, sf_dir).withColumn("key", recipe.line_key(F.col("qty_low"), F.col("qty_high"), F.col("unit"), F.col("item"))).select("recipe_id", "pos", "key")
+    return recipe.first_wins(df.union(df.withColumn("pos", F.col("pos") + 10_000_000)), ["recipe_id"], "pos", F.col("key")).select("recipe_id", "pos", "key")
 
 
 @query("SELECT doc_id, strip_accents(trim(regexp_replace(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '\\s+', ' ', 'g'))) AS key FROM documents")
@@ -333,3 +333,118 @@ def golden_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fixture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _lines(spark, sf_dir).groupBy("recipe_id").agg(F.count_if(F.col("qty_low").isNotNull()).alias("lines"), F.count_if(F.col("unit").isNull()).alias("warned"))
     return each.select(evaluate.fixture_status(F.lit(0), F.col("lines"), F.col("warned")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_LABEL = _mapped(units.GERMAN, "unit", "coalesce(unit, '')")
+_SHOWN = f"CASE WHEN qty_low IS NULL THEN '' WHEN qty_high IS NULL THEN {_SHOW.format(v='qty_low')} ELSE concat({_SHOW.format(v='qty_low')}, '–', {_SHOW.format(v='qty_high')}) END"
+
+
+@query(f"WITH {_PARSED} SELECT line_id, concat_ws(' ', nullif({_SHOWN}, ''), nullif({_LABEL}, ''), nullif(CASE WHEN item = lower(item) THEN concat(upper(left(item, 1)), substr(item, 2)) ELSE item END, ''), CASE WHEN note <> '' THEN concat('(', note, ')') END) AS line FROM parsed")
+def shopping_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line_id", display.shopping_line(F.col("qty_low"), F.col("qty_high"), F.col("unit"), F.col("item"), F.col("note")).alias("line"))
+
+
+_PLAIN = "regexp_replace(printf('%.3f', {v}), '\\.?0+$', '')"
+
+
+@query(f"WITH {_PARSED} SELECT line_id, CASE WHEN qty_low IS NULL THEN '' WHEN qty_high IS NULL THEN {_PLAIN.format(v='qty_low')} ELSE concat({_PLAIN.format(v='qty_low')}, '-', {_PLAIN.format(v='qty_high')}) END AS qty FROM parsed")
+def qty_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line_id", quantity.qty_text(F.col("qty_low"), F.col("qty_high")).alias("qty"))
+
+
+@query("SELECT post_id, name, value FROM (" + " UNION ALL ".join(f"SELECT post_id, '{f}_bak_20250101' AS name, {f} AS value FROM ({I.VERSIONS})" for f in _DIFF_FIELDS) + ") WHERE value IS NOT NULL")
+def field_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.backup(derived(spark, sf_dir, I.VERSIONS), "post_id", list(_DIFF_FIELDS), "20250101")
+
+
+_PARSED_BY = "SELECT o_orderkey AS post_id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '2' ELSE '1' END AS parser FROM orders"
+
+
+@query(f"SELECT post_id, parser FROM ({_PARSED_BY}) WHERE parser IS DISTINCT FROM '2'")
+def stale_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that another version of the parser has written, or none."""
+    return store.stale(derived(spark, sf_dir, _PARSED_BY), "parser", "2")
+
+
+_CATEGORIES = "SELECT CASE WHEN p_partkey % 9 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS name FROM part"
+_KNOWN = "SELECT DISTINCT p_brand AS name FROM part WHERE p_size < 3"
+
+
+@query(f"SELECT name FROM ({_KNOWN}) UNION SELECT name FROM ({_CATEGORIES}) WHERE trim(name) <> ''")
+def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.with_categories(derived(spark, sf_dir, _CATEGORIES), derived(spark, sf_dir, _KNOWN))
+
+
+@query(f"SELECT id, coalesce(nullif(jsonld_image, ''), nullif(microdata_image, ''), '/default.jpg') AS image FROM ({_SOURCES})")
+def lead_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _SOURCES).select("id", store.lead_image(F.col("jsonld_image"), F.col("microdata_image"), "/default.jpg").alias("image"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 200")
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 200 lines of a log: the feature is the limit."""
+    return store.log_tail(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type"), "event_id", 200)
+
+
+@query(f"SELECT recipe_id, pos, raw FROM ({I.GROUP_LINES}) QUALIFY row_number() OVER (PARTITION BY recipe_id, split_part(raw, ' ', 1) ORDER BY pos) = 1")
+def group_assigned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line, here by its first word, in the group where it comes first."""
+    return grouping.assigned_once(derived(spark, sf_dir, I.GROUP_LINES), "recipe_id", "pos", F.split_part("raw", F.lit(" "), F.lit(1)))
+
+
+_META = "SELECT o_orderkey AS post_id, CASE o_orderkey % 3 WHEN 0 THEN 'ingredients_struct' WHEN 1 THEN 'schema_recipe_json' ELSE 'other' END AS key, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '[]' WHEN 2 THEN NULL WHEN 3 THEN '{}' ELSE o_orderpriority END AS value FROM orders"
+
+
+@query(f"SELECT DISTINCT post_id FROM ({_META}) WHERE key <> 'other' AND value NOT IN ('', '[]', '{{}}')")
+def recipe_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts.seeds(derived(spark, sf_dir, _META))
+
+
+_SERVINGS = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'viele' WHEN 1 THEN '-3' WHEN 2 THEN NULL WHEN 3 THEN concat(p_size, '.5') ELSE CAST(p_size AS VARCHAR(5)) END AS txt FROM part"
+
+
+@query(f"SELECT id, coalesce(CASE WHEN try_cast(txt AS DOUBLE) > 0 THEN try_cast(txt AS DOUBLE) END, 2) AS servings FROM ({_SERVINGS})")
+def servings_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _SERVINGS).select("id", display.positive_or(F.col("txt")).alias("servings"))
+
+
+_ENTRIES = "SELECT p_partkey AS id, concat(p_name, ' ; ', p_size, CASE WHEN p_partkey % 2 = 0 THEN concat('-', p_size + 2) ELSE '' END, ' • ', p_type, '   ', p_brand) AS line FROM part"
+
+
+@query("SELECT id, concat(p_name, '|', p_type, '|', p_brand) AS entries FROM (SELECT p_partkey AS id, p_name, p_type, p_brand FROM part)")
+def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold several entries, without bare numbers and ranges."""
+    return derived(spark, sf_dir, _ENTRIES).select("id", F.array_join(quantity.split_entries(F.col("line")), "|").alias("entries"))
+
+
+_SCORES = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS a, CASE WHEN p_partkey % 6 IN (0, 1) THEN p_name END AS b, p_size AS a_score, p_size % 7 + p_partkey % 40 AS b_score FROM part"
+
+
+@query(f"SELECT id, CASE WHEN a IS NOT DISTINCT FROM b THEN 'identical' WHEN b_score > a_score THEN 'improved' ELSE 'different' END AS verdict FROM ({_SCORES})")
+def engine_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _SCORES).select("id", evaluate.engine_difference(F.col("a"), F.col("b"), F.col("a_score"), F.col("b_score")).alias("verdict"))
+
+
+_NAMES = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('https://example.com/author/', lower(split_part(p_name, ' ', 1)), '/') WHEN 1 THEN concat(' ', p_name, ' ') ELSE '' END AS name FROM part"
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN lower(split_part(p_name, ' ', 1)) WHEN 1 THEN p_name ELSE '' END AS author FROM (SELECT p_partkey AS id, p_name FROM part)")
+def recipe_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors by name; an address is named by its last part."""
+    return derived(spark, sf_dir, _NAMES).select("id", F.array_join(F.transform(recipe.authors(F.array("name")), lambda a: a["name"]), "|").alias("author"))
+
+
+@query("SELECT o_orderkey AS post_id, CASE WHEN o_orderkey = 7 THEN 'trash' ELSE o_orderstatus END AS status FROM orders")
+def post_trash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One post goes to the trash where its token fits."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("post_id"), F.lit("t").alias("token"), F.col("o_orderstatus").alias("status"))
+    return store.soft_delete(store.soft_delete(rows, 7, "t"), 8, "wrong").drop("token")
+
+
+_HALVES = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('Saft einer halben ', p_name) WHEN 1 THEN concat('Schale von einer halben ', p_name) ELSE p_name END AS line FROM part"
+
+
+@query("SELECT id, CASE WHEN id % 3 < 2 THEN 0.5::DOUBLE END AS qty, CASE WHEN id % 3 < 2 THEN p_name END AS item, CASE id % 3 WHEN 0 THEN 'Saft' WHEN 1 THEN 'Schale' END AS note FROM (SELECT p_partkey AS id, p_name FROM part)")
+def halves_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = free_text_half(F.col("line"))
+    return derived(spark, sf_dir, _HALVES).select("id", found.alias("f")).select("id", "f.qty", "f.item", "f.note")
