@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from larder.llm.common import bound_batches
 
 #: Characters (encoding) and tokens (decoding) taken at once, bytes of pieces in one query, bytes of pieces remembered by a worker.
-CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 2_000_000, 200_000, 600_000, 64_000_000
+CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 4_000_000, 200_000, 1_200_000, 48_000_000
 #: Pieces of a very long text taken at once, and about what an entry of the cache takes beside its bytes.
 CHUNK_PIECES, ENTRY_BYTES = 200_000, 200
 #: Bytes of the longest word that a query contracts whole; longer pieces go in stretches of that many, each half over the next.
@@ -129,6 +129,11 @@ class Codec:
             _state[key] = cls(path, pattern)
         return _state[key]
 
+    def rest(self) -> None:
+        """Forget all pieces at the end of a task: its worker may serve other stages."""
+        self.cache, self.older, self.held = {}, {}, 0
+        pa.default_memory_pool().release_unused()
+
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word; none is empty."""
         out: list[np.ndarray] = []
@@ -308,6 +313,7 @@ def _encoded(path: str, pattern: str, key: pa.DataType) -> Callable[[Iterator[pa
         for rows in _gathered(batches, CHUNK_CHARS):
             ids = codec.encode([text or "" for _, text in rows])
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        codec.rest()
 
     return run
 
