@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.lexicon import Lexicon, any_of, lexicon
 from larder.functions.quantity import number, quantity_range
 from larder.functions.text import normalize_line, normalize_quantity, prenormalize, squeeze
 from larder.functions.units import ACTIVE_UNITS, CANONICAL, SIMPLE_UNITS, canonical_unit, leading_unit
 
 HALF = r"(?iu)^(?:ein(?:e|er|em|en)?\s+)?halb(?:e|en|er|es|em)?\s+(.*)$"
 END_NOTE = r"^(.*?)\s*\(([^()]+)\)\s*$"
-
-# Adjectives and preparations that the modular engine moves into the note, folded.
-ADJECTIVES = ("fein", "grob", "gehackt", "gewuerfelt", "geschnitten", "gerieben", "frisch", "frische", "frischer", "frisches", "getrocknet", "gemahlen", "gross", "grosse", "klein", "kleine", "rot", "rote", "gruen", "gruene", "weiss", "reif", "reife", "chopped", "diced", "sliced", "minced", "fresh", "dried", "ground", "large", "small")
+PIECE = r"(?iu)\s*-\s*st(?:ü|ue|u)ck\b"
 
 
 def normalized(raw: Column) -> Column:
@@ -47,19 +46,33 @@ def parse_simple(df: DataFrame, raw: str = "raw", units: tuple[str, ...] = ACTIV
     )
 
 
-def parse_modular(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """As ``parse_simple`` but with canonical units, ordered ranges, and adjectives, purposes and tails in the note."""
-    units = tuple(sorted({*SIMPLE_UNITS, *CANONICAL, "Zehen", "Stücke", "Scheiben", "Dosen", "TK"}, key=lambda u: (-len(u), u)))
+def parse_modular(df: DataFrame, raw: str = "raw", locale: str = "de", overlay: Lexicon | None = None) -> DataFrame:
+    """As ``parse_simple`` but with canonical units, ordered ranges, and what the lexicon names as adjective or purpose in the note.
+
+    Adjectives go from both ends of the item, purposes from anywhere, tails from behind commas; TK at the start and a
+    hyphened "Stück" are notes too. A line of nothing but adjectives keeps the last as item.
+    """
+    units = tuple(sorted({*SIMPLE_UNITS, *CANONICAL, "Zehen", "Stücke", "Scheiben", "Dosen"}, key=lambda u: (-len(u), u)))
+    words = lexicon(locale, overlay)
+    adjective, purpose = any_of(words["adjectives"]), any_of(words["purpose_phrases"])
     parsed = parse_simple(df, raw, units)
     low, high = F.col("qty_low"), F.col("qty_high")
     clove = F.col("item").rlike(r"(?iu)^knoblauchzehen?\b")
-    item = F.when(clove, F.regexp_replace("item", r"(?iu)^knoblauchzehen?\b", "Knoblauch")).otherwise(F.col("item"))
-    words = "|".join(ADJECTIVES).replace("gruen", "gr(?:ue|ü)n").replace("gewuerfelt", "gew(?:ue|ü)rfelt").replace("weiss", "wei(?:ss|ß)").replace("gross", "gro(?:ss|ß)")
-    lead = rf"(?iu)^((?:(?:{words})\s+)+)(\S.*)$"
-    tail = rf"(?iu)^(.*?)(?:,\s*((?:(?:{words})\b.*|(?:zum|zur|für|for|to)\s.*|optional)))$"
-    parsed = parsed.withColumn("_tail", F.regexp_extract(item, tail, 2)).withColumn("_rest", F.when(F.col("_tail") != "", F.regexp_extract(item, tail, 1)).otherwise(item))
-    parsed = parsed.withColumn("_lead", F.trim(F.regexp_extract("_rest", lead, 1))).withColumn("_item", F.when(F.col("_lead") != "", F.regexp_extract("_rest", lead, 2)).otherwise(F.col("_rest")))
-    notes = F.array_distinct(F.filter(F.array(F.col("_lead"), F.col("_tail"), F.coalesce("note", F.lit(""))), lambda n: n != ""))
+    parsed = parsed.withColumn("_item", F.when(clove, F.regexp_replace("item", r"(?iu)^knoblauchzehen?\b", "Knoblauch")).otherwise(F.col("item"))).withColumn("_clove", clove)
+    def take(name: str, pattern: str, note: int, rest: str) -> None:
+        """Move group ``note`` of a pattern over the item into a column, and leave ``rest``."""
+        nonlocal parsed
+        parsed = parsed.withColumn(name, F.trim(F.regexp_extract("_item", pattern, note))).withColumn("_item", squeeze(F.regexp_replace("_item", pattern, rest)))
+
+    take("_tail", rf"(?iu)^(.*?),\s*((?:{adjective}|{purpose}|optional)(?![\p{{L}}]).*)$", 2, "$1")
+    take("_frozen", r"(?u)^(TK)\b\s*(?=\S)", 1, "")
+    parsed = parsed.withColumn("_piece", F.when(F.col("_item").rlike(PIECE), "Stück").otherwise("")).withColumn("_item", F.regexp_replace("_item", PIECE, ""))
+    take("_purpose", rf"(?iu)(?<=\S)\s+({purpose})(?![\p{{L}}])", 1, " ")
+    take("_lead", rf"(?iu)^((?:{adjective}\s+)+)(?=\S)", 1, "")
+    take("_trail", rf"(?iu)(?<=\S)((?:\s+{adjective})+)$", 1, "")
+    clove = F.col("_clove")
+    found = [F.col(c) for c in ("_tail", "_frozen", "_piece", "_purpose", "_lead", "_trail")]
+    notes = F.array_distinct(F.filter(F.array(F.coalesce("note", F.lit("")), *found), lambda n: n != ""))
     return parsed.select(
         *df.columns, F.least(low, F.coalesce(high, low)).alias("qty_low"), F.when(high != low, F.greatest(low, high)).alias("qty_high"), (high.isNotNull() & (high != low)).alias("is_range"),
         F.coalesce(canonical_unit(F.col("unit")), F.when(clove, "clove"), F.col("unit")).alias("unit"), squeeze(F.col("_item")).alias("item"), F.when(F.size(notes) > 0, F.array_join(notes, ", ")).alias("note"),

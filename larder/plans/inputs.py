@@ -41,6 +41,18 @@ SELECT p_partkey AS page_id, concat('https://www.example.com/r/', p_partkey) AS
     CASE p_partkey % 3 WHEN 0 THEN '}' WHEN 1 THEN ']}]' ELSE '}]}' END, '</script></head><body></body></html>') AS html
 FROM part"""
 
+#: What follows a quantity, with notes of every kind.
+REMAINDERS = """
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('TK g ', p_name, ' (', p_type, ')') WHEN 1 THEN concat('EL ', p_name, ', ', p_brand) WHEN 2 THEN concat('kg Ingwer-Stück, ', p_type) ELSE p_name END AS rest
+FROM part"""
+
+#: Stored documents: repeated raw lines, parsed entries of three kinds, steps of four.
+SCHEMAS = """
+SELECT p_partkey AS post_id, concat('{"name":"', p_name, '","recipeIngredient":["', p_size, ' g ', p_name, '","', p_size, ' g ', p_name, '",{"raw":"2 EL ', p_type, '"}],',
+  '"recipeInstructions":["Mix",{"text":"Bake ', p_brand, '"},{"@type":"HowToStep"},"Serve"]', CASE WHEN p_partkey % 3 = 0 THEN concat(',"url":"https://example.com/own/', p_partkey, '"') WHEN p_partkey % 3 = 1 THEN ',"url":"no address"' ELSE '' END,
+  CASE WHEN p_partkey % 2 = 0 THEN concat(',"ingredientsParsed":[{"raw":"', p_size, ' g ', p_name, '","qty":1.5,"unit":"tbsp","item":"', p_name, '"},{"qty":{"low":2,"high":3},"unit":"piece","name":"', p_brand, '"}]') ELSE '' END, '}') AS json
+FROM part"""
+
 DURATIONS = """
 SELECT p_partkey AS id,
   CASE p_partkey % 7 WHEN 0 THEN concat(p_size, ' min') WHEN 1 THEN concat('1 h ', p_size, ' m') WHEN 2 THEN concat('PT', p_size, 'M')

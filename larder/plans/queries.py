@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions import display, duration, quantity, text, units
-from larder.operators import evaluate, grouping, posts, recipe, store
+from larder.functions import display, duration, notes, quantity, text, units
+from larder.operators import evaluate, grouping, posts, recipe, store, stored
 from larder.operators.lines import free_text_half, normalized, parse_modular, parse_simple
 from larder.plans import inputs as I
 from larder.plans.assemble import assemble
@@ -84,7 +84,12 @@ def qty_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, I.LINES).select("line_id", normalized(F.col("raw")).alias("line"))
 
 
-@query()
+#: Of the adjectives, those that the names of parts begin with.
+_ADJECTIVES = r"'^((?:(?:fresh|small|medium|large|green|red|white|yellow|black)\s+)+)\S'"
+
+
+@query(rf"""WITH {_PARSED}, a AS (SELECT *, trim(regexp_extract(item, {_ADJECTIVES}, 1)) AS lead FROM parsed)
+SELECT * EXCLUDE (lead) REPLACE (coalesce({_mapped(units.CANONICAL, 'unit', 'unit')}, unit) AS unit, trim(substr(item, length(lead) + 1)) AS item, nullif(concat_ws(', ', note, nullif(lead, '')), '') AS note) FROM a""")
 def line_parse_modular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_modular(derived(spark, sf_dir, I.LINES))
 
@@ -448,3 +453,103 @@ _HALVES = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat('Saft e
 def halves_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = free_text_half(F.col("line"))
     return derived(spark, sf_dir, _HALVES).select("id", found.alias("f")).select("id", "f.qty", "f.item", "f.note")
+
+
+@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'tbsp' WHEN 2 THEN 'kg' END AS unit, CASE WHEN id % 4 = 2 THEN 'Ingwer' ELSE p_name END AS item, CASE id % 4 WHEN 0 THEN concat('TK; ', p_type) WHEN 1 THEN p_brand WHEN 2 THEN concat(p_type, '; Stück') END AS note FROM (SELECT p_partkey AS id, p_name, p_type, p_brand FROM part)")
+def line_remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit, item and notes of what follows a quantity."""
+    return derived(spark, sf_dir, I.REMAINDERS).select("id", notes.remainder(F.col("rest")).alias("r")).select("id", "r.unit", "r.item", "r.note")
+
+
+_NUMBERS = "SELECT p_partkey AS id, concat('von ', p_size, '½ bis ', p_size + 2, ' oder ', p_size, ',5 – ', p_size + 1, ' und .25') AS line FROM part"
+
+
+@query("SELECT p_partkey AS id, concat(p_size, ' 1/2-', p_size + 2, '|', p_size, '.5-', p_size + 1, '|0.25') AS tokens FROM part")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and ranges of a line, wherever they stand."""
+    return derived(spark, sf_dir, _NUMBERS).select("id", F.array_join(notes.number_tokens(F.col("line")), "|").alias("tokens"))
+
+
+_MEASURED = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(p_size, ',5 EL ', p_name) WHEN 1 THEN concat(p_size, ' ', p_name) ELSE concat('EL ', p_name) END AS line FROM part"
+
+
+@query("SELECT p_partkey AS id, p_name AS item FROM part")
+def line_without_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _MEASURED).select("id", notes.without_quantity(F.col("line"), units.SIMPLE_UNITS).alias("item"))
+
+
+_STEPS = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(' ', p_size, '. ', p_name, ' ') WHEN 1 THEN concat(p_size, ') ', p_name) ELSE concat(p_size, ' ', p_name) END AS step FROM part"
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE concat(p_size, ' ', p_name) END AS step FROM part")
+def step_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _STEPS).select("id", notes.step_text(F.col("step")).alias("step"))
+
+
+_WRITTEN = "SELECT p_partkey AS id, p_size % 5 AS servings, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' Portionen') WHEN 1 THEN 'viele' WHEN 2 THEN '' ELSE concat('für ', p_size, ',0 Personen') END AS written FROM part"
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 1 THEN true WHEN 2 THEN false ELSE p_size <> p_size % 5 END AS shown FROM part")
+def original_yield_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, _WRITTEN).select("id", notes.shows_original(F.col("written"), F.col("servings")).alias("shown"))
+
+
+@query("SELECT p_partkey AS post_id, 2::BIGINT AS n_lines, concat(p_name, '|', p_type) AS items, 'g|EL' AS units FROM part")
+def reparsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines of stored documents, parsed anew."""
+    again = stored.reparsed(derived(spark, sf_dir, I.SCHEMAS), "post_id", "json")
+    each = lambda f: F.array_join(F.transform("lines", lambda x: x[f]), "|")
+    return again.select("post_id", F.size("lines").cast("long").alias("n_lines"), each("item").alias("items"), each("unit").alias("units"))
+
+
+@query("SELECT p_partkey AS post_id, CASE WHEN p_partkey % 2 = 0 THEN concat('1,5,EL,', p_name, '|2–3,Stück,', p_brand) ELSE concat(',,', p_size, ' g ', p_name, '|,,', p_size, ' g ', p_name, '|,,2 EL ', p_type) END AS shown FROM part")
+def materialized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of stored documents: parsed entries, else their ingredients as they are."""
+    rows = stored.materialized(F.try_parse_json("json"))
+    return derived(spark, sf_dir, I.SCHEMAS).select("post_id", F.array_join(F.transform(rows, lambda r: F.concat_ws(",", r["qty"], r["unit"], r["name"])), "|").alias("shown"))
+
+
+@query("SELECT p_partkey AS post_id, p_name AS name, 3::BIGINT AS n_ingredients, 4::BIGINT AS n_steps, concat('Mix|Bake ', p_brand, '|HowToStep') AS first_steps FROM part")
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derived(spark, sf_dir, I.SCHEMAS).select("post_id", stored.summary(F.try_parse_json("json")).alias("s"))
+    return docs.select("post_id", "s.name", F.col("s.ingredients").cast("long").alias("n_ingredients"), F.col("s.steps").cast("long").alias("n_steps"), F.array_join("s.first_steps", "|").alias("first_steps"))
+
+
+@query("SELECT p_partkey AS post_id, CASE WHEN p_partkey % 3 = 0 THEN concat('https://example.com/own/', p_partkey) WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN 'https://example.com/canonical' ELSE 'https://example.com/stored' END AS source FROM part")
+def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address that a document names, else the canonical one of where it came from, else that."""
+    docs = derived(spark, sf_dir, I.SCHEMAS)
+    at = F.when(F.col("post_id") % 5 == 0, " ").otherwise("https://example.com/stored")
+    canonical = F.when(F.col("post_id") % 5 == 1, "https://example.com/canonical").otherwise("")
+    return docs.select("post_id", stored.source_url(F.try_parse_json("json"), canonical, at).alias("source"))
+
+
+_META_VALUES = "SELECT p_partkey AS post_id, CASE p_partkey % 5 WHEN 0 THEN concat('[\"', p_name, '\",\"', p_type, '\"]') WHEN 1 THEN '{\"a\":1}' WHEN 2 THEN 'a:0:{broken' WHEN 3 THEN '\"text\"' END AS value FROM part"
+
+
+@query("SELECT p_partkey AS post_id, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_entries FROM part")
+def metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of stored metadata, whatever its form; what is no list or object has none."""
+    return derived(spark, sf_dir, _META_VALUES).select("post_id", F.size(stored.listed(F.col("value"))).cast("long").alias("n_entries"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 5 = 0 THEN p_type ELSE '' END AS lines FROM part")
+def lines_to_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped lines before stored ones before those of the document."""
+    some = lambda c, n: F.when(F.col("p_partkey") % n == 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("id"), F.array_join(stored.first_filled(some("p_name", 2), some("p_brand", 3), some("p_type", 5)), "|").alias("lines"))
+
+
+_SHOWN_KEY = "concat_ws('|', CASE WHEN qty_low IS NULL THEN '' ELSE printf('%.3f', qty_low) END, lower(coalesce(unit, '')), strip_accents(lower(item)))"
+
+
+@query(f"WITH {_PARSED} SELECT recipe_id, pos FROM parsed QUALIFY row_number() OVER (PARTITION BY recipe_id, {_SHOWN_KEY} ORDER BY pos) = 1")
+def lines_shown_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored.shown_once(_lines(spark, sf_dir), ["recipe_id"], "pos", name="item").select("recipe_id", "pos")
+
+
+@query(f"SELECT id, CASE WHEN jsonld_image <> '' THEN jsonld_image WHEN microdata_image <> '' THEN microdata_image ELSE coalesce(dom_image, '') END AS image, dom_name AS title FROM ({_SOURCES})")
+def related_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = stored.card(F.col("dom_name"), F.lit("/"), F.col("jsonld_image"), F.col("microdata_image"), F.col("dom_image"))
+    return derived(spark, sf_dir, _SOURCES).select("id", c.alias("c")).select("id", "c.image", "c.title")
