@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.display import stored_name
+from larder.functions.quantity import qty_text
 from larder.functions.text import absolute_url, canon_key
 
 #: Fields of a merged document, in storage order.
@@ -82,6 +84,12 @@ def line_key(low: Column, high: Column, unit: Column, item: Column) -> Column:
     return F.concat_ws("|", qty, F.lower(F.trim(F.coalesce(unit, F.lit("")))), canon_key(F.coalesce(item, F.lit(""))))
 
 
+def stored_key(low: Column, high: Column, unit: Column, item: Column, note: Column) -> Column:
+    """Key of equal stored lines: the folded text of quantity, unit and name."""
+    parts = F.transform(F.array(qty_text(low, high), unit, stored_name(item, note)), lambda p: F.nullif(F.trim(p), F.lit("")))
+    return canon_key(F.array_join(F.array_compact(parts), " "))
+
+
 def first_wins(df: DataFrame, group: list[str], order: str, key: Column) -> DataFrame:
     """Of the rows of a group with one key only the first by order; rows with an empty key go."""
     w = Window.partitionBy(*group, "_key").orderBy(order)

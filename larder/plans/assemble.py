@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import duration, quantity
+from larder.functions.units import canonical_unit
 from larder.operators import recipe
 from larder.operators.lines import parse_lines
 from larder.sources import pages as P
@@ -14,14 +15,6 @@ SCALARS = ("name", "description", "recipeYield", "prepTime", "cookTime", "totalT
 LISTS = ("image", "ingredients", "instructions")
 
 
-def _strings(node: str, path: str) -> Column:
-    """A list of strings at a path of a node, one string as a list, objects by their text or name."""
-    many = F.try_variant_get(node, path, "array<variant>")
-    text = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$", "string"))
-    one = F.try_variant_get(node, path, "string")
-    return F.coalesce(F.filter(F.transform(many, text), lambda s: s.isNotNull()), F.when(one.isNotNull(), recipe.instruction_steps(one)))
-
-
 def _plain(v: Column) -> Column:
     """The text of a variant that is one, null for lists and objects."""
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -33,6 +26,30 @@ def _each(node: Column | str, path: str) -> Column:
     return F.coalesce(many, F.array_compact(F.array(F.try_variant_get(node, path, "variant"))))
 
 
+def _ingredients(node: str) -> Column:
+    """array<struct<raw, given>> of a node's ingredients; ``given`` holds the quantity, unit, item and note of one that has them as fields."""
+    get = lambda v, *keys: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in keys])
+    end = lambda v, k: F.try_variant_get(v, f"$.qty.{k}", "double")
+    has = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("qty", "unit", "item", "name", "note")]).isNotNull()
+
+    def fields(v: Column) -> Column:
+        unit, item = get(v, "unit"), F.coalesce(get(v, "item", "name"), F.lit(""))
+        single = quantity.number(F.replace(get(v, "qty"), F.lit(","), F.lit(".")))
+        low, high = F.coalesce(end(v, "low"), single), end(v, "high")
+        amount = F.nullif(quantity.qty_text(low, high), F.lit(""))
+        given = F.struct(low.alias("low"), high.alias("high"), F.coalesce(canonical_unit(unit), F.nullif(unit, F.lit(""))).alias("unit"), item.alias("item"), F.nullif(get(v, "note"), F.lit("")).alias("note"))
+        return F.struct(F.coalesce(get(v, "raw"), F.trim(F.concat_ws(" ", amount, given["unit"], item))).alias("raw"), given.alias("given"))
+
+    def one(v: Column) -> Column:
+        plain = F.coalesce(_plain(v), get(v, "raw", "text"))
+        none = F.lit(None).cast("struct<low double, high double, unit string, item string, note string>")
+        return F.when(_plain(v).isNull() & has(v), fields(v)).otherwise(F.struct(plain.alias("raw"), none.alias("given")))
+
+    listed = F.transform(_each(node, "$.recipeIngredient"), one)
+    split = F.transform(recipe.instruction_steps(_plain(F.try_variant_get(node, "$.recipeIngredient", "variant"))), lambda t: F.struct(t.alias("raw"), F.lit(None).cast("struct<low double, high double, unit string, item string, note string>").alias("given")))
+    return F.coalesce(split, F.filter(listed, lambda x: x["raw"].isNotNull()))
+
+
 def _images(node: str) -> Column:
     """Addresses of the images of a node: texts, or objects by url, contentUrl or @id."""
     get = lambda v, k: F.try_variant_get(v, f"$['{k}']", "string")
@@ -52,12 +69,12 @@ def _steps(node: str) -> Column:
 def candidates(pages: DataFrame) -> DataFrame:
     """For each page the fields of its JSON-LD, field by field from the best candidate that has one."""
     nodes = P.json_ld_recipes(pages)
-    fields = nodes.select("page_id", "pos", *[F.try_variant_get("node", f"$.{f}", "string").alias(f) for f in SCALARS], _images("node").alias("images"), _strings("node", "$.recipeIngredient").alias("ingredients"), _steps("node").alias("steps"))
-    fields = fields.withColumn("instructions", F.transform("steps", lambda s: s["text"]))
+    fields = nodes.select("page_id", "pos", *[F.try_variant_get("node", f"$.{f}", "string").alias(f) for f in SCALARS], _images("node").alias("images"), _ingredients("node").alias("entries"), _steps("node").alias("steps"))
+    fields = fields.withColumn("ingredients", F.transform("entries", lambda x: x["raw"])).withColumn("instructions", F.transform("steps", lambda s: s["text"]))
     counted = fields.withColumns({"recipeIngredient": F.array_join("ingredients", ""), "recipeInstructions": F.array_join("instructions", ""), "image": F.array_join("images", "")})
     ranked = recipe.rank_candidates(counted, "page_id", "pos").drop("image").withColumnRenamed("images", "image")
     best = lambda f, filled: F.min_by(f, F.when(filled, F.col("rank"))).alias(f"jsonld_{f}")
-    return ranked.groupBy("page_id").agg(*[best(f, F.col(f).isNotNull() & (F.col(f) != "")) for f in SCALARS], *[best(f, F.size(f) > 0) for f in (*LISTS, "steps")])
+    return ranked.groupBy("page_id").agg(*[best(f, F.col(f).isNotNull() & (F.col(f) != "")) for f in SCALARS], *[best(f, F.size(f) > 0) for f in (*LISTS, "steps", "entries")])
 
 
 def assemble(pages: DataFrame, engine: str = "simple") -> DataFrame:
@@ -68,7 +85,7 @@ def assemble(pages: DataFrame, engine: str = "simple") -> DataFrame:
     single = lambda c: F.array_compact(F.array(F.nullif(F.col(c), F.lit(""))))
     given = {"microdata_image": single("m.microdata.image"), "dom_image": single("m.og_image")}
     wide = m.join(candidates(pages), "page_id", "left").select(
-        "page_id", "url", "canonical", "jsonld_steps", F.col("m.og_image").alias("og_image"),
+        "page_id", "url", "canonical", "jsonld_steps", "jsonld_entries", F.col("m.og_image").alias("og_image"),
         *[c for f in (*SCALARS, *LISTS) for c in (f"jsonld_{f}", (given[f"microdata_{f}"] if f == "image" else F.col(f"m.microdata.{f}")).alias(f"microdata_{f}"), (given["dom_image"] if f == "image" else F.col(dom[f]) if f in dom else F.col(f"m.{f}") if f in LISTS else F.lit(None).cast("string")).alias(f"dom_{f}"))],
     )
     for f in LISTS:
@@ -78,9 +95,14 @@ def assemble(pages: DataFrame, engine: str = "simple") -> DataFrame:
             value, source = F.when(some, F.col(f"{s}_{f}")).otherwise(value), F.when(some, s).otherwise(source)
         wide = wide.withColumn(f, value).withColumn(f"{f}_source", source).drop(*[f"{s}_{f}" for s in recipe.WEIGHTS])
     merged = recipe.merge_sources(wide, SCALARS)
-    lines = merged.select("page_id", F.posexplode("ingredients").alias("pos", "raw"))
+    # Entries that come with fields keep them; only what is text is parsed.
+    given = F.when(F.col("ingredients_source") == "jsonld", F.transform("jsonld_entries", lambda x: x["given"]))
+    lines = merged.select("page_id", given.alias("given"), F.posexplode("ingredients").alias("pos", "raw")).withColumn("given", F.get("given", F.col("pos")))
     parsed = parse_lines(lines, "raw", engine)
+    fielded = lambda c, f: F.when(F.col("given").isNotNull(), F.col(f"given.{f}")).otherwise(F.col(c)).alias(c)
+    parsed = parsed.select("page_id", "pos", "raw", fielded("qty_low", "low"), fielded("qty_high", "high"), F.when(F.col("given").isNotNull(), F.col("given.high").isNotNull()).otherwise(F.col("is_range")).alias("is_range"), *[fielded(c, c) for c in ("unit", "item", "note")])
     kept = recipe.first_wins(parsed, ["page_id"], "pos", recipe.line_key(F.col("qty_low"), F.col("qty_high"), F.col("unit"), F.col("item")))
+    kept = recipe.first_wins(kept, ["page_id"], "pos", recipe.stored_key(F.col("qty_low"), F.col("qty_high"), F.col("unit"), F.col("item"), F.col("note")))
     listed = kept.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "raw", "qty_low", "qty_high", "is_range", "unit", "item", "note"))).alias("lines"))
     score = recipe.confidence([F.col(f"{p}_source") for p in ("name", "image", "ingredients", "instructions")] + [F.coalesce("prepTime_source", "cookTime_source", "totalTime_source"), F.col("recipeYield_source")])
     full = merged.join(listed, "page_id", "left").withColumn("confidence", score)

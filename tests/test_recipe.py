@@ -178,3 +178,19 @@ def test_durations_with_fractions(spark):
 
 def test_keys_without_any_accent(spark):
     assert one(spark, ["Dvořák  <b>ŐŠž</b> ậ ß"], text.canon_key) == ["dvorak osz a ß"]
+
+
+def test_ingredients_with_fields_keep_them(spark):
+    entries = """[{"qty":"1,5","unit":"Esslöffel","item":"Öl","note":"mild"}, {"qty":{"low":2,"high":3},"name":"Eier"}, {"raw":"200 g Mehl"}, "1,5 EL Öl (mild)", {"qty":1,"unit":"Becher","item":"Sahne","raw":"ein Becher"}, {"note":"nur so"}]"""
+    page = f"""<script type="application/ld+json">{{"@type":"Recipe","name":"x","recipeIngredient":{entries}}}</script>"""
+    from larder.plans.assemble import assemble
+
+    lines = assemble(spark.createDataFrame([(1, "https://x.example/", page)], "page_id long, url string, html string")).first()["recipeIngredient"]
+    got = [(x["raw"], x["qty_low"], x["qty_high"], x["is_range"], x["unit"], x["item"], x["note"]) for x in lines]
+    assert got == [
+        ("1.5 tbsp Öl", 1.5, None, False, "tbsp", "Öl", "mild"),
+        ("2-3 Eier", 2.0, 3.0, True, None, "Eier", None),
+        ("200 g Mehl", 200.0, None, False, "g", "Mehl", None),
+        ("1,5 EL Öl (mild)", 1.5, None, False, "EL", "Öl", "mild"),
+        ("ein Becher", 1.0, None, False, "Becher", "Sahne", None),
+    ]
