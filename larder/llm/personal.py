@@ -9,7 +9,7 @@ contexts at least (copies of a passage are one), t discloses e, and every docume
 
 Scale: texts without anything that could match a pattern don't leave the JVM. Co-occurrence is counted in windows, so its rows
 grow with the mentions; no pairs of all entities and terms of a document are made. A document's terms meet their entities by
-an equi-join on the term, then on the document; a term can disclose (N / n_e)^(1 - DISCLOSED) entities at most, as the
+an equi-join on the term, then on the document; common words drop out by an exact bound before words are counted; a term can disclose (N / n_e)^(1 - DISCLOSED) entities at most, as the
 quotient bounds its share. All counts are over all rows, with partial sums before each shuffle; intermediate tables hold digests of
 entities instead of them.
 
@@ -178,24 +178,31 @@ def _document_terms(text: Column) -> Column:
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """(entity, term, stemmed): terms that disclose an entity, and whether their stem doesn't; None where no term is near one often enough."""
-    near = found.select("row", F.explode("near").alias("x")).select("x.*")
+    total = F.lit(float(docs.count()))
+
+    def share(n_t: Column) -> Column:
+        told = F.log(total * F.col("n_te") / (n_t * F.col("n_e"))) / F.log(total / F.col("n_e"))
+        return F.when(F.col("n_e") < total, told).otherwise(0.0)
+
+    near = found.select(F.explode("near").alias("x")).select("x.*")
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
     mentions = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = stored(pairs.join(mentions, "entity"), "personal-pairs")
+    # A term is in as many documents at least as it is near some entity in: common words are known to disclose nothing without being counted.
+    least = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(mentions, "entity").join(least, "term").where(share(F.col("n_near")) > DISCLOSED)
+    pairs = stored(pairs.select("entity", "term", "n_te", "n_e", "n_near"), "personal-pairs")
     terms = pairs.select("term").distinct()
     wanted = terms.count()
     if not wanted:
         return None
     terms = F.broadcast(terms) if wanted <= BROADCAST_TERMS else terms
     counts = docs.select(F.explode(_document_terms(_text())).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(docs.count()))
-    seen = F.greatest(F.coalesce("n_t", F.lit(0)), "n_te")
-    share = F.when(F.col("n_e") < total, F.log(total * F.col("n_te") / (seen * F.col("n_e"))) / F.log(total / F.col("n_e"))).otherwise(0.0)
-    scored = pairs.join(counts, "term", "left").select("entity", "term", share.alias("share"))
-    stems = scored.where(F.col("term").endswith("*")).select("entity", F.col("term").alias("stem"), F.col("share").alias("stem_share"))
+    scored = pairs.join(counts, "term", "left").where(share(F.greatest(F.coalesce("n_t", F.lit(0)), "n_near")) > DISCLOSED)
+    scored = stored(scored.select("entity", "term"), "personal-scored")
+    telling_stems = scored.where(F.col("term").endswith("*")).select("entity", F.col("term").alias("stem"), F.lit(True).alias("tells"))
     own_stem = F.when(F.char_length("term") >= LEAST_STEMMED, F.concat(F.substr("term", F.lit(1), F.lit(STEM)), F.lit("*")))
-    words = scored.where(~F.col("term").endswith("*") & (F.col("share") > DISCLOSED)).withColumn("stem", own_stem)
-    return words.join(stems, ["entity", "stem"], "left").select("entity", "term", F.coalesce(F.col("stem_share") <= DISCLOSED, F.lit(False)).alias("stemmed"))
+    words = scored.where(~F.col("term").endswith("*")).withColumn("stem", own_stem)
+    return words.join(telling_stems, ["entity", "stem"], "left").select("entity", "term", (F.col("stem").isNotNull() & F.col("tells").isNull()).alias("stemmed"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
