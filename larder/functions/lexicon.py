@@ -19,6 +19,12 @@ LEXICONS = {
         "fraction_words": ("half", "half of"),
     },
 }
+#: Words of tolerance, which say nothing of a quantity.
+TOLERANCES = ("ca", "circa", "etwa", "ungefähr", "ungefaehr", "approx")
+#: Colours that name a kind (white pepper, black olives) rather than describe one: they stay with their noun.
+KIND_COLOURS = ("weiss(e|er|es)?", "schwarz(e|er|es)?", "white", "black")
+#: Phrases that are a note wherever a line ends with them.
+CLOSING_PHRASES = ("nach geschmack", "nach belieben", "nach bedarf", "bei bedarf", "zum abschmecken", "falls vorhanden", "wenn moeglich", "aus der dose", "aus dem glas", "to taste")
 KINDS = ("countable_nouns", "uncountable_nouns", "adjectives", "purpose_phrases", "fraction_words", "unit_aliases")
 
 Lexicon = dict[str, tuple[str, ...]]

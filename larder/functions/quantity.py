@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import decimal_point, let, sub
 
-#: A mixed number, a fraction, or a decimal.
-NUMBER = r"(?:\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:\.\d+)?)"
-RANGE_AT_START = rf"^\s*({NUMBER})\s*-\s*({NUMBER})(?=\s|$)(.*)$"
-NUMBER_AT_START = rf"^\s*({NUMBER})(?=\s|$)(.*)$"
+_WHOLE = r"\d+"
+RATIO = rf"{_WHOLE}\s*/\s*{_WHOLE}"
+MIXED = rf"{_WHOLE}\s+{RATIO}"
+#: A mixed number, a ratio, or a decimal.
+NUMBER = rf"(?:{MIXED}|{RATIO}|{_WHOLE}(?:\.{_WHOLE})?)"
 
 # Words of a yield, in the order in which they are tried, and what they are stored as.
 YIELD_UNITS = (("portionen", "portionen"), ("portion", "portion"), ("servings", "servings"), ("serves", "serves"), ("personen", "person"), ("person", "person"))
@@ -32,14 +33,28 @@ def first_number(text: Column) -> Column:
     return decimal_point(F.nullif(F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)", 1), F.lit(""))).try_cast("double")
 
 
+def _first(text: Column) -> Column:
+    """struct(value, rest): the number that a text starts with, and what stands behind it."""
+    found = let(F.regexp_extract(text, rf"^\s*{NUMBER}(?=\s|-|$)", 0), lambda t: F.struct(number(t).alias("value"), F.char_length(t).alias("n")))
+    return let(F.struct(text.alias("text"), found.alias("f")), lambda x: F.struct(x["f"]["value"].alias("value"), F.ltrim(F.substr(x["text"], x["f"]["n"] + 1, F.char_length(x["text"]))).alias("rest")))
+
+
 def quantity_range(text: Column) -> Column:
     """struct(low, high, rest) of a leading quantity; high is null for a single one, all null without one."""
-    def one(t: Column) -> Column:
-        ranged = let(F.struct(number(F.regexp_extract(t, RANGE_AT_START, 1)).alias("low"), number(F.regexp_extract(t, RANGE_AT_START, 2)).alias("high"), F.ltrim(F.regexp_extract(t, RANGE_AT_START, 3)).alias("rest")), lambda r: F.when(r["low"].isNotNull() & r["high"].isNotNull(), r))
-        single = let(number(F.regexp_extract(t, NUMBER_AT_START, 1)), lambda n: F.struct(n.alias("low"), F.lit(None).cast("double").alias("high"), F.when(n.isNotNull(), F.ltrim(F.regexp_extract(t, NUMBER_AT_START, 2))).alias("rest")))
-        return F.coalesce(ranged, single)
 
-    return let(text, one)
+    def second(x: Column) -> Column:
+        other = _first(F.when(x["rest"].startswith("-"), F.substr(x["rest"], F.lit(2), F.char_length(x["rest"]))))
+        return F.struct(x["value"].alias("low"), x["rest"].alias("rest"), x["text"].alias("text"), other.alias("other"))
+
+    def whole(x: Column) -> Column:
+        ranged = x["other"]["value"].isNotNull() & ~x["other"]["rest"].startswith("-")
+        single = x["low"].isNotNull() & x["text"].rlike(rf"^\s*{NUMBER}(?=\s|$)")
+        made = lambda high, rest: F.struct(x["low"].alias("low"), high.alias("high"), rest.alias("rest"))
+        nothing = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in (("low", "double"), ("high", "double"), ("rest", "string"))])
+        return F.when(x["low"].isNotNull() & ranged, made(x["other"]["value"], x["other"]["rest"])).when(single, made(F.lit(None).cast("double"), x["rest"])).otherwise(nothing)
+
+    first = let(text, lambda t: let(_first(t), lambda f: F.struct(f["value"].alias("value"), f["rest"].alias("rest"), t.alias("text"))))
+    return let(let(first, second), whole)
 
 
 def bare_number(text: Column) -> Column:

@@ -10,6 +10,8 @@ from string import ascii_lowercase
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.lexicon import TOLERANCES
+
 # Phrases that make the tail after the last comma a note.
 NOTE_HINTS = ("optional", "nach geschmack", "zum abschmecken", "falls vorhanden", "nach belieben", "oder", "bzw.", "alternativ", "ggf.", "wenn möglich", "bei bedarf")
 
@@ -101,12 +103,12 @@ def plain_fractions(text: Column) -> Column:
 
 
 def normalize_quantity(text: Column) -> Column:
-    """Fractions, multipliers and tolerance words of a quantity."""
-    made = F.translate(plain_spaces(text), "–—", "--")
-    made = decimal_point(sub(plain_fractions(made), r"(?<=\d)(?=\d/\d)", " "))
-    made = sub(F.translate(made, "×", "x"), r"(\d)\s*[xX]\s*(\d)", "$1 x $2")
-    made = sub(made, r"(?iu)(?<!\S)(?:ca|circa|etwa|ungef(?:ae|ä)hr|approx|~)\.?", " ")
-    return squeeze(sub(made, r"^\s*\.\s*(?=\d)", ""))
+    """A line whose numbers have one form: plain fractions and decimal points, multipliers apart, without words of tolerance (whole words only)."""
+    tolerance = "(?:" + "|".join(TOLERANCES) + r")(?!\p{L})\.?|~"
+    digit = r"(?<=\d)"
+    made = F.translate(plain_spaces(plain_fractions(text)), "–—×", "--x")
+    steps = ((rf"{digit}(?=\d/\d)", " "), (rf"{digit},(?=\d)", "."), (rf"{digit}\s*[xX]\s*(?=\d)", " x "), (rf"(?iu)(?<!\S)(?:{tolerance})", " "), (r"^\s*\.\s*(?=\d)", ""))
+    return squeeze(reduce(lambda t, step: sub(t, *step), steps, made))
 
 
 def strip_tags(text: Column) -> Column:

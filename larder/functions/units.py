@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import let
+from larder.functions.text import let, slug
 
 # Unit words that the simple parser knows, as typed.
 SIMPLE_UNITS = ("g", "kg", "mg", "l", "ml", "Liter", "EL", "TL", "Prise", "Stk", "Stück", "Stueck", "Bund", "Dose", "Tasse", "Becher", "Pck", "Pck.", "Paket", "Scheibe", "Zehe", "Knolle", "Paar")
@@ -24,6 +24,9 @@ CANONICAL = {
     "zehe": "clove", "zehen": "clove", "clove": "clove", "cloves": "clove",
 }
 
+# Canonical unit by alias without umlauts and marks, for spellings that the table above lacks.
+FOLDED = {"essl": "tbsp", "essloffel": "tbsp", "teel": "tsp", "teeloffel": "tsp", "bunde": "bunch", "buendel": "bunch", "bundel": "bunch", "stuck": "piece", "stucke": "piece", "stuecke": "piece"}
+
 # German label by unit.
 GERMAN = {
     "tsp": "TL", "teaspoon": "TL", "teaspoons": "TL", "tl": "TL", "tbsp": "EL", "tablespoon": "EL", "tablespoons": "EL", "el": "EL",
@@ -43,6 +46,14 @@ def canonical_unit(unit: Column) -> Column:
     return _lookup(CANONICAL, F.lower(F.trim(unit)))
 
 
+def folded_unit(unit: Column) -> Column:
+    """Canonical name by the unit's letters a-z, umlauts in two letters, then in one; null if there is none."""
+    table = {**{k: v for k, v in CANONICAL.items() if k.isascii()}, **FOLDED}
+    two = F.regexp_replace(slug(unit), "[^a-z]", "")
+    one = F.regexp_replace(F.translate(F.lower(unit), "äöüß", "aous"), "[^a-z]", "")
+    return F.coalesce(_lookup(table, two), _lookup(table, one))
+
+
 def german_unit(unit: Column) -> Column:
     """German label; an unknown unit stays, an empty or null one is empty."""
     return F.coalesce(_lookup(GERMAN, F.lower(F.trim(unit))), unit, F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.quantity import float_equals
-from larder.functions.text import canon_key
+from larder.functions.text import slug
 from larder.functions.units import canonical_unit
 
 METRICS = ("qty_parse_rate", "range_detect_rate", "decimal_comma_clean", "unit_attach_clean", "note_separation_ok")
@@ -23,6 +23,11 @@ def compare_unit(unit: Column) -> Column:
     return F.coalesce(canonical_unit(unit), F.lower(F.trim(unit)))
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts agree in their letters and digits; null is as good as empty."""
+    return F.coalesce(slug(a), F.lit("")) == F.coalesce(slug(b), F.lit(""))
+
+
 def collapsed(low: Column, high: Column) -> Column:
     """struct(low, high) where a range of equal ends is a single quantity."""
     return F.struct(low.alias("low"), F.when(float_equals(low, high), None).otherwise(high).alias("high"))
@@ -38,7 +43,7 @@ def judged(pairs: DataFrame) -> DataFrame:
         F.when(e["high"].isNotNull(), same).alias("range_detect_rate"),
         F.when(F.col("e_line").rlike(r"\d,\d"), same).alias("decimal_comma_clean"),
         F.when(F.col("e_unit").isNotNull(), compare_unit(F.col("e_unit")).eqNullSafe(compare_unit(F.col("a_unit")))).alias("unit_attach_clean"),
-        F.when(F.col("e_line").isNotNull(), F.coalesce(canon_key(F.col("e_note")), F.lit("")) == F.coalesce(canon_key(F.col("a_note")), F.lit(""))).alias("note_separation_ok"),
+        F.when(F.col("e_line").isNotNull(), same_text(F.col("e_note"), F.col("a_note"))).alias("note_separation_ok"),
     )
 
 

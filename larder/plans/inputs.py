@@ -10,7 +10,7 @@ SELECT p_partkey AS line_id, p_partkey % 50 AS recipe_id, p_partkey AS pos,
     WHEN 0 THEN concat(p_size, ' g ', p_name) WHEN 1 THEN concat(p_size, ',5 EL ', p_name)
     WHEN 2 THEN concat(p_size, '-', p_size + 2, ' ml ', p_name) WHEN 3 THEN concat('½ TL ', p_name, ' (fein gehackt)')
     WHEN 4 THEN concat('ca. 0,75 l ', p_name) WHEN 5 THEN concat(p_size, ' 1/2 TL ', p_name)
-    WHEN 6 THEN p_name WHEN 7 THEN concat('eine halbe ', p_name)
+    WHEN 6 THEN CASE WHEN p_partkey % 24 = 6 THEN p_name ELSE concat(p_size, ' EL Cajun-', p_name) END WHEN 7 THEN concat('eine halbe ', p_name)
     WHEN 8 THEN concat(p_size, '–', p_size + 1, ' Bund ', p_name) WHEN 9 THEN concat(p_name, ', optional')
     WHEN 10 THEN concat(p_size, '½ Prise ', p_name) ELSE concat(p_size, 'x', p_size + 1, ' kg ', p_name) END AS raw
 FROM part"""
@@ -18,12 +18,18 @@ FROM part"""
 #: What each of the lines says, from the columns that it is made of.
 LABELS = """
 SELECT p_partkey AS line_id,
-  CAST(CASE WHEN p_partkey % 12 IN (0, 2, 8, 11) THEN p_size WHEN p_partkey % 12 IN (1, 5, 10) THEN p_size + 0.5 WHEN p_partkey % 12 IN (3, 7) THEN 0.5 WHEN p_partkey % 12 = 4 THEN 0.75 END AS DOUBLE) AS low,
+  CAST(CASE WHEN p_partkey % 12 IN (0, 2, 8, 11) OR p_partkey % 24 = 18 THEN p_size WHEN p_partkey % 12 IN (1, 5, 10) THEN p_size + 0.5 WHEN p_partkey % 12 IN (3, 7) THEN 0.5 WHEN p_partkey % 12 = 4 THEN 0.75 END AS DOUBLE) AS low,
   CAST(CASE p_partkey % 12 WHEN 2 THEN p_size + 2 WHEN 8 THEN p_size + 1 END AS DOUBLE) AS high,
-  CASE p_partkey % 12 WHEN 0 THEN 'g' WHEN 1 THEN 'EL' WHEN 2 THEN 'ml' WHEN 3 THEN 'TL' WHEN 4 THEN 'l' WHEN 5 THEN 'TL' WHEN 8 THEN 'Bund' WHEN 10 THEN 'Prise' WHEN 11 THEN 'kg' END AS unit,
+  CASE WHEN p_partkey % 24 = 18 THEN 'EL' ELSE CASE p_partkey % 12 WHEN 0 THEN 'g' WHEN 1 THEN 'EL' WHEN 2 THEN 'ml' WHEN 3 THEN 'TL' WHEN 4 THEN 'l' WHEN 5 THEN 'TL' WHEN 8 THEN 'Bund' WHEN 10 THEN 'Prise' WHEN 11 THEN 'kg' END END AS unit,
   CASE p_partkey % 12 WHEN 3 THEN 'fein gehackt' WHEN 9 THEN 'optional' END AS note
 FROM part"""
 
+#: Lines of which the simple engine takes every third; the others are names only, in four shapes, and one that divides by zero.
+POOR_LINES = """
+SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN concat(p_name, ', ', p_type) WHEN 1 THEN concat('Prise ', p_name) WHEN 2 THEN concat('TK ', p_name, ', ', p_brand) WHEN 3 THEN p_name WHEN 4 THEN concat('1/0 ', p_name)
+    WHEN 5 THEN '' WHEN 6 THEN concat(p_size, ' g ', p_name) WHEN 7 THEN concat(p_name, ' (', p_type, ')') END AS raw, p_name, p_type, p_brand, p_size
+FROM part"""
+
 #: Pages with as many list items in their recipe as p_size says, and two in a piece of furniture of ten kinds.
 NOISE_PAGES = """
 SELECT p_partkey AS page_id, p_size % 7 AS n,

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions import display, duration, notes, quantity, text, units
+from larder.functions import display, duration, notes, quantity, text, tokens, units
 from larder.operators import evaluate, grouping, posts, recipe, store, stored
-from larder.operators.lines import free_text_half, normalized, parse_modular, parse_simple
+from larder.operators.lines import ambiguous, free_text_half, normalized, parse_auto, parse_lines, parse_modular, parse_simple
 from larder.plans import inputs as I
 from larder.plans.assemble import assemble
 from larder.plans.inputs import derived
@@ -85,15 +85,59 @@ def qty_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of the adjectives, those that the names of parts begin with.
-_ADJECTIVES = r"'^((?:(?:fresh|small|medium|large|green|red|white|yellow|black)\s+)+)\S'"
+_ADJECTIVES = r"'^((?:(?:fresh|small|medium|large|green|red|yellow)\s+)+)\S'"
 
 
 @query(rf"""WITH {_PARSED}, a AS (SELECT *, trim(regexp_extract(item, {_ADJECTIVES}, 1)) AS lead FROM parsed)
-SELECT * EXCLUDE (lead) REPLACE (coalesce({_mapped(units.CANONICAL, 'unit', 'unit')}, unit) AS unit, trim(substr(item, length(lead) + 1)) AS item, nullif(concat_ws(', ', note, nullif(lead, '')), '') AS note) FROM a""")
+SELECT * EXCLUDE (lead) REPLACE (coalesce({_mapped(units.CANONICAL, 'unit', 'unit')}, unit, CASE WHEN qty_low IS NOT NULL AND item NOT LIKE 'x %' THEN 'piece' END) AS unit,
+  replace(trim(substr(item, length(lead) + 1)), 'Cajun - ', 'Cajun-') AS item, nullif(concat_ws(', ', nullif(lead, ''), note), '') AS note) FROM a""")
 def line_parse_modular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_modular(derived(spark, sf_dir, I.LINES))
 
 
+_AUTO = f"""SELECT id, CASE WHEN k = 6 THEN p_size::DOUBLE END AS qty_low, CASE k WHEN 1 THEN 'pinch' WHEN 6 THEN 'g' END AS unit, CASE k WHEN 4 THEN raw WHEN 5 THEN '' WHEN 8 THEN NULL ELSE p_name END AS item,
+  CASE k WHEN 0 THEN p_type WHEN 2 THEN concat('TK; ', p_brand) WHEN 7 THEN p_type END AS note, CASE WHEN k IN (6, 7, 8) THEN 'first' ELSE 'legacy' END AS engine, CASE WHEN k = 4 THEN 'zero_denominator' WHEN k < 6 THEN 'nothing_found' END AS diagnosis
+FROM (SELECT *, id % 9 AS k FROM ({I.POOR_LINES}))"""
+
+
+@query(_AUTO)
+def line_parse_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the first engine fails on are parsed by the second, with what was wrong."""
+    return parse_auto(derived(spark, sf_dir, I.POOR_LINES).select("id", "raw")).select("id", "qty_low", "unit", "item", "note", "engine", "diagnosis")
+
+
+@query(f"SELECT coalesce(diagnosis, 'none') AS diagnosis, engine, count(*) AS n, count(*) FILTER (WHERE unit IS NOT NULL) AS with_unit, count(*) FILTER (WHERE note IS NOT NULL) AS with_note FROM ({_AUTO}) GROUP BY ALL")
+def fallback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_auto(derived(spark, sf_dir, I.POOR_LINES).select("id", "raw"))
+    return parsed.groupBy(F.coalesce("diagnosis", F.lit("none")).alias("diagnosis"), "engine").agg(F.count("*").alias("n"), F.count("unit").alias("with_unit"), F.count("note").alias("with_note"))
+
+
+_TOKEN_LINES = "SELECT p_partkey AS id, concat(p_size, '-', p_size + 1, ' EL ', p_name, '-Mix, ', p_size, '½ (x)') AS raw FROM part"
+
+
+@query("SELECT p_partkey AS id, concat('number:', p_size, ' dash:- number:', p_size + 1, ' word:EL ', CASE WHEN p_name LIKE '% %' THEN concat('word:', split_part(p_name, ' ', 1), ' word:', split_part(p_name, ' ', 2)) ELSE concat('word:', p_name) END, '-Mix mark:, number:', p_size, '½ mark:( word:x mark:)') AS tokens, (2 * length(CAST(p_size AS VARCHAR)) + length(CAST(p_size + 1 AS VARCHAR)) + length(p_name) + 16)::BIGINT AS n_chars FROM part")
+def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of lines by kind, and where the last one ends."""
+    rows = derived(spark, sf_dir, _TOKEN_LINES).select("id", tokens.tokens(F.col("raw")).alias("t"))
+    return rows.select("id", F.array_join(F.transform("t", lambda t: F.concat(t["kind"], F.lit(":"), t["text"])), " ").alias("tokens"), F.element_at("t", -1)["end"].cast("long").alias("n_chars"))
+
+
+_SPLIT = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '-', p_size + 2, ' Stück ', p_name) WHEN 1 THEN concat(p_size, ',5 kg ', p_name, ' (', p_type, ')') WHEN 2 THEN p_name ELSE concat('½ ', p_name) END AS raw FROM part"
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size + 0.5::DOUBLE WHEN 3 THEN 0.5::DOUBLE END AS qty, CASE p_partkey % 4 WHEN 0 THEN 'Stück' WHEN 1 THEN 'kg' END AS unit, CASE WHEN p_partkey % 4 = 1 THEN concat(p_name, ' (', p_type, ')') ELSE p_name END AS item FROM part")
+def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest split: a range keeps its lower end, and the name its notes."""
+    return parse_lines(derived(spark, sf_dir, _SPLIT), "raw", "split").select("id", F.col("qty_low").alias("qty"), "unit", "item")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'piece' WHEN 1 THEN 'kg' END AS unit, CASE WHEN p_partkey % 4 = 0 THEN (p_size + 2)::DOUBLE END AS high, p_name AS item, CASE WHEN p_partkey % 4 = 1 THEN p_type END AS note, p_partkey % 4 = 2 AS ambiguous FROM part")
+def line_parse_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second engine, and whether a line tells no quantity at all."""
+    rows = parse_lines(derived(spark, sf_dir, _SPLIT), "raw", "legacy")
+    return rows.select("id", "unit", F.col("qty_high").alias("high"), "item", "note", ambiguous(F.col("raw")).alias("ambiguous"))
+
+
 @query(f"WITH {_PARSED} SELECT line_id, unit, {_mapped(units.CANONICAL, 'unit', 'NULL')} AS canonical FROM parsed WHERE unit IS NOT NULL")
 def unit_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).where("unit is not null").select("line_id", "unit", units.canonical_unit(F.col("unit")).alias("canonical"))

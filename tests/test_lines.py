@@ -42,7 +42,7 @@ def test_null_empty_and_division_by_zero(spark):
     assert got[2]["qty_low"] is None and got[2]["item"] == "1/0 g X"
 
 
-@pytest.mark.parametrize(("raw", "low", "high", "unit", "item", "note"), [("3-2 Zehen Knoblauch, fein gehackt", 2, 3, "clove", "Knoblauch", "fein gehackt"), ("2 tbsp frische Petersilie", 2, None, "tbsp", "Petersilie", "frische"), ("2 Knoblauchzehen", 2, None, "clove", "Knoblauch", None)])
+@pytest.mark.parametrize(("raw", "low", "high", "unit", "item", "note"), [("3-2 Zehen Knoblauch, fein gehackt", 2, 3, "clove", "Knoblauch", "fein gehackt"), ("2 tbsp frische Petersilie", 2, None, "tbsp", "Petersilie", "frisch"), ("2 Knoblauchzehen", 2, None, "clove", "Knoblauch", None)])
 def test_modular(spark, raw, low, high, unit, item, note):
     r = parse_lines(spark.createDataFrame([(raw,)], "raw string"), "raw", "modular").first()
     assert [r["qty_low"], r["qty_high"], r["unit"], r["item"], r["note"]] == [low, high, unit, item, note]

@@ -34,10 +34,10 @@ def test_patterns_match_umlauts_either_way():
         ("200 g TK Erbsen", "g", "Erbsen", "TK"),
         ("30 g Ingwer-Stück", "g", "Ingwer", "Stück"),
         ("2 EL Butter zum Braten", "tbsp", "Butter", "zum Braten"),
-        ("3 kleine rote Zwiebeln, fein gehackt", None, "Zwiebeln", "fein gehackt, kleine rote"),
-        ("2 EL Petersilie gehackt (glatt)", "tbsp", "Petersilie", "glatt, gehackt"),
+        ("3 kleine rote Zwiebeln, fein gehackt", "piece", "Zwiebeln", "klein, rot, fein gehackt"),
+        ("2 EL Petersilie gehackt (glatt)", "tbsp", "Petersilie", "gehackt, glatt"),
         ("1 kg Rotkohl", "kg", "Rotkohl", None),
-        ("1 rote", None, "rote", None),
+        ("1 rote", "piece", "rote", None),
         (None, None, None, None),
     ],
 )
