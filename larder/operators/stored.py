@@ -11,15 +11,20 @@ from larder.functions.text import canon_key, decode_u00, let
 from larder.functions.units import german_unit
 from larder.operators.lines import parse_lines
 from larder.operators.recipe import first_wins
+from larder.sources.serialized import unserialized
 
 _NO_TEXTS = "array<string>"
 
 
 def listed(meta: Column) -> Column:
-    """array<variant> of stored metadata: a JSON list, or a JSON object as its only entry; anything else is empty."""
-    v = F.try_parse_json(meta)
-    one = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v))
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), one, F.array().cast("array<variant>"))
+    """array<variant> of stored metadata: a list, or an object as its only entry, in JSON or serialized; anything else is empty."""
+    return entries(F.coalesce(F.try_parse_json(meta), unserialized(F.when(F.try_parse_json(meta).isNull(), meta))))
+
+
+def entries(value: Column) -> Column:
+    """array<variant> of a variant: the items of a list, or an object as the only one; anything else has none."""
+    none = F.array().cast("array<variant>")
+    return let(value, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)), none))
 
 
 def _entries(schema: Column, key: str) -> Column:

@@ -43,8 +43,16 @@ FROM part"""
 NESTED_PAGES = """
 SELECT p_partkey AS page_id, concat('https://www.example.com/r/', p_partkey) AS url,
   concat('<html><head><meta property="og:image" content="/og.jpg"><script type="application/ld+json">', CASE p_partkey % 3 WHEN 0 THEN '{"@type":"WebPage","mainEntity":' WHEN 1 THEN '[{"@graph":[{"@type":"Person","name":"x"},' ELSE '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":' END,
-    '{"@type":"Recipe","name":"', p_name, '","image":["/a.jpg",{"url":"https://cdn.example.com/', p_partkey, '.png"}],"recipeIngredient":["', p_size, ' g ', p_name, '","', p_size, ' g ', p_name, '"],"recipeInstructions":[{"@type":"HowToSection","name":"', p_brand, '","itemListElement":[{"@type":"HowToStep","text":"Mix"},{"@type":"HowToStep","text":"Bake"}]},{"@type":"HowToStep","text":"Serve ', p_type, '"}]}',
-    CASE p_partkey % 3 WHEN 0 THEN '}' WHEN 1 THEN ']}]' ELSE '}]}' END, '</script></head><body></body></html>') AS html
+    '{"@type":"Recipe","name":"', p_name, ' &amp; KÃ¶rner","alternateName":"', p_brand, '","author":[{"@type":"Person","name":"<b>', p_brand, '</b>"},"Z. ', p_type, '"],"nutrition":{"@type":"NutritionInformation","calories":"', p_size, ' kcal","fatContent":', p_size, '},"aggregateRating":{"ratingValue":"4,5","reviewCount":', p_size, '},"image":["/a.jpg",{"url":"https://cdn.example.com/', p_partkey, '.png"}],"recipeIngredient":["', p_size, ' g ', p_name, '","', p_size, ' g ', p_name, '"],"recipeInstructions":[{"@type":"HowToSection","name":"', p_brand, '","itemListElement":[{"@type":"HowToStep","text":"Mix"},{"@type":"HowToStep","text":"Bake"}]},{"@type":"HowToStep","text":"Serve ', p_type, '"}]}',
+    CASE p_partkey % 3 WHEN 0 THEN '}' WHEN 1 THEN ']}]' ELSE '}]}' END, '</script></head><body><div itemscope itemtype="https://schema.org/Recipe"><span itemprop="name">other</span><div itemprop="nutrition" itemscope><b itemprop="calories">1</b><b itemprop="proteinContent">', p_size % 9, ' g</b></div></div></body></html>') AS html
+FROM part"""
+
+#: Pages whose ingredients stand in groups under headings of three kinds, without lists.
+GROUP_PAGES = """
+SELECT p_partkey AS page_id, concat('https://www.example.com/g/', p_partkey) AS url,
+  concat('<html><body><div class="recipe"><h1>', p_name, '</h1><p class="ingredient-label ingredient">Zutaten:</p>', CASE WHEN p_partkey % 2 = 0 THEN concat('<p class="ingredient">', p_size, ' g ', p_name, '</p>') ELSE '' END,
+    CASE p_partkey % 3 WHEN 0 THEN '<h3 class="ingredient-group">' WHEN 1 THEN '<p class="ingredient-group">' ELSE '<div class="ingredients"><span class="ingredient-group">' END, CASE WHEN p_partkey % 3 = 1 THEN 'MARINADE' ELSE 'Teig:' END, CASE p_partkey % 3 WHEN 0 THEN '</h3>' WHEN 1 THEN '</p>' ELSE '</span></div>' END,
+    '<p class="ingredient">', p_size, ' g ', p_type, '</p><p class="ingredient">1 EL ', p_brand, '</p><h4 class="ingredients">Leer</h4><h4 class="ingredients">Guss</h4><p class="ingredient">2 ml ', p_name, '</p></div></body></html>') AS html
 FROM part"""
 
 #: What follows a quantity, with notes of every kind.

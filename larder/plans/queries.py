@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import display, duration, notes, quantity, text, tokens, units
@@ -13,6 +13,7 @@ from larder.operators.lines import ambiguous, free_text_half, normalized, parse_
 from larder.plans import inputs as I
 from larder.plans.assemble import assemble
 from larder.plans.inputs import derived
+from larder.sources import encodings
 from larder.sources import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,36 +229,85 @@ _NO_SCRIPT = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g')"
 
 @query(f"SELECT page_id, nullif(trim(regexp_replace({_UNESCAPE.format(t='regexp_extract(' + _NO_SCRIPT + chr(44) + chr(39) + '(?is)<h1[^>]*>(.*?)</h1>' + chr(39) + ', 1)')}, '\\s+', ' ', 'g')), '') AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", P.markup(F.col("html")).getField("title").alias("title"))
+    return _pages(spark, sf_dir).select("page_id", P.markup(F.col("html"), "title").getField("title").alias("title"))
 
 
 @query(rf"""WITH b AS (SELECT page_id, unnest(string_split({_NO_SCRIPT}, '<p>')[2:]) AS t FROM pages),
 c AS (SELECT page_id, trim(regexp_replace({_UNESCAPE.format(t="regexp_replace(regexp_extract(t, '(?is)^(.*?)(?:</p>|</article>|$)', 1), '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS t FROM b)
 SELECT page_id, count(*) AS n_paragraphs, sum(length(t))::BIGINT AS n_chars FROM c WHERE t <> '' GROUP BY 1""")
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _pages(spark, sf_dir).select("page_id", F.explode(P.markup(F.col("html")).getField("paragraphs")).alias("t"))
+    each = _pages(spark, sf_dir).select("page_id", F.explode(P.markup(F.col("html"), "paragraphs").getField("paragraphs")).alias("t"))
     return each.groupBy("page_id").agg(F.count("*").alias("n_paragraphs"), F.sum(F.char_length("t")).alias("n_chars"))
 
 
-@query(f"SELECT page_id, regexp_extract_all({_NO_SCRIPT}, '(?is)<li[^>]*>(.*?)</li>', 1).len()::BIGINT AS n_items FROM pages")
+@query(f"SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace({_NO_SCRIPT}, '(?is)<(nav|aside|form|footer)[^>]*>.*?</(nav|aside|form|footer)>', '', 'g'), '(?is)<(ul|ol) class=\"(share|sidebar|comments|newsletter)[^>]*>.*?</(ul|ol)>', '', 'g'), '(?is)<li[^>]*>(.*?)</li>', 1).len()::BIGINT AS n_items FROM pages")
 def page_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = F.regexp_extract_all(F.regexp_replace("html", r"(?is)<script[^>]*>.*?</script>", ""), F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
-    return _pages(spark, sf_dir).select("page_id", F.size(items).cast("long").alias("n_items"))
+    """List items of a page's scope, without those of furniture."""
+    return _pages(spark, sf_dir).select("page_id", F.size(P.markup(F.col("html"), "list_items").getField("list_items")).cast("long").alias("n_items"))
 
 
 @query(f"SELECT page_id, n::BIGINT AS n_items FROM ({I.NOISE_PAGES})")
 def page_noise_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List items that are left when furniture of every kind is removed: as many as the page's own list was made with."""
-    return derived(spark, sf_dir, I.NOISE_PAGES).select("page_id", F.size(P.markup(F.col("html")).getField("list_items")).cast("long").alias("n_items"))
+    return derived(spark, sf_dir, I.NOISE_PAGES).select("page_id", F.size(P.markup(F.col("html"), "list_items").getField("list_items")).cast("long").alias("n_items"))
 
 
-@query(f"""SELECT page_id, name, concat('https://www.example.com/a.jpg|https://cdn.example.com/', page_id, '.png|https://www.example.com/og.jpg') AS images, 1::BIGINT AS n_lines, concat('Mix|Bake|Serve ', kind) AS steps, brand AS section
-FROM (SELECT p_partkey AS page_id, p_name AS name, p_type AS kind, p_brand AS brand FROM part)""")
+@query("""SELECT page_id, concat(name, ' & Körner') AS name, brand AS alternate, concat('https://www.example.com/a.jpg|https://cdn.example.com/', page_id, '.png|https://www.example.com/og.jpg') AS images, 1::BIGINT AS n_lines, concat('Mix|Bake|Serve ', kind) AS steps, brand AS section,
+  concat(brand, '|Z. ', kind) AS authors, concat('calories=', size, ' kcal|fatContent=', size, '|proteinContent=', size % 9, ' g') AS nutrition, 'jsonld|jsonld|microdata' AS nutrition_sources, 4.5::DOUBLE AS rating, size::BIGINT AS reviews
+FROM (SELECT p_partkey AS page_id, p_name AS name, p_type AS kind, p_brand AS brand, p_size AS size FROM part)""")
 def assembled_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes of pages that nest them in other nodes, with image lists, repeated ingredients and sections of steps."""
+    """Recipes of pages that nest them in other nodes, with image lists, repeated ingredients, sections of steps, authors, a rating, and nutrition from two sources."""
     whole = assemble(derived(spark, sf_dir, I.NESTED_PAGES))
     joined = lambda c: F.array_join(c, "|")
-    return whole.select("page_id", "name", joined("image").alias("images"), F.size("recipeIngredient").cast("long").alias("n_lines"), joined("recipeInstructions").alias("steps"), joined(F.array_distinct(F.transform("sectionSteps", lambda s: s["section"]))).alias("section"))
+    facts = F.array_sort(F.map_entries("nutrition"))
+    return whole.select(
+        "page_id", "name", F.col("alternateName").alias("alternate"), joined("image").alias("images"), F.size("recipeIngredient").cast("long").alias("n_lines"), joined("recipeInstructions").alias("steps"), joined(F.array_distinct(F.transform("sectionSteps", lambda s: s["section"]))).alias("section"),
+        joined(F.transform("author", lambda a: a["name"])).alias("authors"), joined(F.transform(facts, lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("nutrition"), joined(F.transform(facts, lambda e: F.try_element_at("nutritionSources", e["key"]))).alias("nutrition_sources"),
+        F.col("aggregateRating.value").alias("rating"), F.col("aggregateRating.count").alias("reviews"),
+    )
+
+
+@query("""SELECT p_partkey AS page_id, concat(CASE WHEN p_partkey % 3 = 1 THEN 'MARINADE' ELSE 'Teig' END, ':', p_size, ' g ', p_type, ',1 EL ', p_brand, '|Guss:2 ml ', p_name) AS groups, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 3 END::BIGINT AS n_ingredients,
+  concat(CASE WHEN p_partkey % 2 = 0 THEN concat(p_name, '|') ELSE '' END, p_type, '|', p_brand, '|', p_name) AS items FROM part""")
+def ingredient_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of ingredients under headings, kept in the assembled document beside the parsed lines of all of them."""
+    whole = assemble(derived(spark, sf_dir, I.GROUP_PAGES))
+    groups = F.transform("ingredientGroups", lambda g: F.concat_ws(":", g["name"], F.array_join(g["items"], ",")))
+    return whole.select("page_id", F.array_join(groups, "|").alias("groups"), F.size("recipeIngredient").cast("long").alias("n_ingredients"), F.array_join(F.transform("recipeIngredient", lambda x: x["item"]), "|").alias("items"))
+
+
+_SPOILT = "SELECT p_partkey AS id, concat('Käse – „', p_name, '“ für ', p_size, ' €, naïve Größe ½') AS txt FROM part"
+
+
+@query(_SPOILT)
+def text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were decoded wrongly up to three times, with entities and tags, put right."""
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    as_western = F.translate(wrong(F.col("txt")), "\x80\x82\x93\x96\x9c\x9e\x9f", "€‚“–œžŸ")
+    spoilt = F.when(F.col("id") % 4 == 0, as_western).when(F.col("id") % 4 == 1, wrong(wrong(F.col("txt")))).when(F.col("id") % 4 == 2, wrong(wrong(wrong(F.col("txt"))))).otherwise(F.concat(F.lit("<p> "), F.replace(F.col("txt"), F.lit("€"), F.lit("&euro;")), F.lit("</p>")))
+    return derived(spark, sf_dir, _SPOILT).select("id", encodings.sanitized(spoilt).alias("txt"))
+
+
+_CHARSETS = "SELECT p_partkey AS id, concat('<html><head>', CASE p_partkey % 5 WHEN 3 THEN '<meta charset=\"iso-8859-15\">' ELSE '' END, '</head>Öl à la ', p_name, ' 3 €</html>') AS txt FROM part"
+
+
+@query(_CHARSETS)
+def charset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes of five character sets, told by mark, validity, name or their zeros."""
+    western = lambda euro: F.encode(F.translate("txt", "€", euro), "ISO-8859-1")
+    kinds = (F.encode("txt", "UTF-8"), F.encode("txt", "UTF-16"), western("\x80"), western("¤"), F.encode("txt", "UTF-16LE"))
+    content = F.get(F.array(*kinds), F.col("id") % 5)
+    return derived(spark, sf_dir, _CHARSETS).select("id", encodings.decode(content).alias("txt"))
+
+
+_FILES = "SELECT p_partkey AS id, p_partkey % 50 AS folder, concat(CASE WHEN p_partkey % 2 = 0 THEN 'Page ' ELSE 'page ' END, p_size, '-', p_partkey % 1000, '.html') AS name, p_size, p_partkey % 1000 AS rest FROM part"
+
+
+@query(f"SELECT id, row_number() OVER (PARTITION BY folder ORDER BY p_size, rest, name, id)::INT AS place FROM ({_FILES})")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder in the order in which people count."""
+    place = F.row_number().over(Window.partitionBy("folder").orderBy(encodings.natural_key(F.col("name")), "id"))
+    return derived(spark, sf_dir, _FILES).select("id", place.alias("place"))
 
 
 _NODE = "SELECT page_id, url, html, json_extract(regexp_replace(regexp_extract(html, '(?is)<script type=\"application/ld\\+json\">(.*?)</script>', 1), '(?s)/\\*.*?\\*/', ''), '$.\"@graph\"[1]') AS node FROM (" + I.LD_PAGES + ")"
@@ -568,13 +618,17 @@ def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("post_id", stored.source_url(F.try_parse_json("json"), canonical, at).alias("source"))
 
 
-_META_VALUES = "SELECT p_partkey AS post_id, CASE p_partkey % 5 WHEN 0 THEN concat('[\"', p_name, '\",\"', p_type, '\"]') WHEN 1 THEN '{\"a\":1}' WHEN 2 THEN 'a:0:{broken' WHEN 3 THEN '\"text\"' END AS value FROM part"
+_META_VALUES = """SELECT p_partkey AS post_id, CASE p_partkey % 9 WHEN 0 THEN concat('["', p_name, '","', p_type, '"]') WHEN 1 THEN '{"a":1}' WHEN 2 THEN 'a:0:{broken' WHEN 3 THEN '"text"'
+  WHEN 4 THEN concat('a:2:{i:0;s:', length(p_name), ':"', p_name, '";i:1;a:1:{s:6:"größ";d:', p_size, '.5;}}') WHEN 5 THEN concat('a:2:{s:4:"item";s:', length(p_type) + 2, ':"', p_type, '";";s:2:"ok";b:1;}')
+  WHEN 6 THEN concat('a:1:{i:0;s:', length(p_name) + 1, ':"', p_name, '";}') WHEN 7 THEN 'a:0:{}' END AS value FROM part"""
 
 
-@query("SELECT p_partkey AS post_id, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_entries FROM part")
+@query(r"""SELECT p_partkey AS post_id, CASE p_partkey % 9 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END::BIGINT AS n_entries,
+  CASE p_partkey % 9 WHEN 0 THEN concat('["', p_name, '","', p_type, '"]') WHEN 1 THEN '[{"a":1}]' WHEN 4 THEN concat('["', p_name, '",{"größ":', p_size, '.5}]') WHEN 5 THEN concat('[{"item":"', p_type, '\";","ok":true}]') ELSE '[]' END AS entries FROM part""")
 def metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of stored metadata, whatever its form; what is no list or object has none."""
-    return derived(spark, sf_dir, _META_VALUES).select("post_id", F.size(stored.listed(F.col("value"))).cast("long").alias("n_entries"))
+    """Entries of stored metadata in JSON or serialized, whatever its form; what is broken, or no list or object, has none."""
+    entries = stored.listed(F.col("value"))
+    return derived(spark, sf_dir, _META_VALUES).select("post_id", entries.alias("e")).select("post_id", F.size("e").cast("long").alias("n_entries"), F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: F.to_json(x)), ","), F.lit("]")).alias("entries"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 5 = 0 THEN p_type ELSE '' END AS lines FROM part")

@@ -8,15 +8,17 @@ A null or empty page gives null or empty fields.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from larder.functions.text import absolute_url, let
+from larder.sources.encodings import decode, natural_key, sanitize
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -96,69 +98,221 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(text or "")}
 
 
-def sanitize(text: str) -> str:
-    """Entities decoded, NFC, white space collapsed."""
-    return unicodedata.normalize("NFC", " ".join(unicodedata.normalize("NFC", entities.unescape(text)).split()))
+def _drop_noise(nodes: list[Node]) -> None:
+    """Take furniture out of all nodes, in place and without recursion, as pages may be nested very deep."""
+    tags, classes = {s for s in NOISE if s[0] != "."}, {s[1:] for s in NOISE if s[0] == "."}
+    for node in nodes:
+        node.children = [c for c in node.children if c.tag not in tags and classes.isdisjoint(c.attrs.get("class", "").split())]
 
 
-def _without_noise(node: Node) -> Node:
-    kept = Node(node.tag, node.attrs, node.text)
-    kept.children = [_without_noise(c) for c in node.children if not any(c.tag and c.matches(s) for s in NOISE)]
-    return kept
+def _lengths(root: Node) -> dict[Node, int]:
+    """How much text each node holds, counted once from the leaves up."""
+    order = list(root.walk())
+    found: dict[Node, int] = dict.fromkeys(order, 0)
+    for node in reversed(order):
+        found[node] = len(" ".join(node.text.split())) if not node.tag else sum(found[c] for c in node.children)
+    return found
 
 
-def _itemprops(scope: Node, name: str) -> list[str]:
-    found = [n for n in scope.walk() if name in n.attrs.get("itemprop", "").split()]
-    return [v for v in (sanitize(n.attrs.get("content") or n.attrs.get("src") or n.attrs.get("datetime") or n.content()) for n in found) if v]
+def _value(node: Node) -> str:
+    return sanitize(node.attrs.get("content") or node.attrs.get("src") or node.attrs.get("datetime") or node.content())
 
 
-MICRODATA = {"name": "name", "description": "description", "recipeYield": "recipeYield", "prepTime": "prepTime", "cookTime": "cookTime", "totalTime": "totalTime"}
-
-
-def page_record(page: str | None, li_override: bool = True) -> dict:
-    """The fields of a page's markup and of its best microdata recipe."""
+def _properties(scope: Node) -> list[tuple[str, Node, bool]]:
+    """(name, node, whether a nested item) of the properties of an item; what lies in a nested item belongs to that one."""
+    found, todo = [], list(reversed(scope.children))
+    while todo:
+        node = todo.pop()
+        names = node.attrs.get("itemprop", "").split()
+        inner = "itemscope" in node.attrs
+        found += [(name, node, inner) for name in names]
+        if not inner:
+            todo.extend(reversed(node.children))
+    return found
+
+
+# Properties of a recipe that are texts, those of its nutrition, and where an item's address stands.
+MICRODATA = ("name", "description", "recipeYield", "prepTime", "cookTime", "totalTime")
+NUTRITION = ("calories", "fatContent", "carbohydrateContent", "proteinContent")
+ADDRESSES = ("url", "contentUrl")
+_LABELS = ("zutaten", "ingredients")
+_HEADINGS = ("h2", "h3", "h4", "h5")
+
+
+def microdata_item(scope: Node) -> dict:
+    """The fields of a recipe item, those of nested items (image, author, nutrition) included."""
+    of: dict[str, list[str]] = {}
+    images, authors, nutrition = [], [], {}
+    for name, node, inner in _properties(scope):
+        if name == "image":
+            nested = [_value(n) for k, n, _ in _properties(node) if k in ADDRESSES]
+            images += [v for v in nested or [_value(node)] if v]
+        elif inner and name == "author":
+            authors += [v for v in (_value(n) for k, n, _ in _properties(node) if k == "name") if v] or [v for v in (_value(node),) if v]
+        elif inner and name == "nutrition":
+            nutrition |= {k: v for k, n, _ in _properties(node) if k in NUTRITION and (v := _value(n))}
+        elif v := _value(node):
+            of.setdefault(name, []).append(v)
+    nutrition |= {k: of[k][0] for k in NUTRITION if k in of and k not in nutrition}
+    return {k: of.get(k, [None])[0] for k in MICRODATA} | {"image": images[0] if images else None, "images": images, "authors": authors or of.get("author", []), "nutrition": nutrition, "ingredients": of.get("recipeIngredient") or of.get("ingredients", []), "instructions": of.get("recipeInstructions", [])}
+
+
+def _opens_group(node: Node, text: str) -> bool:
+    """Whether an ingredient node is the heading of a group: by its tag, in capitals, or with a colon at its end."""
+    return node.tag in _HEADINGS or text.endswith(":") or (3 <= len(text) <= 31 and text.upper() == text and all(c.isalpha() or c in " -" for c in text))
+
+
+def grouped_ingredients(marked: list[Node]) -> tuple[list[str], list[dict]]:
+    """Ingredients before any heading, and the groups that headings open, each with the lines that follow it; labels of the whole list are left out."""
+    loose: list[str] = []
+    groups: dict[str, list[str]] = {}
+    name = None
+    for node in marked:
+        text = sanitize(node.content())
+        if not text or text.lower().rstrip(":") in _LABELS:
+            continue
+        if _opens_group(node, text):
+            name = text.rstrip(":")
+            groups.setdefault(name, [])
+        else:
+            (loose if name is None else groups[name]).append(text)
+    return loose, [{"name": n, "items": items} for n, items in groups.items() if items]
+
+
+def _is_recipe(node: dict) -> bool:
+    kinds = node.get("@type")
+    return any("recipe" in str(k).lower() for k in (kinds if isinstance(kinds, list) else [kinds])) or "recipeIngredient" in node or "recipeInstructions" in node
+
+
+def _clean(value: object, key: str = "") -> object:
+    """JSON with every text sanitised, those of ingredients and steps line by line; addresses only lose entities."""
+    if isinstance(value, dict):
+        return {k: _clean(v, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_clean(v, key) for v in value]
+    if not isinstance(value, str):
+        return value
+    if key in ("url", "@id", "contentUrl", "thumbnailUrl", "image", "sameAs"):
+        return entities.unescape(value).strip()
+    if key in ("recipeIngredient", "recipeInstructions", "text"):
+        return "\n".join(sanitize(line) for line in re.split(r"\r?\n", entities.unescape(value))).strip()
+    return sanitize(value)
+
+
+def _json(text: str) -> object:
+    """JSON as it is, else without comments, else with line breaks in it as blanks; None if none parses."""
+    text = re.sub(r"<!--|-->", "", text).strip()
+    bare = re.sub(r"(?m)(?<!:)//.*$", "", re.sub(r"(?s)/\*.*?\*/", "", text))
+    for form in (text, bare, re.sub(r"[\r\n]+", " ", bare)):
+        try:
+            return json.loads(form)
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+def recipe_nodes(root: Node) -> list[str]:
+    """The recipe nodes of a page's JSON-LD as cleaned JSON, level by level, however deep they are nested."""
+    out = []
+    for script in (n for n in root.walk() if n.tag == "script" and n.attrs.get("type", "").strip().lower() == "application/ld+json"):
+        level = [_json("".join(c.text for c in script.children))]
+        while level:
+            inner = []
+            for node in level:
+                if isinstance(node, list):
+                    inner += node
+                elif isinstance(node, dict):
+                    if _is_recipe(node):
+                        out.append(json.dumps(_clean(node), ensure_ascii=False))
+                    inner += [node[k] for k in NESTED if isinstance(node.get(k), dict | list)]
+            level = inner
+    return out
+
+
+#: What a page record may have, and of which kind; each is made only where it is asked for.
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_KINDS = {
+    **dict.fromkeys(("title", "description", "og_image", "servings", "canonical"), _TEXT), **dict.fromkeys(("list_items", "paragraphs", "ingredients", "instructions", "recipes"), _TEXTS),
+    "groups": pa.list_(pa.struct([("name", _TEXT), ("items", _TEXTS)])),
+    "microdata": pa.struct([*[(k, _TEXT) for k in (*MICRODATA, "image")], *[(k, _TEXTS) for k in ("images", "authors", "ingredients", "instructions")], ("nutrition", pa.map_(_TEXT, _TEXT))]),
+}
+
+
+def page_record(page: str | None, li_override: bool = True, wanted: tuple[str, ...] = tuple(_KINDS)) -> dict:
+    """The wanted fields of a page: of its markup, of its best microdata recipe, and its JSON-LD recipes.
+
+    With ``li_override`` the list items of a scope that has a list stand for its ingredients, and there are no groups then.
+    """
     root = tree(page or "")
     every = list(root.walk())
     first = lambda values: next((v for v in values if v), None)
     meta = lambda key: first(n.attrs.get("content") for n in every if n.tag == "meta" and key in (n.attrs.get("property"), n.attrs.get("name")))
-    best: dict[str, object] = {}
-    for scope in (n for n in every if "itemscope" in n.attrs and n.attrs.get("itemtype", "").rstrip("/").endswith("schema.org/Recipe")):
-        one = {k: first(_itemprops(scope, v)) for k, v in MICRODATA.items()} | {"ingredients": _itemprops(scope, "recipeIngredient") or _itemprops(scope, "ingredients"), "instructions": _itemprops(scope, "recipeInstructions"), "image": first(_itemprops(scope, "image"))}
-        if sum(bool(v) for v in one.values()) > sum(bool(v) for v in best.values()):
-            best = one
-    clean = _without_noise(root)
-    scopes = [n for n in clean.walk() if n.tag and any(n.matches(s) for s in SCOPES)] or [n for n in clean.walk() if n.tag == "body"] or [clean]
-    scope = max(scopes, key=lambda n: len(n.content()))
-    nodes = list(scope.walk())
-    text_of = lambda *tags: [t for t in (sanitize(n.content()) for n in nodes if n.tag in tags) if t]
-    marked = [n for n in nodes if n.tag and ("ingredient" in n.attrs.get("class", "").lower() or "recipeingredient" in n.attrs.get("itemprop", "").lower()) and not any(c.tag and "ingredient" in c.attrs.get("class", "").lower() for c in n.walk() if c is not n)]
-    items = text_of("li")
-    ingredients = [t for t in (sanitize(n.content()) for n in marked) if t and t.lower().rstrip(":") not in ("zutaten", "ingredients")]
-    if li_override and any(n.tag in ("ul", "ol") for n in nodes) or not ingredients:
-        ingredients = items
-    listed = next((n for n in nodes if n.tag == "ol"), None)
-    steps = [sanitize(n.content()) for n in listed.walk() if n.tag == "li"] if listed else [t for t in text_of("p") if re.match(r"(?i)(?:schritt|step|\d+\.)", t)]
-    servings = first(m[0] for n in nodes if n.tag and ("servings" in n.attrs.get("class", "") or "serves" in n.content().lower()[:60]) and (m := re.search(r"\d+", n.content())))
-    return {
-        "title": first([*text_of("h1"), *text_of("h2")]), "description": first(text_of("p")), "og_image": meta("og:image"), "servings": servings, "list_items": items, "paragraphs": text_of("p"), "ingredients": ingredients, "instructions": steps,
-        "canonical": first(n.attrs.get("href") for n in every if n.tag == "link" and "canonical" in n.attrs.get("rel", "").split()) or meta("og:url"),
-        "microdata": {k: best.get(k) for k in (*MICRODATA, "image")} | {k: best.get(k) or [] for k in ("ingredients", "instructions")},
-    }
-
-
-_RECORD = pa.struct([*[(k, pa.string()) for k in ("title", "description", "og_image", "servings")], *[(k, pa.list_(pa.string())) for k in ("list_items", "paragraphs", "ingredients", "instructions")], ("canonical", pa.string()), ("microdata", pa.struct([*[(k, pa.string()) for k in (*MICRODATA, "image")], ("ingredients", pa.list_(pa.string())), ("instructions", pa.list_(pa.string()))]))])
-
-
-def markup(page: Column) -> Column:
-    """The struct of ``page_record`` of a page column."""
-
-    @F.arrow_udf("struct<title:string,description:string,og_image:string,servings:string,list_items:array<string>,paragraphs:array<string>,ingredients:array<string>,instructions:array<string>,canonical:string,microdata:struct<" + ",".join(f"{k}:string" for k in (*MICRODATA, "image")) + ",ingredients:array<string>,instructions:array<string>>>")
+    out: dict[str, object] = {}
+    if "recipes" in wanted:
+        out["recipes"] = recipe_nodes(root)
+    if "og_image" in wanted:
+        out["og_image"] = meta("og:image")
+    if "canonical" in wanted:
+        out["canonical"] = first(n.attrs.get("href") for n in every if n.tag == "link" and "canonical" in n.attrs.get("rel", "").split()) or meta("og:url")
+    if "microdata" in wanted:
+        best: dict[str, object] = {}
+        for scope in (n for n in every if "itemscope" in n.attrs and n.attrs.get("itemtype", "").rstrip("/").endswith("schema.org/Recipe")):
+            one = microdata_item(scope)
+            if sum(bool(v) for v in one.values()) > sum(bool(v) for v in best.values()):
+                best = one
+        out["microdata"] = {k: best.get(k) for k in (*MICRODATA, "image")} | {k: best.get(k) or [] for k in ("images", "authors", "ingredients", "instructions")} | {"nutrition": list((best.get("nutrition") or {}).items())}
+    if not {"title", "description", "servings", "list_items", "paragraphs", "ingredients", "instructions", "groups"} & set(wanted):
+        return out
+    _drop_noise(every)
+    held = _lengths(root)
+    scopes = [n for n in held if n.tag and any(n.matches(s) for s in SCOPES)] or [n for n in held if n.tag == "body"] or [root]
+    nodes = list(max(scopes, key=held.__getitem__).walk())
+    text_of = lambda *tags: (t for t in (sanitize(n.content()) for n in nodes if n.tag in tags) if t)
+    if "title" in wanted:
+        out["title"] = first(text_of("h1")) or first(text_of("h2"))
+    if "description" in wanted:
+        out["description"] = first(text_of("p"))
+    if "paragraphs" in wanted:
+        out["paragraphs"] = list(text_of("p"))
+    if "list_items" in wanted:
+        out["list_items"] = list(text_of("li"))
+    if "servings" in wanted:
+        said = lambda n: "servings" in n.attrs.get("class", "") or re.search(r"(?i)serv(?:es|ings)", "".join(c.text for c in n.children if not c.tag))
+        out["servings"] = first(m[0] for n in nodes if n.tag and said(n) and (m := re.search(r"\d+", n.content())))
+    if {"ingredients", "groups"} & set(wanted):
+        names = lambda n: "ingredient" in n.attrs.get("class", "").lower() or "recipeingredient" in n.attrs.get("itemprop", "").lower()
+        inside: dict[Node, bool] = {}
+        for n in reversed(nodes):
+            inside[n] = any(inside[c] or (c.tag and names(c)) for c in n.children)
+        # The innermost ones: what holds others is their container.
+        loose, groups = grouped_ingredients([n for n in nodes if n.tag and names(n) and not inside[n]])
+        listed = any(n.tag in ("ul", "ol") for n in nodes)
+        if (li_override and listed) or not (loose or groups):
+            loose, groups = [t for t in text_of("li") if t.lower().rstrip(":") not in _LABELS], []
+        out["ingredients"], out["groups"] = [*loose, *(i for g in groups for i in g["items"])], groups
+    if "instructions" in wanted:
+        ordered = next((n for n in nodes if n.tag == "ol"), None)
+        out["instructions"] = [sanitize(n.content()) for n in ordered.walk() if n.tag == "li"] if ordered else [t for t in text_of("p") if re.match(r"(?i)(?:schritt|step|\d+\.)", t)]
+    return out
+
+
+def markup(page: Column, *wanted: str, li_override: bool = True) -> Column:
+    """The struct of ``page_record`` of a page column, with the wanted fields only (all without any)."""
+    fields = wanted or tuple(_KINDS)
+    record = pa.struct([(k, _KINDS[k]) for k in fields])
+
+    @F.arrow_udf(from_arrow_type(record))
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([page_record(p) for p in column.to_pylist()], _RECORD)
+        rows = (page_record(p, li_override, fields) for p in column.to_pylist())
+        return pa.array([{k: r[k] for k in fields} for r in rows], record)
 
     return run(page)
 
 
+# Properties of a node under which other nodes stand.
+NESTED = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item", "hasPart", "subjectOf", "about")
+
+
 def json_ld_blocks(page: Column) -> Column:
     """The texts of a page's JSON-LD scripts, without comments around them."""
     found = F.regexp_extract_all(page, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
@@ -171,16 +325,13 @@ def tolerant_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(bare), F.try_parse_json(F.regexp_replace(bare, r"[\r\n]+", " ")))
 
 
-# Properties of a node under which other nodes stand.
-NESTED = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item", "hasPart", "subjectOf", "about")
-
-
 def _inner(node: Column) -> Column:
     """The nodes right inside of a variant: the items of a list, and what stands under its nesting properties."""
     none = F.array().cast("array<variant>")
-    many = lambda path: F.coalesce(F.try_variant_get(node, path, "array<variant>"), none)
-    one = lambda path: F.array_compact(F.array(F.when(F.try_variant_get(node, path, "array<variant>").isNull(), F.try_variant_get(node, path, "variant"))))
-    return F.concat(many("$"), *[f(f"$['{k}']") for k in NESTED for f in (many, one)])
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    # One read of the whole object; most nodes have none of the properties.
+    under = let(F.try_variant_get(node, "$", "map<string,variant>"), lambda m: F.filter(F.array(*[F.try_element_at(m, F.lit(k)) for k in NESTED]), lambda v: v.isNotNull()))
+    return F.coalesce(listed(node), F.flatten(F.transform(under, lambda v: F.coalesce(listed(v), F.array(v)))), none)
 
 
 def nested_nodes(root: Column, depth: int = 5) -> Column:
@@ -216,17 +367,20 @@ def line_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fixture_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(file, html) of html and JSON-LD files; JSON-LD is put into a page."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(html?|jsonld)$"))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    page = F.when(F.col("path").endswith(".jsonld"), F.concat(F.lit('<html><head><script type="application/ld+json">'), text, F.lit("</script></head><body></body></html>"))).otherwise(text)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), page.alias("html"))
+    """(file, place, html) of html, JSON-LD and text files in any character set; JSON-LD is put into a page, lines of text into a list. ``place`` sorts files as people do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(html?|jsonld|txt)$"))
+    files = files.select("path", decode(F.col("content")).alias("text"))
+    text = F.col("text")
+    lines = F.transform(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.concat(F.lit("<li>"), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</li>")))
+    listed = F.concat(F.lit("<html><body><ul>"), F.array_join(lines, ""), F.lit("</ul></body></html>"))
+    page = F.when(F.lower("path").endswith(".txt"), listed).when(F.lower("path").endswith(".jsonld"), F.concat(F.lit('<html><head><script type="application/ld+json">'), text, F.lit("</script></head><body></body></html>"))).otherwise(text)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), natural_key(F.col("path")).alias("place"), page.alias("html"))
 
 
 def labelled_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, line, low, high, unit, item, note, has_note) of files with a list of cases or {cases: list}."""
+    """(file, idx, line, low, high, unit, item, note, asserts) of files with a list of cases or {cases: list}; ``asserts`` names the keys that a case has, null ones included."""
     whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.expected.json").select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
     cases = F.coalesce(F.try_variant_get("v", "$.cases", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     each = whole.select("file", F.posexplode(cases).alias("idx", "c"))
     get = lambda k, t: F.try_variant_get("c", f"$.{k}", t)
-    return each.select("file", "idx", get("line", "string").alias("line"), F.coalesce(get("qty", "double"), get("min_qty", "double")).alias("low"), get("max_qty", "double").alias("high"), get("unit", "string").alias("unit"), get("item", "string").alias("item"), get("note", "string").alias("note"))
+    return each.select("file", "idx", get("line", "string").alias("line"), F.coalesce(get("qty", "double"), get("min_qty", "double")).alias("low"), get("max_qty", "double").alias("high"), get("unit", "string").alias("unit"), get("item", "string").alias("item"), get("note", "string").alias("note"), F.map_keys(F.try_variant_get("c", "$", "map<string,variant>")).alias("asserts"))
