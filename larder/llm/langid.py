@@ -10,6 +10,8 @@ smallest hash of doc_id; every document is then scored on its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 labelled row every document is ``und``. Score is 1 - distance / largest possible distance.
+A text of any length is counted whole, in slices; repeated rows are judged alike, and each doc_id is drawn once into the sample; equal distances go to the first language by name;
+an empty table gives an empty one, and one without any learned language gives ``und`` throughout; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -79,8 +81,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(lang, text) of the labelled rows of at most ``rows`` doc_ids of each language, those of the smallest hash."""
     usable = labelled.where("lang is not null and text is not null")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").distinct().withColumn("place", order).where(F.col("place") <= rows).select("lang", "doc_id")
+    ids = usable.select("lang", "doc_id").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    # A bound on the hash leaves about twice the rows of each language, so that no task ranks all documents of a common one.
+    shares = ids.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * rows / F.count("*")).alias("share"))
+    ids = ids.join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 30))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = ids.withColumn("place", order).where(F.col("place") <= rows).select("lang", "doc_id")
     return usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
 

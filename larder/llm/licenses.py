@@ -7,6 +7,9 @@ aligned in a stretch of at most twice its length. A text is aligned in overlappi
 holds twice is found, and only where a window holds enough of the template's words, each counted as often as
 the template has it at most: an alignment matches no word more often, so that fewer can't reach the threshold.
 
+Coverage alone doesn't tell a license from its neighbour, which may differ in one word: the words that do (versions, names, NC, ND, SA, Lesser, Affero) have to agree both
+ways, and a notice of a few words needs all but its fillers, in a stretch of its own length.
+
 All licenses of a document are returned: of the stretches found, those with the most matched words first, then by coverage and the order of the templates, as long as they
 don't overlap one taken before. A user's own templates, whole license texts too, take the place of those given here.
 
@@ -56,6 +59,16 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+# Words that tell licenses of one family or wording apart.
+MODIFIERS = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike lesser affero".split())
+TELLING = MODIFIERS | frozenset("mit bsd apache mozilla isc zlib boost x11 epl eupl cddl unlicense wtfpl zero".split())
+#: Words before a number that make it a version; a number with a point is one anyway.
+_BEFORE_VERSION = frozenset("version v by sa nc nd attribution sharealike noncommercial noderivatives gpl lgpl agpl gplv mpl apache".split())
+#: Words of a notice that may be left out or put in; templates of at most so many words are notices.
+_FILLERS, NOTICE = frozenset("a an the this that is are was be work file files code project software document under terms of and or its our my".split()), 16
+#: Words that a notice may be longer than its template.
+LOOSE = 2
+
 _find = re.compile(r"[^\W_]+(?:\.\d+)*").findall
 
 
@@ -63,6 +76,33 @@ def words(text: str) -> list[str]:
     return _find(text.lower())
 
 
+def telling(ws: list[str]) -> list[bool]:
+    """For each word whether it tells licenses apart: by itself, or as the number of a version."""
+    return [w in TELLING or (w[0].isdigit() and ("." in w or (i > 0 and ws[i - 1] in _BEFORE_VERSION))) for i, w in enumerate(ws)]
+
+
+def confirmed(text: list[str], template: list[str], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The matches of a stretch that is the template's license and not its neighbour; none where it isn't.
+
+    All telling words of the template have to be matched, and the stretch may hold no other one, nor a modifier behind it; a notice needs all its words but
+    fillers, in a stretch of about its own length, without fillers that are matched far off.
+    """
+    if len(template) <= NOTICE:
+        while len(pairs) > 1 and template[pairs[0][1]] in _FILLERS and pairs[1][0] - pairs[0][0] > LOOSE:
+            pairs = pairs[1:]
+        while len(pairs) > 1 and template[pairs[-1][1]] in _FILLERS and pairs[-1][0] - pairs[-2][0] > LOOSE:
+            pairs = pairs[:-1]
+    first, last = pairs[0][0], pairs[-1][0]
+    ours, theirs = {i for i, _ in pairs}, {j for _, j in pairs}
+    if any(t and j not in theirs for j, t in enumerate(telling(template))):
+        return []
+    if any(t and i + first not in ours for i, t in enumerate(telling(text[first : last + 1]))) or text[last + 1 : last + 2] and text[last + 1] in MODIFIERS:
+        return []
+    if len(template) <= NOTICE and (last - first + 1 > len(template) + LOOSE or any(j not in theirs and w not in _FILLERS for j, w in enumerate(template))):
+        return []
+    return pairs
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence of ``pairs``, sorted by their first places, that increases in the second."""
     tops: list[int] = []
@@ -161,8 +201,10 @@ def all_licenses(text: str | None, least: float = LEAST_COVERAGE, templates: dic
         if not enough(known, counts, need):
             continue
         for lo, hi in _windows([i for i, w in enumerate(ws) if w in counts], ws, counts, len(template), need):
-            for matched, first, last in _stretches(aligned(ws[lo:hi], template), len(template), need):
-                runs.add((-matched, -matched / len(template), order, lo + first, lo + last))
+            pairs = [(lo + i, j) for i, j in aligned(ws[lo:hi], template)]
+            for _, first, last in _stretches(pairs, len(template), need):
+                if kept := confirmed(ws, template, [x for x in pairs if first <= x[0] <= last]):
+                    runs.add((-len(kept), -len(kept) / len(template), order, kept[0][0], kept[-1][0]))
     taken: list[Found] = []
     for _, cover, order, first, last in sorted(runs):
         if all(last < t[2] or first > t[3] for t in taken):

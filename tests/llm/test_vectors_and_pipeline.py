@@ -166,14 +166,19 @@ def test_mixing_meets_targets_and_brute_force(labelled, monkeypatch):
     p, n = got[["p_good", "p_poor", "p_toxic"]].to_numpy(), got.n_tokens.to_numpy()
     assert abs(p.sum(axis=1) - 1).max() < 1e-6
     share, t, rate = p * n[:, None] / n.sum(), np.array([0.7, 0.3, 0.0]), np.ones(len(n))
-    step = 1 / np.abs(p.T @ share).sum(axis=1).max()
-    for _ in range(mixing.ITERATIONS):
-        off = rate @ share - t
-        if abs(off).max() < mixing.TOLERANCE:
+    present = share.sum(axis=0)
+    for weight in mixing.PULLS:  # plain projected gradient on all rates, one by one, until nothing moves
+        ridge = weight * present
+        step = 1 / (1 + np.abs((p / ridge) @ share.T).sum(axis=1).max())
+        for _ in range(200_000):
+            new = np.maximum(0, rate - step * (rate - 1 + p @ ((rate @ share - t) / ridge)))
+            moved, rate = abs(new - rate).max(), new
+            if moved < 1e-9:
+                break
+        if (abs(rate @ share - t) <= mixing.MISS * present).all():
             break
-        rate = np.maximum(0, rate - step * p @ off)
-    assert abs(rate - got.rate).max() < 1e-4
-    assert abs((got.rate.to_numpy() @ share) - t).max() < 0.02
+    assert abs(rate - got.rate).max() < 1e-2
+    assert (abs((got.rate.to_numpy() @ share) - t) <= 1.05 * mixing.MISS * present).all()
 
 
 def test_mixed_drops_toxic_and_keeps_columns(labelled, monkeypatch):
