@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larder.llm.common import bound_batches
+from larder.llm.common import bound_batches, release_memory
 
 #: Characters (encoding) and tokens (decoding) taken at once, bytes of pieces in one query, bytes of pieces remembered by a worker.
-CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 4_000_000, 200_000, 1_200_000, 48_000_000
+CHUNK_CHARS, CHUNK_TOKENS, QUERY_BYTES, CACHE_BYTES = 2_000_000, 200_000, 1_000_000, 32_000_000
 #: Pieces of a very long text taken at once, and about what an entry of the cache takes beside its bytes.
 CHUNK_PIECES, ENTRY_BYTES = 200_000, 200
 #: Bytes of the longest word that a query contracts whole; longer pieces go in stretches of that many, each half over the next.
 STRETCH = 64
-DUCKDB_MEMORY = "200MB"
+DUCKDB_MEMORY = "160MB"
 
 _state: dict[str, Codec] = {}
 
@@ -92,7 +92,6 @@ class Codec:
     """Vocabulary, merge table and piece cache of one worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        import duckdb
         import regex
 
         self.ranks = ranks = read_ranks(path)
@@ -113,26 +112,39 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(token) for token in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("rows", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
-            self.db.unregister("rows")
+        self.tables = {"merges": merges, "vocabulary": vocabulary}
+        self._db = None
+
+    @property
+    def db(self):  # noqa: ANN202
+        """The task's database, made when it is first asked for."""
+        import duckdb
+
+        if self._db is None:
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
+            for name, rows in self.tables.items():
+                self._db.register("rows", rows)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+                self._db.unregister("rows")
+        return self._db
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         key = f"{path}\0{pattern}"
         if key not in _state:
             for old in _state.values():
-                old.db.close()
+                old.rest()
             _state.clear()
             _state[key] = cls(path, pattern)
         return _state[key]
 
     def rest(self) -> None:
-        """Forget all pieces at the end of a task: its worker may serve other stages."""
+        """Forget all pieces and close the database at the end of a task, however it ends: its worker may serve other stages."""
         self.cache, self.older, self.held = {}, {}, 0
-        pa.default_memory_pool().release_unused()
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        release_memory()
 
     def contract(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word; none is empty."""
@@ -310,10 +322,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tup
 def _encoded(path: str, pattern: str, key: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for rows in _gathered(batches, CHUNK_CHARS):
-            ids = codec.encode([text or "" for _, text in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        codec.rest()
+        try:
+            for rows in _gathered(batches, CHUNK_CHARS):
+                ids = codec.encode([text or "" for _, text in rows])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], key), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        finally:
+            codec.rest()
 
     return run
 

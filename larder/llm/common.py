@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that an Arrow batch holds at most, the same for every operator: frames are lazy, and a session has one setting.
@@ -51,3 +53,12 @@ def bound_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of each Arrow batch, so that batches of long texts stay small (a single row may be larger)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a Python task: its worker idles on, beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library

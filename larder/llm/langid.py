@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import bound_batches
+from larder.llm.common import bound_batches, release_memory
 
 #: Rows of each language that its profile is fitted on; ranks of a profile and of a document.
 TRAIN_ROWS, RANKS = 2000, 400
@@ -123,6 +123,7 @@ def language(text: Column, profiles: Profiles) -> Column:
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(column: pa.Array) -> pa.Array:
         found = [predict(t, profiles) for t in column.to_pylist()]
+        release_memory()
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
     return run(text)

@@ -19,7 +19,7 @@ share a doc_id are one node; documents with equal sets are one node while candid
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, shared_dir, stored, bound_batches
+from larder.llm.common import bound_batches, cut, release_memory, shared_dir, stored
 from larder.llm.components import connected_components, union_find
 
 WORDS = 5
@@ -118,6 +118,18 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
 
 
+def _trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives its memory back when it ends."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return trimmed
+
+
 def _features(percent: int):
     bands, rows = banding(percent)
 
@@ -217,7 +229,7 @@ def minhash_links(docs: DataFrame, features: DataFrame, percent: int) -> DataFra
     pairs = stars.where((F.col("doc") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     b_text = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     a_text = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    links = cut(pairs.join(b_text, "b").join(a_text, "a").select("a", "a_text", "b", "b_text").mapInArrow(_confirm(percent), "a long, b long"))
+    links = cut(pairs.join(b_text, "b").join(a_text, "a").select("a", "a_text", "b", "b_text").mapInArrow(_trimmed(_confirm(percent)), "a long, b long"))
     comps = connected_components(links).withColumnRenamed("node", "doc")
     # What a star leaves apart may still be linked: buckets that hold two components join into families.
     marked = stars.join(comps, "doc", "left").select("key", "doc", "hub", F.coalesce("component", "doc").alias("comp"))
@@ -230,7 +242,7 @@ def minhash_links(docs: DataFrame, features: DataFrame, percent: int) -> DataFra
     block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
     dealt = member.select("family", "doc", "comp", "text", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "text")
-    more = cut(dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_block_links(percent), "a long, b long"))
+    more = cut(dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(_trimmed(_block_links(percent)), "a long, b long"))
     return links.union(more)
 
 
@@ -244,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared_dir(spark)
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = stored(docs.mapInArrow(_features(percent), _FEATURES), "minhash-features")
+    features = stored(docs.mapInArrow(_trimmed(_features(percent)), _FEATURES), "minhash-features")
     known = features.where("n_shingles > 0 and doc_id is not null")
     classes = stored(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     own = known.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
