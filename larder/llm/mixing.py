@@ -7,14 +7,11 @@ Its words are for each domain those that tell most about it, however many rows t
 A document's rate is how often it should be taken. Rates are fitted by projected gradient: least
 squares between the expected domain token totals (rate * tokens * posterior, summed over all
 documents) and the targets, in the metric that weighs each document by its tokens, so that a
-step depends on the posterior and not on the length; after each step rates below 0 become 0.
-Such steps are slow for small domains. Where a domain still misses its target by more than ``MISS`` of its
-own share, the nearest rates that meet the targets follow: max(0, rate - posterior . prices) with one price for each domain,
-found by Newton steps with the Gram matrix of the documents of rate above 0, until they stand still (else an error
-is raised). Misses weigh by the domain's share there; a target that even so is missed by more is logged as a warning.
-
-An iteration is one aggregate of a single row. Rates are stored once, before the prices: a rate is an expression of the
-document's posterior, the residuals so far and the prices.
+step depends on the posterior and not on the length; after each step rates below 0 become 0. Steps are accelerated and scaled by
+the Gram matrix of the posteriors, so that small domains move as fast as large ones. A change of the rates weighs against the misses,
+less and less (``PULLS``), until each domain misses its target by at most ``MISS`` of its own share; a target that is missed by more even so is logged as a warning.
+
+A step is one aggregate of a single row. A rate is an expression of the document's posterior and one number for each domain.
 
 Defined results: a null or blank text has 0 tokens and the posterior of a text without any of the words; without labelled
 rows there are no domains and every rate is 1; a domain without documents adds nothing.
