@@ -7,11 +7,12 @@ Its words are for each domain those that tell most about it, however many rows t
 A document's rate is how often it should be taken. Rates are fitted by projected gradient: least
 squares between the expected domain token totals (rate * tokens * posterior, summed over all
 documents) and the targets, in the metric that weighs each document by its tokens, so that a
-step depends on the posterior and not on the length; after each step rates below 0 become 0. Steps are accelerated and scaled by
-the Gram matrix of the posteriors, so that small domains move as fast as large ones. A change of the rates weighs against the misses,
+step depends on the posterior and not on the length; after each step rates below 0 become 0. Steps are scaled by
+the Gram matrix of the posteriors, so that small domains move as fast as large ones, go in conjugate directions, and are as long as the
+misses allow: one aggregate tries ``TRIALS`` lengths at once. A change of the rates weighs against the misses,
 less and less (``PULLS``), until each domain misses its target by at most ``MISS`` of its own share; a target that is missed by more even so is logged as a warning.
 
-A step is one aggregate of a single row. A rate is an expression of the document's posterior and one number for each domain.
+A step is two or three aggregates of a single row. A rate is an expression of the document's posterior and one number for each domain.
 
 Defined results: a null or blank text has 0 tokens and the posterior of a text without any of the words; without labelled
 rows there are no domains and every rate is 1; a domain without documents adds nothing.
@@ -37,8 +38,8 @@ SAMPLE_ROWS, VOCABULARY, LEAST_DOCUMENTS = 4000, 200, 5
 MOST_DOCUMENTS = 1.0
 #: Weight of the squared coefficients; steps and largest slope (in rows) at which their fit ends.
 RIDGE, FIT_STEPS, FIT_SLOPE = 0.1, 5000, 0.01
-#: Gradient steps for one weight of changes, and the slope (as a part of each domain's own share) at which they end.
-STEPS, SLOPE = 150, 1e-4
+#: Gradient steps for one weight of changes, the slope (as a part of each domain's own share) at which they end, and the lengths that one aggregate tries.
+STEPS, SLOPE, TRIALS = 150, 1e-4, 8
 #: Part of a domain's own share of the tokens by which its target may be missed, and the least share that counts in that.
 MISS, LEAST_SHARE = 0.02, 1e-9
 #: How much a change of the rates weighs against the misses: falling, until the targets are met, and where whole documents
@@ -150,9 +151,9 @@ def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[floa
     def rate(moved: np.ndarray) -> Column:
         return F.greatest(F.lit(0.0), F.lit(1.0) - sum(x * F.lit(float(c)) for x, c in zip(p, moved, strict=True)))
 
-    def misses(moved: np.ndarray) -> np.ndarray:
-        row = scored.agg(*[F.sum(n * x * rate(moved)) for x in p]).first()
-        return np.array([x or 0.0 for x in row]) / tokens - share
+    def misses(points: list[np.ndarray]) -> np.ndarray:
+        row = scored.agg(*[F.sum(n * x * rate(moved)) for moved in points for x in p]).first()
+        return np.array([x or 0.0 for x in row]).reshape(len(points), k) / tokens - share
 
     moved, off = np.zeros(k), present - share
     for weight in PULLS if pull is None else (pull,):
@@ -164,28 +165,52 @@ def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[floa
     return rate(moved)
 
 
-def _descend(moved: np.ndarray, ridge: np.ndarray, gram: np.ndarray, misses: Callable[[np.ndarray], np.ndarray], present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Accelerated projected gradient steps: ``moved`` and the misses at it.
+Slopes = Callable[[list[np.ndarray]], list[np.ndarray]]
+
+
+def _descend(moved: np.ndarray, ridge: np.ndarray, gram: np.ndarray, misses: Callable[[list[np.ndarray]], np.ndarray], present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Projected gradient steps in conjugate directions: ``moved`` and the misses at it.
 
     The objective is sum(misses^2 / ridge) / 2 and the squared change of the rates from 1. A rate's gradient is its own change plus its posteriors times
     misses / ridge, so rates stay ``max(0, 1 - posteriors * moved)``: the projection of a point that k numbers
-    describe, and a step needs k sums over the documents. It is scaled by the Gram matrix of the posteriors, which bounds the curvature
-    whatever rates are 0, so that every step may be taken whole; momentum starts anew where it points uphill.
+    describe, and a step needs k sums over the documents for each length it tries. It is scaled by the Gram matrix of the posteriors, which bounds the curvature
+    whatever rates are 0; directions start anew where they point uphill.
     """
+
+    def slopes(points: list[np.ndarray]) -> list[np.ndarray]:
+        return [ridge * at - off for at, off in zip(points, misses(points), strict=True)]
+
     scale = np.linalg.inv(gram + np.diag(ridge))
-    old, ahead, pace = moved, moved, 1.0
+    (slope,) = slopes([moved])
+    way = -scale @ slope
     for _ in range(STEPS):
-        slope = ridge * ahead - misses(ahead)
-        new = ahead - scale @ slope
-        if slope @ (new - old) > 0:
-            pace = 1.0
-        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, old, pace = new + (pace - 1) / faster * (new - old), new, faster
         if np.all(np.abs(slope) <= SLOPE * present):
             break
+        moved, new = _along(moved, way, slopes)
+        turned = max(0.0, new @ scale @ (new - slope) / (slope @ scale @ slope))
+        slope, way = new, turned * way - scale @ new
+        if way @ slope >= 0:
+            way = -scale @ slope
     else:
         logging.getLogger(__name__).warning("the rates were still changing after %s steps: %s", STEPS, slope.tolist())
-    return old, misses(old)
+    return moved, ridge * moved - slope
+
+
+def _along(start: np.ndarray, way: np.ndarray, slopes: Slopes) -> tuple[np.ndarray, np.ndarray]:
+    """The point from ``start`` along ``way`` at which it points uphill least, with its slope: lengths double until it does, then those between are tried."""
+
+    def tried(lengths: list[float]) -> list[tuple[float, float, np.ndarray]]:
+        return [(slope @ way, length, slope) for length, slope in zip(lengths, slopes([start + x * way for x in lengths]), strict=True)]
+
+    seen, length = [], 1.0
+    while not seen or seen[-1][0] < 0 and math.isfinite(length):
+        seen += tried([length * 2**i for i in range(TRIALS)])
+        length *= 2**TRIALS
+    last = min((x for up, x, _ in seen if up >= 0), default=seen[-1][1])
+    first = max((x for up, x, _ in seen if up < 0 and x < last), default=0.0)
+    seen += tried([first + (last - first) * i / TRIALS for i in range(1, TRIALS)])
+    _, best, slope = min(seen, key=lambda x: (abs(x[0]), x[1]))
+    return start + best * way, slope
 
 
 def mixing_rates(docs: DataFrame, domains: DataFrame, weights: dict[str, float] | None = None, dropped: tuple[str, ...] = (), pull: float | None = None) -> DataFrame:
