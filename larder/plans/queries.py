@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.functions import display, duration, notes, quantity, text, tokens, units
-from larder.operators import evaluate, grouping, posts, recipe, store, stored
+from larder.functions import casing, display, duration, notes, quantity, text, tokens, units
+from larder.operators import evaluate, grouping, posts, publish, recipe, store, stored
 from larder.operators.lines import ambiguous, free_text_half, normalized, parse_auto, parse_lines, parse_modular, parse_simple
 from larder.plans import inputs as I
 from larder.plans.assemble import assemble
@@ -651,3 +651,49 @@ def lines_shown_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = stored.card(F.col("dom_name"), F.lit("/"), F.col("jsonld_image"), F.col("microdata_image"), F.col("dom_image"))
     return derived(spark, sf_dir, _SOURCES).select("id", c.alias("c")).select("id", "c.image", "c.title")
+
+
+_LOWER_LINES = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN concat('frische ', p_name, '-mix mit öl, gemahlener ', lower(p_type)) WHEN 1 THEN concat(p_name, ' FÜR ', p_type, ' Grobes salz') WHEN 2 THEN p_name
+  WHEN 3 THEN concat(' geschälte  ', lower(p_brand), ' ohne kleines ', p_name) ELSE concat('(', p_name, ') und 2x', lower(p_type), '-') END AS line FROM part"""
+
+
+@query(rf"""WITH l AS (SELECT id, line, regexp_extract_all(line, '[^\s-]+|[\s-]+') AS parts FROM ({_LOWER_LINES}))
+SELECT id, CASE WHEN line NOT LIKE '%ä%' AND line NOT LIKE '%ö%' AND line NOT LIKE '%ü%' AND line NOT LIKE '%ß%' AND len(list_intersect(regexp_split_to_array(lower(line), '[^a-zü]+'), {list(casing.GERMAN)})) = 0 THEN line
+  ELSE array_to_string(list_transform(parts, lambda x: CASE WHEN list_contains({list(casing.KEPT)}, lower(x)) OR len(list_filter({list(casing.STEMS)}, lambda s: starts_with(lower(x), s) AND list_contains({["", *casing.ENDINGS]}, substr(lower(x), length(s) + 1)))) > 0 THEN lower(x)
+    WHEN lower(x) <> x OR upper(x) = x THEN x ELSE concat(regexp_extract(x, '^[^a-zäöüß]*'), upper(substr(x, length(regexp_extract(x, '^[^a-zäöüß]*')) + 1, 1)), substr(x, length(regexp_extract(x, '^[^a-zäöüß]*')) + 2)) END), '') END AS shown FROM l""")
+def ingredient_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in lower case with their likely nouns capitalised, where they are German."""
+    return derived(spark, sf_dir, _LOWER_LINES).select("id", casing.german_casing(F.col("line")).alias("shown"))
+
+
+_DAMAGED = f"SELECT post_id, CASE post_id % 7 WHEN 0 THEN '' WHEN 1 THEN '[1]' WHEN 2 THEN concat('{{{{\"name\":\"', post_id, '\",\"recipeIngredient\":[\" \",{{{{}}}}]}}}}') WHEN 3 THEN NULL ELSE json END AS json FROM ({I.SCHEMAS})".replace("{{", "{").replace("}}", "}")
+_LEAD = f"coalesce(trim(regexp_extract(p_name, {_ADJECTIVES}, 1)), '')"
+
+
+@query(f"""SELECT p_partkey AS post_id, pos, CASE pos WHEN 2 THEN concat('2 EL ', p_type) ELSE concat(p_size, ' g ', p_name) END AS raw,
+  CASE pos WHEN 2 THEN concat('2 tbsp ', p_type) ELSE concat(p_size, ' g ', trim(substr(p_name, length({_LEAD}) + 1)), CASE WHEN {_LEAD} <> '' THEN concat(' (', {_LEAD}, ')') ELSE '' END) END AS shown
+FROM part, (SELECT unnest([0, 1, 2])::INT AS pos) WHERE p_partkey % 7 > 3""")
+def repair_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the lines of stored documents would read if they were parsed anew."""
+    return publish.preview(derived(spark, sf_dir, _DAMAGED), "post_id", "json")
+
+
+@query(f"""SELECT p_partkey AS post_id, CASE p_partkey % 7 WHEN 0 THEN 'no_schema' WHEN 1 THEN 'no_object' WHEN 2 THEN 'no_lines' WHEN 3 THEN 'no_schema' ELSE 'repaired' END AS status,
+  CASE WHEN p_partkey % 7 > 3 THEN 3 ELSE 0 END::BIGINT AS n_lines, CASE WHEN p_partkey % 7 > 3 THEN p_name WHEN p_partkey % 7 = 2 THEN CAST(p_partkey AS VARCHAR) END AS name,
+  CASE WHEN p_partkey % 7 > 3 THEN trim(substr(p_name, length({_LEAD}) + 1)) END AS first_item, CASE WHEN p_partkey % 7 > 3 THEN concat('2 EL ', p_type) END AS last_raw, CASE WHEN p_partkey % 7 > 3 THEN p_size::DOUBLE END AS qty FROM part""")
+def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents with their lines parsed anew in place, the rest of them kept; those that can't be repaired as they are."""
+    got = publish.repaired(derived(spark, sf_dir, _DAMAGED), "post_id", "json").withColumn("v", F.try_parse_json("new"))
+    read = lambda path, kind: F.try_variant_get("v", path, kind)
+    return got.select("post_id", "status", F.col("n_lines").cast("long").alias("n_lines"), read("$.name", "string").alias("name"), read("$.recipeIngredient[0].item", "string").alias("first_item"), read("$.ingredientsParsed[2].raw", "string").alias("last_raw"), read("$.recipeIngredient[1].qty", "double").alias("qty"))
+
+
+_REQUESTS = "SELECT event_id AS request_id, user_id % 300 AS visit, ts AS at, user_id % 40 AS post_id, CAST(event_id % 5 AS INT) AS n FROM events"
+
+
+@query(f"""WITH p AS ({I.POSTS}), q AS (SELECT *, greatest(n, 1) AS m, sum(greatest(n, 1)) OVER (PARTITION BY visit, post_id ORDER BY r.at, request_id) AS upto FROM ({_REQUESTS}) r),
+others AS (SELECT a.post_id, b.post_id AS related_id, row_number() OVER (PARTITION BY a.post_id ORDER BY md5(CAST(b.post_id AS VARCHAR)), b.post_id) AS place FROM p a JOIN p b ON a.category = b.category AND a.post_id <> b.post_id WHERE a.post_id IN (SELECT post_id FROM q))
+SELECT q.request_id, q.visit, q.post_id, o.related_id, o.place::BIGINT AS place FROM q JOIN others o ON q.post_id = o.post_id AND o.place > q.upto - q.m AND o.place <= q.upto""")
+def related_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for more related posts, none of which a visit is shown twice."""
+    return posts.served(posts.claims(derived(spark, sf_dir, _REQUESTS)), posts.ranked(derived(spark, sf_dir, I.POSTS)))
