@@ -14,13 +14,18 @@ it holds, unless some part of it has an importance of ``MEANINGFUL`` or more; a
 stands. Inside of article and main elements only what is on practically all pages is low. Nodes of fewer than
 ``LEAST_PAGES`` pages tell nothing and count as content.
 
-Statistics can't tell an advert whose words are new on every page, nor anything on a host with few pages. So
-elements that HTML itself sets apart (nav, footer, aside, form and the like), and those with a class or id that
-is made of nothing but words for furniture and for boxes (``site-header``, but not ``no-sidebar``), count as removed branches, unless they
-wrap the page's main element, or most of its text where it has none. They are no evidence in the statistics.
+Entropy can't tell an advert whose words are new on every page. So the tree keeps the structure of its nodes too: a box that on
+most of its pages stands beside their article or main element and holds less than ``ASIDE`` of their text goes (not where it has the
+page's only h1), and so does one of which ``LINKED`` or more is links, unless it holds half of the text. All elements are evidence, furniture included.
 
-Only boilerplate leaves the statistics: for each host its low texts and its nodes without important texts. All sums are
-combined before the shuffle, so a very common host joins and adds up like any skewed key.
+Names decide what statistics leave open: on hosts with few pages, and for boxes inside of an article. Elements that HTML itself sets
+apart (nav, footer, aside, form and the like), and those with a class or id that is made of nothing but words for furniture and for boxes
+(``site-header``, ``topnav``, but not ``no-sidebar``), count as removed branches, unless they wrap the page's main element, or most of its text
+where it has none; so do boxes of at least ``LEAST_LINKS`` links and little else outside of main elements.
+
+Only boilerplate leaves the statistics: rows of a host's low texts and of its nodes without important texts or beside the main
+element. All sums are combined before the shuffle. Few rows are broadcast; otherwise each page's own nodes and texts meet them by (host, key), so
+no row holds a whole host, and a very common host is dealt in parts.
 
 Defined results: a null or empty html, or one without text, is empty text; a null or hostless url is a site of its own without statistics;
 pages of a host with the same main text (repeated rows, mirrored copies) count once in the statistics, and each has its row; an empty
@@ -47,25 +52,34 @@ PRESENTATION, MEANINGFUL = 0.1, 0.5
 #: Share of a page's text from which an element that names say is furniture is rather its wrapper: forms and headers, other elements.
 WRAPS, WRAPS_NAMED = 0.5, 0.8
 #: Low texts and nodes (about 24 bytes each) up to which they are broadcast, counted first; parts of a host beyond.
-BROADCAST_ROWS, HOST_PARTS = 300_000, 32
+BROADCAST_ROWS, HOST_PARTS, COPY_PARTS = 300_000, 32, 8
+#: Share of its pages' text below which a box beside their main element goes; share of links from which a box goes, and the links it needs without statistics.
+ASIDE, LINKED, LEAST_LINKS = 0.35, 0.6, 3
 
 # HTML elements by their part in a page, and words of classes and ids.
 _NEVER = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "embed", "canvas", "audio", "video", "head", "title", "nav", "footer", "aside", "select", "button", "textarea", "input", "label", "dialog", "menu", "datalist", "option"}
+#: Those of them that are part of the tree all the same.
+_APART = {"nav", "footer", "aside"}
+_BOXED = {"div", "section", "header", "form", "fieldset", "ul", "ol", "nav", "footer", "aside"}
 _WRAPPERS = {"form", "fieldset", "header"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _MAIN = {"article", "main"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_FURNITURE = {"nav", "navbar", "navigation", "menu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "adverts", "banner", "promo", "promotion", "sponsor", "sponsored", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "respond", "reply", "replies", "disqus", "form", "search", "login", "signup", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "overlay", "toolbar", "disclaimer", "copyright"}
+_FURNITURE = {"nav", "navbar", "navigation", "menu", "header", "masthead", "topbar", "footer", "sidebar", "aside", "ad", "ads", "advert", "advertisement", "adverts", "banner", "promo", "promotion", "sponsor", "sponsored", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "respond", "reply", "replies", "disqus", "form", "search", "login", "signup", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "popup", "modal", "overlay", "toolbar", "disclaimer", "copyright", "recent", "skip", "bio"}
 _COMMENTS = {"comment", "comments"}
-_BOXES = {"site", "global", "top", "bottom", "left", "right", "upper", "lower", "primary", "secondary", "box", "wrap", "wrapper", "container", "area", "list", "bar", "block", "section", "slot", "unit", "item", "inner", "outer", "widget", "links", "text", "thread", "reader", "user", "body", "div", "id"}
+_BOXES = {"site", "global", "top", "bottom", "left", "right", "upper", "lower", "primary", "secondary", "box", "wrap", "wrapper", "container", "area", "list", "bar", "block", "section", "slot", "unit", "item", "inner", "outer", "widget", "links", "text", "thread", "reader", "user", "body", "div", "id", "widgets", "buttons", "button", "icons", "link", "by", "google", "x"}
+#: Words of the page's own parts: furniture with any of the words above but header.
+_PARTS = {"post", "posts", "content", "main", "author", "page", "article", "entry"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_NAMED = re.compile(r"""(?i)(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|$))""")
+_NAMED = re.compile(r"""(?i)(?:^|[\s/"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|$))""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])").findall
+_UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)").search
+_GLUED = re.compile("(?:" + "|".join(sorted(_FURNITURE | _COMMENTS | _BOXES - {"x", "by", "id"} | {"bygoogle"}, key=len, reverse=True)) + ")").findall
 
 #: What names say of an element: content, furniture unless it wraps the page, never content.
 CONTENT, FURNITURE, NEVER = 0, 1, 2
@@ -77,10 +91,13 @@ def _hash(*parts: object) -> int:
 
 def named(value: str) -> int:
     """What a class or id says of its element: each of its names is taken whole."""
-    says = CONTENT
+    says, known = CONTENT, _FURNITURE | _COMMENTS | _BOXES | _PARTS
     for name in value.split():
-        words = {w.lower() for w in _WORDS(name)}
-        if words and words <= _FURNITURE | _COMMENTS | _BOXES and words & (_FURNITURE | _COMMENTS):
+        words = set()
+        for word in map(str.lower, _WORDS(name)):
+            glued = [] if word in known else _GLUED(word)
+            words |= {word} if "".join(glued) != word else {*glued} - {"bygoogle"}
+        if words and words <= known and words & (_FURNITURE | _COMMENTS) and not ("header" in words and words & _PARTS):
             says = max(says, NEVER if words & _COMMENTS else FURNITURE)
     return says
 
@@ -88,21 +105,22 @@ def named(value: str) -> int:
 class Node:
     """An element of a page with what the tree knows it by, its blocks of text and its children."""
 
-    __slots__ = ("blocks", "children", "gone", "inside", "key", "length", "main", "parent", "says", "shape", "tag")
+    __slots__ = ("blocks", "children", "gone", "inside", "key", "length", "linked", "links", "main", "own_linked", "own_links", "parent", "says", "shape", "tag", "titled", "unseen")
 
     def __init__(self, tag: str, key: int, parent: Node | None, says: int, inside: bool) -> None:
         self.tag, self.key, self.parent, self.says, self.inside = tag, key, parent, says, inside
         self.blocks: list[tuple[int, str]] = []
         self.children: list[Node] = []
         self.shape: list[str] = []
-        self.length, self.main, self.gone = 0, inside, False
+        self.length, self.main, self.gone, self.unseen, self.titled = 0, inside, False, False, tag == "h1"
+        self.linked = self.links = self.own_linked = self.own_links = 0
 
 
 def parse(page: str) -> list[Node]:
-    """The elements of a page in their order, the root first; what names say is furniture is marked as gone. Blocks are numbered."""
+    """The elements of a page in their order, the root first, with what names say of them. Blocks are numbered."""
     page = _RAW.sub(" ", page)
     root = at = Node("", 0, None, CONTENT, False)
-    nodes, run, count, place = [root], [], 0, 0
+    nodes, run, count, place, linked = [root], [], 0, 0, False
 
     def flush() -> None:
         nonlocal count
@@ -121,14 +139,20 @@ def parse(page: str) -> list[Node]:
     for tag in _TAG.finditer(page):
         if tag.start() > place:
             run.append(page[place : tag.start()])
+            if linked:
+                at.own_linked += len(run[-1].strip())
         place = tag.end()
         name, rest = tag[2].lower(), tag[3]
         if name in ("br", "wbr"):
             run.append(" " if name == "br" else "")
             continue
         if name in _INLINE:
+            if name == "a":
+                linked = not tag[1]
+                at.own_links += linked
             continue
         if tag[1]:
+            linked = False
             last = at
             while last.parent and last.tag != name:
                 last = last.parent
@@ -144,53 +168,81 @@ def parse(page: str) -> list[Node]:
         flush()
         given = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(rest)} if rest else {}
         main = name in _MAIN or given.get("role") == "main"
-        says = CONTENT
-        if name in _NEVER or "hidden" in given or given.get("aria-hidden") == "true":
+        says, unseen = CONTENT, "hidden" in given or given.get("aria-hidden") == "true" or bool(_UNSEEN(given.get("style", "")))
+        if name in _NEVER or unseen:
             says = NEVER
         elif name not in ("html", "body"):
             says = named(f"{given.get('class', '')} {given.get('id', '')}") if given else CONTENT
             if name in ("form", "fieldset") or name == "header" and not at.inside or given.get("role") in _ROLES:
                 says = max(says, FURNITURE)
+        if says != NEVER and (name == "main" or given.get("role") == "main"):
+            says = CONTENT
+        # Comments and teasers are often article elements too.
+        main, says = main and says == CONTENT and at.says != NEVER, NEVER if at.says == NEVER else says
         mark = (given.get("class") or given.get("id") or "").split()
         at.shape.append(name)
         if name not in _VOID and not rest.rstrip().endswith("/"):
             child = Node(name, _hash(at.key, name, *mark[:1]), at, says, at.inside or main)
-            child.main = main
+            child.main, child.unseen = main, at.unseen or unseen or name in _NEVER - _APART
             at.children.append(child)
             nodes.append(child)
             at = child
     run.append(page[place:])
     flush()
-    _remove_named(nodes)
+    for node in reversed(nodes):
+        node.gone = node.unseen
+    _measure(nodes)
     return nodes
 
 
-def _remove_named(nodes: list[Node]) -> None:
-    """Mark as gone what names say is furniture, and all it holds; count the text of what is left."""
-    for node in nodes[1:]:
-        node.gone = node.parent.gone or node.says == NEVER
+def _measure(nodes: list[Node]) -> None:
+    """Count text and links of what is not gone, and see what wraps a main element or holds a title."""
     for node in reversed(nodes):
-        node.length = 0 if node.gone else sum(len(t) for _, t in node.blocks) + sum(c.length for c in node.children)
-        node.main = not node.gone and (node.main or any(c.main for c in node.children))
-    whole, has_main = nodes[0].length, nodes[0].main
+        if node.gone:
+            node.length = node.linked = node.links = 0
+            node.main = node.titled = False
+        else:
+            node.length = sum(len(t) for _, t in node.blocks) + sum(c.length for c in node.children)
+            node.linked = min(node.length, node.own_linked + sum(c.linked for c in node.children))
+            node.links = node.own_links + sum(c.links for c in node.children)
+            node.main = node.main and node.length > 0 or any(c.main for c in node.children)
+            node.titled = node.titled or any(c.titled for c in node.children)
+
+
+def _beside(node: Node, root: Node, titled: bool) -> bool:
+    """Whether a box stands beside the page's main element and is not where its only title is."""
+    return root.main and not node.inside and not node.main and node.tag in _BOXED and (titled or not node.titled)
+
+
+def remove_named(nodes: list[Node], aside: frozenset[int] | set[int] = frozenset()) -> None:
+    """Mark as gone the nodes ``aside`` and what names or links say is furniture, and all it holds; count the text of what is left."""
+    root, titled = nodes[0], any(n.inside and n.titled for n in nodes)
+    for node in nodes[1:]:
+        boxed = node.key in aside and not node.main and (_beside(node, root, titled) or node.length < root.length * WRAPS and node.linked >= node.length * LINKED)
+        node.gone = node.parent.gone or node.gone or node.says == NEVER or boxed
+    _measure(nodes)
+    whole, has_main = root.length, root.main
     for node in nodes[1:]:
-        if node.says == FURNITURE and not node.gone:
+        if node.gone or node.parent.gone:
+            node.gone = True
+        elif node.says == FURNITURE:
             wraps = node.main if has_main else node.length > whole * (WRAPS if node.tag in _WRAPPERS else WRAPS_NAMED)
             node.gone = not wraps or node.tag in _MAIN
-        node.gone = node.gone or node.parent.gone
-    for node in reversed(nodes):
-        node.length = 0 if node.gone else sum(len(t) for _, t in node.blocks) + sum(c.length for c in node.children)
+        elif node.links >= LEAST_LINKS and node.linked >= node.length * LINKED and node.tag in _BOXED:
+            node.gone = not node.inside and not node.main and node.length < whole * WRAPS
+    _measure(nodes)
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), known: dict[int, tuple[float | None, float]] | None = None) -> str:
-    """The main text of a page, given the low texts of its host, and content (None without texts) and presentation importance of nodes."""
+def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), known: dict[int, tuple[float | None, float, bool]] | None = None) -> str:
+    """The main text of a page, given the low texts of its host, and of nodes: content (None without texts) and presentation importance, and whether they stand aside."""
     nodes, known = parse(page or ""), known or {}
+    remove_named(nodes, {k for k, v in known.items() if v[2]})
     composite: dict[Node, float] = {}
     best: dict[Node, float] = {}
     for node in reversed(nodes):
         if node.gone or not node.length:
             continue
-        content, presentation = known.get(node.key, (1.0, None))
+        content, presentation, _ = known.get(node.key, (1.0, None, False))
         own = sum(len(t) for _, t in node.blocks)
         inner = [c for c in node.children if c.length]
         mean = (own * (1.0 if content is None else content) + sum(c.length * composite[c] for c in inner)) / node.length
@@ -207,50 +259,90 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), kn
     return "\n\n".join(t for _, t in sorted(out))
 
 
+_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("inside", pa.bool_()), ("size", pa.int64()), ("linked", pa.int64()), ("whole", pa.int64()), ("beside", pa.int64())])
+
+
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page: its nodes, the texts of each, and the child tags of each, with the digest of the main text."""
+    """For each page with the digest of its main text: its nodes (with their text, their links, the page's text and whether they stand beside the main element), the texts of each, and the child tags of each."""
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes = [n for n in parse(page or "") if n.length]
-            inside = [t for n in nodes if n.inside for _, t in n.blocks]
-            digest = _hash("page", *(inside or [t for n in nodes for _, t in n.blocks]))
-            seen = {(n.key, kind, feature, n.inside, size) for n in nodes for kind, feature, size in ((0, 0, 1), (2, _hash("s", *n.shape), 1), *((1, _hash(n.key, "t", t), len(t)) for _, t in n.blocks))}
-            columns = list(zip(*seen, strict=True)) if seen else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([host] * len(seen), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array([digest] * len(seen), pa.int64()), pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.int64())],
-                ["host", "node", "kind", "feature", "page", "inside", "size"],
-            )
+            every = parse(page or "")
+            root, titled = every[0], any(n.inside and n.titled for n in every)
+            nodes, whole, of = [n for n in every if n.length], root.length, {}
+            seen = {(n.key, kind, feature, n.inside, size, 0, 0, 0) for n in nodes for kind, feature, size in ((2, _hash("s", *n.shape), 1), *((1, _hash(n.key, "t", t), len(t)) for _, t in n.blocks))}
+            for n in nodes:
+                inside, size, linked, beside = of.get(n.key, (False, 0, 0, 1))
+                of[n.key] = (inside or n.inside, size + n.length, linked + n.linked, min(beside, int(_beside(n, root, titled))))
+            seen |= {(key, 0, 0, inside, size, linked, whole, beside) for key, (inside, size, linked, beside) in of.items()}
+            remove_named(every)
+            inner = [t for n in every if n.length and n.inside for _, t in n.blocks]
+            digest = _hash("page", *(inner or [t for n in every if n.length for _, t in n.blocks]))
+            columns = list(zip(*seen, strict=True)) if seen else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([[host] * len(seen), [digest] * len(seen), *columns], _OBSERVED, strict=True)], schema=_OBSERVED)
 
 
 def site_trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trees of the hosts of ``pages`` (host, html): (host, node, m, content, presentation, inside), and (host, node, feature, c) of texts on several pages."""
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, node long, kind int, feature long, page long, inside boolean, size long")
+    """The trees of the hosts of ``pages`` (host, html): (host, node, m, content, presentation, inside, aside), and (host, node, feature, c) of texts on several pages."""
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_observed, "host string, page long, node long, kind int, feature long, inside boolean, size long, linked long, whole long, beside long")
     # Copies of a page are one page.
-    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.max("inside").alias("inside"), F.max("size").alias("size"))
-    counts = stored(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"), F.max("inside").alias("inside"), F.max("size").alias("size")), "html-counts")
+    measures = ("size", "linked", "whole")
+    seen = seen.groupBy("host", "node", "kind", "feature", "page").agg(F.max("inside").alias("inside"), F.min("beside").alias("beside"), *[F.max(c).alias(c) for c in measures])
+    # A text has one length; what a node holds is summed over its pages.
+    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("c"), F.max("inside").alias("inside"), F.max("size").alias("size"), *[F.sum(c).alias(f"{c}s") for c in (*measures, "beside")])
+    counts = stored(counts, "html-counts")
     c, of = F.col("c").cast("double"), lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    sums = counts.groupBy("host", "node").agg(of(0, F.col("c")).alias("m"), F.max("inside").alias("inside"), *[of(k, x * F.col("size")).alias(f"{n}{k}") for k in (1, 2) for n, x in (("n", c), ("l", c * F.log(c)))])
+    weigh = {0: F.lit(0), 1: F.col("size"), 2: F.lit(1)}
+    sums = counts.groupBy("host", "node").agg(
+        of(0, F.col("c")).alias("m"),
+        F.max("inside").alias("inside"),
+        *[of(0, F.col(f"{k}s")).alias(k) for k in (*measures, "beside")],
+        *[of(k, x * weigh[k]).alias(f"{n}{k}") for k in (1, 2) for n, x in (("n", c), ("l", c * F.log(c)))],
+    )
     sums = sums.where(F.col("m") >= LEAST_PAGES)
     base = F.log(F.col("m").cast("double"))
-    nodes = sums.select("host", "node", "m", (1 - F.col("l1") / (F.col("n1") * base)).alias("content"), ((F.log("n2") - F.col("l2") / F.col("n2")) / base).alias("presentation"), "inside")
+    beside = (2 * F.col("beside") >= F.col("m")) & (F.col("size") < ASIDE * F.col("whole"))
+    links = ~F.col("inside") & (F.col("linked") >= LINKED * F.col("size")) & (F.col("size") < WRAPS * F.col("whole"))
+    nodes = sums.select("host", "node", "m", (1 - F.col("l1") / (F.col("n1") * base)).alias("content"), ((F.log("n2") - F.col("l2") / F.col("n2")) / base).alias("presentation"), "inside", (beside | links).alias("aside"))
     return nodes, counts.where("kind = 1 and c > 1").select("host", "node", "feature", "c")
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
-    """(host, low, nodes): the hashes of low texts, and struct<node, content, presentation> of the nodes without important texts."""
+    """(host, key, node): the hashes of low texts (node is null), and nodes without important texts or aside, as struct<content, presentation, aside>."""
     nodes, texts = site_trees(pages)
     least = F.when(F.col("inside"), F.lit(LEAST_INSIDE)).otherwise(F.lit(LEAST))
     texts = texts.where(F.col("c") >= LEAST_PAGES**(1 - LEAST)).join(nodes, ["host", "node"]).where(1 - F.log(F.col("c").cast("double")) / F.log(F.col("m").cast("double")) < least)
-    none = F.lit(None).cast("struct<node:long,content:double,presentation:double>")
-    rows = texts.select("host", F.col("feature").alias("text"), none.alias("node")).union(nodes.where(F.col("content").isNull() | (F.col("content") < LEAST_BRANCH)).select("host", F.lit(None).cast("long"), F.struct("node", "content", "presentation")))
-    return rows.groupBy("host").agg(F.collect_set("text").alias("low"), F.collect_list("node").alias("nodes"))
+    low = nodes.where(F.col("content").isNull() | (F.col("content") < LEAST_BRANCH) | F.col("aside"))
+    return texts.select("host", F.col("feature").alias("key"), F.lit(None).cast("struct<content:double,presentation:double,aside:boolean>").alias("node")).distinct().union(low.select("host", F.col("node").alias("key"), F.struct("content", "presentation", "aside")))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, key) of the nodes and texts of each page."""
+    for batch in batches:
+        for host, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            nodes = [n for n in parse(text or "") if n.length]
+            keys = {n.key for n in nodes} | {_hash(n.key, "t", t) for n in nodes for _, t in n.blocks}
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array([page] * len(keys), pa.int64()), pa.array(list(keys), pa.int64())], ["host", "page", "key"])
+
+
+def with_low(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``pages`` (host, html, page_id, url) with ``found``: what ``low_importance`` says of their nodes and texts, or of their whole host where that is little."""
+    one = F.collect_list(F.struct("key", "node")).alias("found")
+    if low.count() <= BROADCAST_ROWS:
+        return pages.join(F.broadcast(low.groupBy("host").agg(one)), "host", "left")
+    # A very common host or a page with many copies is dealt in parts; rows found for another page of the host would change nothing.
+    pages = pages.withColumn("page", F.xxhash64("html")).withColumn("copy", F.pmod(F.xxhash64("page_id", "url"), F.lit(COPY_PARTS)).cast("int"))
+    dealt = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    wanted = pages.where("host <> ''").select("host", "page", "html").mapInArrow(_keys, "host string, page long, key long").distinct().withColumn("part", F.pmod(F.hash("page"), F.lit(HOST_PARTS)))
+    found = wanted.join(dealt(low, "part", HOST_PARTS), ["host", "key", "part"]).groupBy("host", "page").agg(one)
+    return pages.join(dealt(found, "copy", COPY_PARTS), ["host", "page", "copy"], "left")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = []
-        for page, low, nodes in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            text.append(main_text(page, frozenset(low or ()), {n["node"]: (n["content"], n["presentation"]) for n in nodes or ()}))
+        for page, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            low = frozenset(f["key"] for f in found or () if f["node"] is None)
+            text.append(main_text(page, low, {f["key"]: (f["node"]["content"], f["node"]["presentation"], f["node"]["aside"]) for f in found or () if f["node"]}))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -262,12 +354,5 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html)."""
     bound_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of().alias("host"))
-    low = cut(low_importance(pages))
-    if (low.agg(F.sum(F.size("low") + F.size("nodes"))).first()[0] or 0) <= BROADCAST_ROWS:
-        joined = pages.join(F.broadcast(low), "host", "left")
-    else:
-        # Beyond that, hosts are dealt in parts, so that a very common one is no task's alone.
-        dealt = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
-        joined = pages.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_PARTS)).cast("int")).join(dealt, ["host", "part"], "left")
-    joined = joined.select("page_id", "url", "html", "low", "nodes")
+    joined = with_low(pages, cut(low_importance(pages))).select("page_id", "url", "html", "found")
     return joined.mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
