@@ -9,10 +9,10 @@ squares between the expected domain token totals (rate * tokens * posterior, sum
 documents) and the targets, in the metric that weighs each document by its tokens, so that a
 step depends on the posterior and not on the length; after each step rates below 0 become 0. Steps are scaled by
 the Gram matrix of the posteriors, so that small domains move as fast as large ones, go in conjugate directions, and are as long as the
-misses allow: one aggregate tries ``TRIALS`` lengths at once. A change of the rates weighs against the misses,
+misses allow: one aggregate tries ``TRIALS`` lengths at once, by a row for each. A change of the rates weighs against the misses,
 less and less (``PULLS``), until each domain misses its target by at most ``MISS`` of its own share; a target that is missed by more even so is logged as a warning.
 
-A step is two or three aggregates of a single row. A rate is an expression of the document's posterior and one number for each domain.
+A step is two or three aggregates of at most ``TRIALS`` rows. A rate is an expression of the document's posterior and one number for each domain.
 
 Defined results: a null or blank text has 0 tokens and the posterior of a text without any of the words; without labelled
 rows there are no domains and every rate is 1; a domain without documents adds nothing.
@@ -51,7 +51,7 @@ Model = tuple[list[str], list[str], list[float], list[list[float]]]
 
 def words(text: Column) -> Column:
     """Lower-cased words of a text between white space; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def fit(docs: DataFrame, domains: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Domain names, words, and for each domain its score without any word and what each word adds."""
     sample = domains.where("doc_id is not null and domain is not null").select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = texts.select("domain", F.array_distinct(words(F.col("text"))).alias("ws"))
+    # Read three times, so written once: the words of as many rows as the sample has.
+    seen = stored(texts.select("domain", F.array_distinct(words(F.col("text"))).alias("ws")), "mixing-sample")
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     names, every = sorted(totals), sum(totals.values())
     if not names:
@@ -148,12 +149,16 @@ def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[floa
     for (i, j), x in zip(cells, first[k + 1 :], strict=True):
         gram[i, j] = gram[j, i] = (x or 0.0) / tokens
 
-    def rate(moved: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum(x * F.lit(float(c)) for x, c in zip(p, moved, strict=True)))
+    def rate(moved: list[Column]) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum(x * c for x, c in zip(p, moved, strict=True)))
 
     def misses(points: list[np.ndarray]) -> np.ndarray:
-        row = scored.agg(*[F.sum(n * x * rate(moved)) for moved in points for x in p]).first()
-        return np.array([x or 0.0 for x in row]).reshape(len(points), k) / tokens - share
+        # The points are rows made of one constant array, not constants of the code: it is compiled once for all steps.
+        each = F.array(*[F.struct(F.lit(at).alias("at"), *[F.lit(float(c)).alias(f"m{i}") for i, c in enumerate(moved)]) for at, moved in enumerate(points)])
+        tried = scored.select("n_tokens", *[f"p{i}" for i in range(k)], F.inline(each))
+        sums = tried.groupBy("at").agg(*[F.sum(n * x * rate([F.col(f"m{i}") for i in range(k)])).alias(f"s{j}") for j, x in enumerate(p)])
+        by = {r["at"]: [r[f"s{j}"] or 0.0 for j in range(k)] for r in sums.collect()}
+        return np.array([by[at] for at in range(len(points))]) / tokens - share
 
     moved, off = np.zeros(k), present - share
     for weight in PULLS if pull is None else (pull,):
@@ -162,7 +167,7 @@ def fit_rates(scored: DataFrame, targets: list[float] | None, weights: list[floa
         moved, off = _descend(moved, weight * present, gram, misses, present)
     if np.any(np.abs(off) > MISS * present):
         logging.getLogger(__name__).warning("token shares miss their targets by %s", off.tolist())
-    return rate(moved)
+    return rate([F.lit(float(c)) for c in moved])
 
 
 Slopes = Callable[[list[np.ndarray]], list[np.ndarray]]
