@@ -7,7 +7,6 @@ A null or empty page gives null or empty fields.
 
 from __future__ import annotations
 
-import html as entities
 import json
 import re
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from larder.functions.text import absolute_url, let
-from larder.sources.encodings import decode, natural_key, sanitize
+from larder.sources.encodings import decode, natural_key, sanitize, unescape
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -62,7 +61,7 @@ def tree(page: str) -> Node:
 
     def text(upto: int) -> None:
         if upto > at:
-            stack[-1].children.append(Node("", text=entities.unescape(page[at:upto])))
+            stack[-1].children.append(Node("", text=unescape(page[at:upto])))
 
     for m in _TOKEN.finditer(page):
         text(m.start())
@@ -95,7 +94,7 @@ def tree(page: str) -> Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): entities.unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(text or "")}
+    return {k.lower(): unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(text or "")}
 
 
 def _drop_noise(nodes: list[Node]) -> None:
@@ -193,9 +192,9 @@ def _clean(value: object, key: str = "") -> object:
     if not isinstance(value, str):
         return value
     if key in ("url", "@id", "contentUrl", "thumbnailUrl", "image", "sameAs"):
-        return entities.unescape(value).strip()
+        return unescape(value).strip()
     if key in ("recipeIngredient", "recipeInstructions", "text"):
-        return "\n".join(sanitize(line) for line in re.split(r"\r?\n", entities.unescape(value))).strip()
+        return "\n".join(sanitize(line) for line in re.split(r"\r?\n", unescape(value))).strip()
     return sanitize(value)
 
 

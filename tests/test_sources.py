@@ -34,6 +34,13 @@ def test_spoilt_text_is_put_right():
     assert encodings.sanitize("<b>Stück</b> &amp;  a &lt; b\n<!-- x -->1 < 2") == "Stück & a < b 1 < 2"
 
 
+def test_references_end_with_a_semicolon():
+    for text, want in (("a&amp", "a&amp"), ("&lt;b&gt; &copy=1 &#38; &#x26 &nosuch; &notit;", "<b> ©=1 & & &nosuch; &notit;".replace("©", "&copy")), ("&amp;amp;", "&amp;"), ("", "")):
+        assert encodings.unescape(text) == want
+    assert pages.page_record("<h1>x&amp;&amp; and&amp</h1>", wanted=("title",))["title"] == "x&& and&amp"
+    assert pages.page_record('<link rel="canonical" href="/a?b=1&copy=2&amp;c">', wanted=("canonical",))["canonical"] == "/a?b=1&copy=2&c"
+
+
 def test_serialized_values(spark):
     read = lambda t: json.loads(serialized.to_json(t)) if serialized.to_json(t) is not None else "broken"
     assert read('a:2:{i:0;s:6:"größ";i:1;a:1:{s:1:"k";N;}}') == ["größ", {"k": None}]
