@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.plans.session import tasks
+
 LINES = """
 SELECT p_partkey AS line_id, p_partkey % 50 AS recipe_id, p_partkey AS pos,
   CASE p_partkey % 12
@@ -106,9 +108,15 @@ SELECT p_partkey % 40 AS recipe_id, p_partkey AS pos,
 FROM part"""
 
 
+#: Tables whose rows are parsed one by one, and the key that they are dealt by before that; the others are only joined and grouped.
+_PARSED = {"part": "p_partkey", "pages": "page_id"}
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of one of the texts above, over the tables below ``sf_dir``."""
+    """The rows of one of the texts above, over the tables below ``sf_dir``; those of part and pages are spread over all cores as they are read."""
     for name in ("part", "orders", "events", "pages"):
         if f"FROM {name}" in sql:
-            sql = sql.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
+            path = f"parquet.`{sf_dir}/{name}.parquet`"
+            source = f"(SELECT /*+ REPARTITION({tasks(spark)}, {_PARSED[name]}) */ * FROM {path})" if name in _PARSED else path
+            sql = sql.replace(f"FROM {name}", f"FROM {source}")
     return spark.sql(sql)
