@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import cache, reduce
 from string import ascii_lowercase
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.lexicon import TOLERANCES
@@ -26,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def having(df: DataFrame, test: Callable[[Column], Column], *columns: Column | str) -> DataFrame:
+    """Columns of the rows that pass a test on them. A ``where`` goes below the stages that made the columns, with all of their expressions written out, as often as one names another; a generator stays."""
+    return df.select(F.explode(F.filter(F.array(F.struct(*columns)), test)).alias("_row")).select("_row.*")
+
+
 def sub(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, pattern, to)
 

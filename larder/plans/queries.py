@@ -141,7 +141,7 @@ def line_parse_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PARSED} SELECT line_id, unit, {_mapped(units.CANONICAL, 'unit', 'NULL')} AS canonical FROM parsed WHERE unit IS NOT NULL")
 def unit_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("unit is not null").select("line_id", "unit", units.canonical_unit(F.col("unit")).alias("canonical"))
+    return text.having(_lines(spark, sf_dir), lambda r: r["unit"].isNotNull(), "line_id", "unit").select("*", units.canonical_unit(F.col("unit")).alias("canonical"))
 
 
 @query(f"WITH {_PARSED} SELECT line_id, {_mapped(units.GERMAN, 'unit', 'coalesce(unit, ' + chr(39) * 2 + ')')} AS label FROM parsed")
@@ -157,7 +157,7 @@ def qty_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PARSED}, s AS (SELECT line_id, round(qty_low * 6 / 4, 6) AS low, round(qty_high * 6 / 4, 6) AS high FROM parsed WHERE qty_low IS NOT NULL) SELECT line_id, low, high FROM s")
 def scale_servings(spark: SparkSession, sf_dir: str) -> DataFrame:
     six, four = F.lit(6.0), F.lit(4.0)
-    df = _lines(spark, sf_dir).where("qty_low is not null")
+    df = text.having(_lines(spark, sf_dir), lambda r: r["qty_low"].isNotNull(), "line_id", "qty_low", "qty_high")
     return df.select("line_id", F.round(display.scaled(F.col("qty_low"), six, four), 6).alias("low"), F.round(display.scaled(F.col("qty_high"), six, four), 6).alias("high"))
 
 
