@@ -10,6 +10,7 @@ from larder.functions.text import let
 from larder.functions.units import canonical_unit
 from larder.operators import recipe
 from larder.operators.lines import parse_lines
+from larder.plans.session import spread
 from larder.sources import pages as P
 
 SCALARS = ("name", "description", "recipeYield", "prepTime", "cookTime", "totalTime")
@@ -159,8 +160,8 @@ def assemble(pages: DataFrame, engine: str = "simple", li_override: bool = True)
     """
     step = P.markup(F.col("html"), "title", "description", "og_image", "servings", "ingredients", "instructions", "groups", "recipes", "microdata", li_override=li_override)
     rows = pages.select("page_id", "url", P.canonical_url(F.col("html"), F.col("url")).alias("canonical"), step.alias("m"))
-    # Dealt once, before the work on fields and lines, so that few large splits of pages keep no core waiting.
-    rows = rows.repartition("page_id")
+    # Dealt once, behind the Python step, whose rows have no known place, so that the windows and the gathering below shuffle nothing.
+    rows = spread(rows, "page_id")
     nodes = F.transform(F.col("m.recipes"), lambda text, i: _candidate(F.try_parse_json(text), i))
     rows = rows.withColumn("found", F.array_sort(nodes)).select("*", *_merged(_sources("found")))
     # Entries that come with fields keep them; only what is text is parsed.
