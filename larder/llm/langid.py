@@ -5,12 +5,12 @@ a language's labelled texts. A document's own most frequent n-grams are compared
 profile by out-of-place distance: the sum of the rank differences, with the profile's length for an
 n-gram that it lacks. The nearest profile wins, ties go to the smaller name.
 
-Profiles are fitted on at most ``TRAIN_ROWS`` labelled rows of each language, those of the
-smallest hash of doc_id; every document is then scored on its whole text.
+Profiles are counted over all labelled rows, each task adding up its own before they are shuffled; every
+document is then scored on its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 labelled row every document is ``und``. Score is 1 - distance / largest possible distance.
-A text of any length is counted whole, in slices; repeated rows are judged alike, and each doc_id is drawn once into the sample; equal distances go to the first language by name;
+A text of any length is counted whole, in slices; repeated rows are judged alike and each counts in a profile; equal distances go to the first language by name;
 an empty table gives an empty one, and one without any learned language gives ``und`` throughout; other columns, whatever their names, are not looked at.
 """
 
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import bound_batches, release_memory
+from larder.llm.common import bound_batches, release_memory, stored
 
-#: Rows of each language that its profile is fitted on; ranks of a profile and of a document.
-TRAIN_ROWS, RANKS = 2000, 400
+#: Ranks of a profile and of a document.
+RANKS = 400
+#: Counts that a task holds before it adds up equal n-grams, and sums from which it passes them on.
+HELD = 4_000_000
 #: Characters of a text whose n-grams are counted at once.
 SLICE = 500_000
 #: Low quantile of the labelled scores, the part of it that is enough, and labelled rows from which a length class has its own.
@@ -71,29 +73,48 @@ def ranked(text: str | None) -> np.ndarray:
     return key[np.argsort(-count, kind="stable")[:RANKS]]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of (lang, text) rows, equal n-grams of a task added up as far as ``HELD`` allows."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for lang, ((key, n),) in held.items():
+            for s in range(0, len(key), SLICE):
+                part = key[s : s + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part), pa.array(n[s : s + SLICE])], ["lang", "gram", "n"])
+        held.clear()
+
+    def merge() -> int:
+        for lang, parts in held.items():
+            held[lang] = [_summed(parts)]
+        return sum(len(parts[0][0]) for parts in held.values())
+
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            key, count = grams(text or "")
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
-
-
-def sampled(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, text) of the labelled rows of at most ``rows`` doc_ids of each language, those of the smallest hash."""
-    usable = labelled.where("lang is not null and text is not null")
-    ids = usable.select("lang", "doc_id").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    # A bound on the hash leaves about twice the rows of each language, so that no task ranks all documents of a common one.
-    shares = ids.groupBy("lang").agg(F.least(F.lit(1.0), 2.0 * rows / F.count("*")).alias("share"))
-    ids = ids.join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 30))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.withColumn("place", order).where(F.col("place") <= rows).select("lang", "doc_id")
-    return usable.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
-
-
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles from ``labelled`` (doc_id, text, lang): names, sorted n-grams, and rank by n-gram and name."""
+            found = grams(text)
+            held.setdefault(lang, []).append(found)
+            size += len(found[0])
+            if size > HELD:
+                size = merge()
+                if size > HELD // 2:
+                    yield from passed_on()
+                    size = 0
+    merge()
+    yield from passed_on()
+    release_memory()
+
+
+def fit(labelled: DataFrame) -> Profiles:
+    """Profiles from all rows of ``labelled`` (text, lang): names, sorted n-grams, and rank by n-gram and name."""
     bound_batches(labelled.sparkSession)
-    counts = sampled(labelled, rows).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text")
+    counts = usable.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS).collect()
     names = sorted({r["lang"] for r in top})
     keys = np.array(sorted({r["gram"] for r in top}), np.int64)
@@ -147,11 +168,11 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.char_length(text) + F.lit(1.0))).cast("int")
 
 
-def least_scores(labelled: DataFrame, profiles: Profiles) -> dict[str, dict[int | None, float]]:
-    """For each language, and length class of enough labelled rows (None for all), the least score of a text in it."""
-    found = sampled(labelled).select("lang", length_class(F.col("text")).alias("length"), language(F.col("text"), profiles).alias("p")).where((F.col("p.lang") == F.col("lang")) & (F.col("p.score") > 0))
+def least_scores(judged: DataFrame, p: str = "p") -> dict[str, dict[int | None, float]]:
+    """For each language, and length class of enough labelled rows (None for all), the least score of a text in it, from all rows of (text, lang) that ``p`` (see ``language``) has right."""
+    right = judged.where((F.col(f"{p}.lang") == F.col("lang")) & (F.col(f"{p}.score") > 0)).select("lang", length_class(F.col("text")).alias("length"), F.col(f"{p}.score").alias("score"))
     out: dict[str, dict[int | None, float]] = {}
-    for r in found.cube("lang", "length").agg(F.grouping("length").alias("whole"), F.count("*").alias("n"), F.percentile_approx("p.score", LOW_QUANTILE, 10000).alias("low")).where("lang is not null").collect():
+    for r in right.cube("lang", "length").agg(F.grouping("length").alias("whole"), F.count("*").alias("n"), F.percentile_approx("score", LOW_QUANTILE, 10000).alias("low")).where("lang is not null").collect():
         if r["whole"] or r["n"] >= CLASS_ROWS:
             out.setdefault(r["lang"], {})[None if r["whole"] else r["length"]] = LOW_MARGIN * r["low"]
     return out
@@ -160,19 +181,20 @@ def least_scores(labelled: DataFrame, profiles: Profiles) -> dict[str, dict[int
 def spoken(docs: DataFrame, least_score: float = 0.02) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language: not ``und``, and no further from its profile than labelled texts are.
 
-    The least score is ``LOW_MARGIN`` of a low quantile of the labelled texts of that language and about that length (of any
-    length where they are few), ``least_score`` at least and for a language without such texts.
+    The least score is ``LOW_MARGIN`` of a low quantile of all labelled texts of that language and about that length (of any
+    length where they are few), ``least_score`` at least and for a language without such texts. Every text is judged once:
+    the result is stored, as the quantiles and the rows kept are both read from it.
     """
     bound_batches(docs.sparkSession)
-    profiles = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    profiles = fit(docs.select("text", "lang", "doc_id").where(~held_out()))
     at = "_language"
     while at in docs.columns:
         at += "_"
+    found = stored(docs.withColumn(at, language(F.col("text"), profiles)), "judged")
     least = F.lit(least_score)
-    for lang, by_length in least_scores(docs.select("doc_id", "text", "lang"), profiles).items():
+    for lang, by_length in least_scores(found, at).items():
         own = F.lit(by_length.pop(None))
         for length, low in sorted(by_length.items()):
             own = F.when(length_class(F.col("text")) == length, F.lit(low)).otherwise(own)
         least = F.when(F.col(f"{at}.lang") == lang, F.greatest(own, F.lit(least_score))).otherwise(least)
-    found = docs.withColumn(at, language(F.col("text"), profiles))
     return found.where((F.col(f"{at}.lang") != UNKNOWN) & (F.col(f"{at}.score") >= least)).select(*docs.columns)

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from larder.llm import bpe, htmlmain, langid, licenses, secrets, tokenfiles
 
@@ -182,6 +183,18 @@ def test_language_without_labels(spark):
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
 
 
+def test_language_is_learned_from_every_labelled_row(spark):
+    # Each of the rare letters stands in one of 6,000 rows, so a part of the rows misses most of them.
+    rows = [(i, chr(0x431 + i // 150) if i % 150 == 0 else "aba", "aa") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, keys, place = langid.fit(docs)
+    n = langid._summed([langid.grams(t) for _, t, _ in rows])
+    top = n[0][np.argsort(-n[1], kind="stable")]
+    assert len(top) == len(keys) > 100 and [top[p] for p in place[:, 0]] == list(keys)
+    judged = docs.withColumn("p", F.struct("lang", (F.col("doc_id") / 6000 + 0.1).alias("score")))
+    assert langid.least_scores(judged)["aa"][None] == pytest.approx(langid.LOW_MARGIN * 0.11, abs=1e-3)
+
+
 def test_main_text(spark):
     page = lambda body: f"<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a>Menu</a></li></ul></nav>{body}<footer>&copy; x</footer></body></html>"
     rows = [
